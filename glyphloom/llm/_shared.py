@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes df into the folder that the session names in spark.checkpoint.dir and reads it from there.
-
-    Where the session names none (tests), a folder of this machine is set.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where it names none (tests), one of this machine is set."""
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes df into the shared folder and reads it from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -36,3 +37,17 @@ def uniform(*parts: Column) -> Column:
     """A number in [0, 1) from the MD5 of the parts; 52 bits, so that it is exact in a double."""
     digest = F.md5(F.concat_ws(":", *parts))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def keep_rows(documents: DataFrame, kept: DataFrame) -> DataFrame:
+    """The documents whose doc_id and text hash are among kept(doc_id, text_key), with all their columns."""
+    ids = kept.select(F.col("doc_id").alias("kept_id"), "text_key").distinct()
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    found = rows.join(ids, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("text_key")), "left_semi")
+    return found.select("row.*")
+
+
+def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """About `most` rows, or all if there are no more; by the hash of a column, so that reruns and machines agree."""
+    n = rows.count()
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < (most << 20) // n)

@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm._ragged import SPACED, Powers, chunks, mixed, totals
-from glyphloom.llm._shared import checkpoint, table
+from glyphloom.llm._shared import bounded_sample, checkpoint, keep_rows, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_bars", "n_chars_all")
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"!?"
 
-#: Rows of labels that the list is learned from, at most; chosen by the hash of doc_id.
+#: Rows of labels that the list is learned from, about, if there are more; chosen by the hash of doc_id.
 TRAINING_ROWS = 20_000
 
 
@@ -195,16 +195,11 @@ def base_failed() -> Column:
 
 
 def train(counts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> list[Rule]:
-    """Learns from at most `rows` labelled documents that pass the base rules."""
+    """Learns from about `rows` labelled documents, no more in expectation, that pass the base rules."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = (
-        counts.where(~base_failed())
-        .join(marked, "doc_id")
-        .select(*(F.expr(m).alias(k) for k, m in MEASURES.items()), (F.col("quality") == 0).alias("bad"), F.xxhash64("doc_id").alias("at"))
-        .orderBy("at", *MEASURES)
-        .limit(rows)
-        .toPandas()
-    )
+    measured = counts.where(~base_failed()).join(marked, "doc_id").select("doc_id", *(F.expr(m).alias(k) for k, m in MEASURES.items()), (F.col("quality") == 0).alias("bad"))
+    sample = bounded_sample(checkpoint(measured), "doc_id", rows).select(F.xxhash64("doc_id").alias("at"), *MEASURES, "bad").toPandas()
+    sample = sample.sort_values(["at", *MEASURES])
     return learn({k: sample[k].to_numpy(float) for k in MEASURES}, sample["bad"].to_numpy(bool))
 
 
@@ -217,9 +212,7 @@ def judge(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) ->
 
 def filter_documents(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    judged = judge(documents, labels, rows)
-    kept = judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return documents.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
+    return keep_rows(documents, judge(documents, labels, rows).where("kept"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.llm import quality_rules, simhash
+from glyphloom.llm import chat_format, decontamination, line_dedup, mixing, quality_rules, simhash, url_filter
 
-_OPERATORS = (simhash.op4_simhash, quality_rules.op9_quality_rules)
+_OPERATORS = (
+    url_filter.op1_url_filter,
+    mixing.op2_mixing,
+    simhash.op4_simhash,
+    chat_format.op5_chat_format,
+    line_dedup.op6_line_dedup,
+    quality_rules.op9_quality_rules,
+    decontamination.op10_decontamination,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": url_filter.SQL, "op2_mixing": mixing.SQL, "op5_chat_format": chat_format.SQL}

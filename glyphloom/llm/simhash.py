@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from glyphloom.llm._ragged import SPACED_LOWER, chunks
-from glyphloom.llm._shared import checkpoint, table
+from glyphloom.llm._shared import checkpoint, keep_rows, table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -253,13 +253,13 @@ def clustered(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
 def keep_one(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     """One document of each component, that of the smallest doc_id (the least text_key among rows of that id)."""
     found = clustered(documents, words)
-    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s"), F.count("*").alias("n"))
-    stays = checkpoint(stays.select(F.col("s.doc_id").alias("_id"), F.col("s.text_key").alias("_key")).distinct())
-    kept = documents.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_semi")
-    repeated = found.groupBy("doc_id", "text_key").count().where("count > 1")
-    if repeated.isEmpty():
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s"))
+    stays = checkpoint(stays.select("s.doc_id", "s.text_key"))
+    kept = keep_rows(documents, stays)
+    if found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
         return kept
-    return kept.withColumn("_key", F.xxhash64("text")).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    rows = kept.select(F.struct(*kept.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
+    return rows.dropDuplicates(["doc_id", "text_key"]).select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
