@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.llm import chat_format, decontamination, line_dedup, mixing, quality_rules, simhash, url_filter
+from glyphloom.llm import chat_format, decontamination, line_dedup, mixing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
 
 _OPERATORS = (
     url_filter.op1_url_filter,
     mixing.op2_mixing,
+    toxicity.op3_toxicity,
     simhash.op4_simhash,
     chat_format.op5_chat_format,
     line_dedup.op6_line_dedup,
+    secret_scan.op7_secret_scan,
+    token_counts.op8_token_counts,
     quality_rules.op9_quality_rules,
     decontamination.op10_decontamination,
 )
