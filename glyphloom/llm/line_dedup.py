@@ -3,7 +3,7 @@
 A document is its sequence of lines with a word (spaces at a line's ends aside). At each line starts a gram: the
 fewest lines with GRAM_WORDS words or more. Winnowing keeps of the grams that start within WINDOW_WORDS words the one
 of the least hash (the last, if equal), so that two places that share a run of GRAM_WORDS + WINDOW_WORDS words share a kept
-gram for certain. Each kept gram is joined with its first place in the corpus, by doc_id and line; where that is
+gram for certain; windows that the end of a text cuts short count too. Each kept gram is joined with its first place in the corpus, by doc_id and line; where that is
 another, the match is extended line by line both ways, and the lines of the later place are deleted. The first place of a
 line is so never deleted. Beyond a gram a match goes on for less than GRAM_WORDS + WINDOW_WORDS words to the next kept gram or
 its end, so each gram carries no more of its surroundings than that.
@@ -57,8 +57,7 @@ def kept_grams(rows: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WOR
     whole = F.col("total") - F.col("start") >= gram
     rows = rows.withColumn("gram", F.when(whole, F.xxhash64("own.h")))
     least = F.min(F.when(whole, F.struct(F.col("gram"), (-F.col("pos")).alias("neg")))).over(by_start.rangeBetween(0, window - 1))
-    full = (F.col("start") == 0) | (F.col("total") - F.col("start") >= gram + window)
-    chosen = rows.withColumn("least", F.when(full, least)).withColumn("picked", F.collect_set("least.neg").over(by_start.rangeBetween(1 - window, 0)))
+    chosen = rows.withColumn("least", F.when(whole, least)).withColumn("picked", F.collect_set("least.neg").over(by_start.rangeBetween(1 - window, 0)))
     return chosen.where(F.array_contains("picked", -F.col("pos"))).select(*_PLACE, "pos", "gram", "own", F.reverse("back").alias("back"), "ahead")
 
 

@@ -1,0 +1,402 @@
+"""The operators against brute force, exact round trips and held-out accuracy, with nulls, empty and repeated rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from glyphloom.llm import chat_format, decontamination, forest, line_dedup, mixing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, text_key long, _id long"
+SPACED = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+VOCABULARY = [f"w{i}" for i in range(400)]
+
+
+def documents(spark, texts, ids=None):
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en" if k % 2 else None, ("a", "b", None)[k % 3], len(t or ""), "clash", 7, 9) for k, (i, t) in enumerate(zip(ids, texts, strict=True))], DOCS)
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def mixed():
+    rng = random.Random(5)
+    passage = prose(rng, 60)
+    texts = [None, "", " \n\t ", "one", "One two THREE", passage, passage, prose(rng, 3000)]
+    texts += [f"{prose(rng, 30)}\n{passage}\n{prose(rng, 20)}" for _ in range(12)]
+    texts += ["é ü NUL\x00here ñ " * 5, "x" * 5000, passage.replace("w1", "W1"), "### " * 80]
+    return texts
+
+
+# 1
+
+
+def test_urls(spark):
+    urls = [None, "", "no scheme", "http://A.Example.COM/en/7?x=/y", "http://example.com/en/8", "https://x.com#f", "http://b.net/de/8", "http://example.net/de/81", "ftp://u/p://q", "http://notcom/en/", "http://h.org/es/\n1"]
+    pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, *urls])], "page_id long, url string, host string")
+    listed = spark.createDataFrame([("u/p://q",), ("x.com",), (None,), ("absent",)], "key string")
+    got = {r.page_id: r for r in url_filter.judge(pages, listed).collect()}
+    for i, u in enumerate(urls):
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", u or "")
+        host, path = (m[1].translate(LOWER), m[2]) if m else ("", "")
+        fits = [(len(r), r, v) for r, v in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        rule, verdict = max(fits)[1:] if fits else (None, "block" if host + path in ("u/p://q", "x.com") else "allow")
+        assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict) == tuple(got[i + len(urls)])[1:]
+
+
+def test_cascade_is_exact_both_ways(spark):
+    keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    listed = keys.where(F.pmod(F.xxhash64("key"), F.lit(7)) == 0)
+    cascades, shards = url_filter.build(listed, keys, shard_keys=3000)
+    truth = {r.key for r in listed.collect()}
+    for most in (1 << 20, 1):
+        got = url_filter.with_membership(keys.withColumn("h1", F.lit(1)), cascades, shards, most)
+        assert {r.key for r in got.where("listed").collect()} == truth and got.count() == 20_000
+    none, n = url_filter.build(listed.limit(0), keys.limit(0))
+    assert url_filter.with_membership(keys.limit(3), none, n).where("listed").count() == 0
+
+
+# 2
+
+
+def test_mix(spark, mixed):
+    docs = documents(spark, mixed)
+    found = mixing.planned(docs).collect()
+    total = sum(r["size"] for r in found)
+    sizes = Counter()
+    for r in found:
+        sizes[r.row.source] += r["size"]
+        assert r["size"] == len(SPACED.findall(r.row.text or ""))
+        assert 0 <= r.copies <= 2 and r.target <= 2 * r.source_size
+    target = {r.row.source: r.target for r in found}
+    assert abs(sum(target.values()) - 1.5 * total) < 1e-6
+    assert {r.row.source: r.source_size for r in found} == sizes
+    level = max((target[s] / w for s, w in zip(("a", "b", None), (5, 2, 1), strict=True) if target[s] < 2 * sizes[s]))
+    for s, w in zip(("a", "b", None), (5, 2, 1), strict=True):
+        assert target[s] == pytest.approx(min(2 * sizes[s], level * w))
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    assert sorted(out.collect(), key=str) == sorted((r.row for r in found for _ in range(r.copies)), key=str)
+    assert mixing.planned(docs.limit(0)).count() == 0
+    assert {r.target for r in mixing.planned(documents(spark, [None, ""])).collect()} == {0.0}
+
+
+def test_mix_joins_alike_without_broadcast(spark, mixed, monkeypatch):
+    key = lambda df: sorted(map(str, df.select("row.doc_id", "target", "copies").collect()))
+    want = key(mixing.planned(documents(spark, mixed)))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert key(mixing.planned(documents(spark, mixed))) == want
+
+
+# 3
+
+
+def test_toxicity(spark):
+    rng = random.Random(2)
+    bad = ["idiot", "abschaum", "canaille"]
+    rows = []
+    for i in range(900):
+        words = [rng.choice(VOCABULARY) for _ in range(rng.randint(1, 120))]
+        toxic = int(rng.random() < 0.2)
+        if toxic:
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        rows.append((i, " ".join(words), toxic))
+    texts = [r[1] for r in rows] + [None, "", "x " * 30_000]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows] + [(None, 1, 1), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.judged(docs, labels).collect()}
+    held = [r for r in rows if got[r[0]].held_out]
+    assert len(got) == len(texts) and 100 < len(held) < 260
+    assert np.mean([got[i].predicted == t for i, _, t in held]) > 0.95
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    assert got[900].score == got[901].score
+    none = toxicity.judged(docs.limit(5), labels.limit(0)).collect()
+    assert {round(r.score, 6) for r in none} == {0.0}
+
+
+# 4
+
+
+def fingerprint(text):
+    words = SPACED.findall((text or "").translate(LOWER))
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(len(words) - 3, 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def roots(values, ids):
+    parent = list(range(len(values)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(values)):
+        for b in range(a):
+            if (values[a] ^ values[b]).bit_count() <= 4:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    least = {}
+    for i in range(len(values)):
+        if ids[i] is not None:
+            least[find(i)] = min(least.get(find(i), ids[i]), ids[i])
+    return [least.get(find(i)) for i in range(len(values))]
+
+
+def test_simhash(spark, mixed):
+    ids = [None if i == 6 else 1 if i == 2 else 100 - i for i in range(len(mixed))]
+    got = simhash.clustered(documents(spark, mixed, ids)).collect()
+    fps = [fingerprint(t) for t in mixed]
+    want = Counter((i, f, r) for i, f, r in zip(ids, fps, roots(fps, ids), strict=True))
+    assert Counter((r.doc_id, r.fp % (1 << 64), r.component_id) for r in got) == want
+    kept = simhash.keep_one(documents(spark, [*mixed, mixed[5]], [*ids, ids[5]]))
+    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
+    assert len(kept.collect()) == len(set(roots(fps, ids)))
+    assert simhash.clustered(documents(spark, mixed).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("width", "block"), [(2, 16), (3, 4096), (4, 4096)])
+def test_links_are_all_found(spark, width, block):
+    rng = np.random.default_rng(width)
+    centre = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    near = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for c in centre for k in (1, 2, 3, 4, 5, 6) for _ in range(4)]
+    dense = [int(centre[0]) ^ v for v in range(256)]
+    values = sorted({int(c) for c in centre} | set(near) | set(dense))
+    nodes = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp long")
+    found = {r.node % (1 << 64): r.root % (1 << 64) for r in simhash.components(simhash.links(nodes, width, block)).collect()}
+    classes = roots(values, list(range(len(values))))
+    joined = {}
+    for v, c in zip(values, classes, strict=True):
+        joined.setdefault(c, set()).add(found.get(v, v))
+    assert all(len(x) == 1 for x in joined.values()) and len({next(iter(x)) for x in joined.values()}) == len(joined)
+
+
+# 5
+
+
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "system", "a\nb", ""]), st.text(alphabet="ab\\_n<|>/s[]INST im_startend\n") | st.sampled_from([*chat_format.CONTROL, "<</s>", "\\<\\_s>"]))))
+@settings(max_examples=300, deadline=None)
+def test_chat_round_trip(messages):
+    text, spans = chat_format.render(messages)
+    assert chat_format.read(text) == messages
+    assert [chat_format.unescape(text[a:b]) for a, b in spans] == [t for r, t in messages if r == "assistant"]
+    assert text.count(chat_format.BEGIN) == text.count(chat_format.END) == len(messages)
+    assert not any(c in chat_format.escape(t) for _, t in messages for c in chat_format.CONTROL)
+
+
+def test_events_fold(spark):
+    log = [
+        (1, 3, "delta", "m2", None, "wor"), (1, 1, "start", "m1", "user", "hi"), (1, 2, "start", "m2", "assistant", None), (1, 4, "delta", "m2", None, "ld"), (1, 5, "edit", "m1", None, "hello"),
+        (1, 6, "regenerate", "m2", None, None), (1, 7, "delta", "m2", None, "new "), (1, 8, "delta", "m2", None, "reply"), (2, 1, "delta", "x", None, "lone"), (2, 2, "start", None, "user", None), (2, 3, "start", "gone", "user", "z"), (2, 4, "delete", "gone", None, None),
+        (None, None, "start", None, None, None),
+    ]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, message string, role string, text string").repartition(3)
+    got = {r.conv_id: chat_format.read(r.formatted) for r in chat_format.formatted(events).collect()}
+    assert got == {1: [("user", "hello"), ("assistant", "new reply")], 2: [("assistant", "lone"), ("user", "")], None: [("", "")]}
+    assert chat_format.formatted(events.limit(0)).count() == 0
+
+
+# 6
+
+
+def repeated_runs(texts, words):
+    """Lines (text, line) in runs of so many words, at least, that an earlier place has."""
+    found, seen = set(), set()
+    for d, text in enumerate(texts):
+        doc = [(i, x.strip(" "), len(SPACED.findall(x))) for i, x in enumerate((text or "").split("\n")) if SPACED.search(x)]
+        for p in range(len(doc)):
+            n = 0
+            for q in range(p, len(doc)):
+                n += doc[q][2]
+                key = tuple(x[1] for x in doc[p : q + 1])
+                if n >= words and key in seen:
+                    found.update((d, x[0]) for x in doc[p : q + 1])
+                if n >= words:
+                    seen.add(key)
+    return found
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup(spark, seed):
+    rng = random.Random(seed)
+    pool = [prose(rng, rng.choice((1, 4, 9, 14, 30, 70))) for _ in range(30)]
+    runs = [[rng.choice(pool) for _ in range(rng.randint(4, 12))] for _ in range(4)]
+    texts = []
+    for _ in range(25):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            parts += rng.choice(runs) if rng.random() < 0.5 else [prose(rng, rng.choice((3, 20, 60))), "", rng.choice(pool)]
+        texts.append("\n".join(parts))
+    texts += [None, "", "\n\n", texts[0]]
+    docs = documents(spark, texts)
+    got = line_dedup.deduplicate(docs)
+    rows = {r.row.doc_id: r for r in got.collect()}
+    may = repeated_runs(texts, 25)
+    assert repeated_runs(texts, 50) and not repeated_runs([rows[i].text for i in range(len(texts))], 50)
+    for i, t in enumerate(texts):
+        kept, lines = [] if rows[i].text is None else rows[i].text.split("\n"), [] if t is None else t.split("\n")
+        assert len(kept) == len(lines) - rows[i].n_removed or kept == [""]
+        gone = Counter(lines) - Counter(kept)
+        assert not gone - Counter(lines[k] for d, k in may if d == i)
+    assert set(got.select("row.*").columns) == set(docs.columns)
+    firsts = {x.strip(" ") for t in texts for x in (t or "").split("\n")}
+    assert firsts == {x.strip(" ") for r in rows.values() for x in (r.text or "").split("\n")} | {""}
+
+
+def test_line_dedup_of_nulls_and_copies(spark):
+    rng = random.Random(9)
+    passage = prose(rng, 55)
+    docs = documents(spark, [f"a\n{passage}", f"b\n{passage}", passage, passage], [None, 5, 7, 7])
+    got = sorted((str(r.row.doc_id), r.text, r.n_removed) for r in line_dedup.deduplicate(docs).collect())
+    assert got == [("5", f"b\n{passage}", 0), ("7", "", 1), ("7", "", 1), ("None", "a", 1)]
+    assert line_dedup.deduplicate(docs.limit(0)).count() == 0
+
+
+# 7
+
+
+def test_forest_learns():
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 6))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    assert np.mean((forest.train(x[:1000], y[:1000]).predict(x[1000:]) > 0.5) == y[1000:]) > 0.9
+
+
+def test_secrets(spark):
+    findings = secret_scan.labelled_findings()
+    model = secret_scan.train(findings[:3000])
+    held = findings[3000:]
+    score = model.predict(np.array([secret_scan.features(f.value, f.before, f.after, f.path) for f in held]))
+    assert np.mean((score >= 0.5) == np.array([f.real for f in held])) > 0.97
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    texts = [None, "", f'x token = "{key}" y', f"commit: {key} done", 'password = "your-token-here"', "q" * 20_000, f'token = "{key}"', "plain words only"]
+    found = secret_scan.scan(documents(spark, texts), model, path="source").collect()
+    assert {(r.doc_id, r.value) for r in found if r.secret} == {(2, key), (6, key)}
+    assert all(texts[r.doc_id][r.start : r.end] == r.value for r in found)
+
+
+# 8
+
+
+@pytest.fixture(scope="module")
+def bpe():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return path, Tokenizer.from_file(path)
+
+
+def test_tokens(spark, mixed, bpe):
+    path, library = bpe
+    texts = [*mixed, "<|endoftext|>", "a<|endoftext|> b<|endoftext|><|endoftext|>", "aaaa" * 300, "ab" * 3000, "日本語 🙂🙂 ½", "'s't'RE"]
+    got = {r.doc_id: r for r in token_counts.token_counts(documents(spark, texts), path).collect()}
+    for i, t in enumerate(texts):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 512)
+
+
+def test_tokens_of_random_texts(bpe):
+    path, library = bpe
+    counter, rng = token_counts.Counter(token_counts.vocabulary(path)), random.Random(4)
+    texts = ["".join(rng.choice("aab  \n\tcéß日🙂'1,.$<|>THthe ") for _ in range(rng.randint(0, 300))) for _ in range(300)]
+    assert counter.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+# 9
+
+
+def counts(text):
+    words = SPACED.findall(text or "")
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {k for i in range(len(words) - 2) if windows[tuple(words[i : i + 3])] > 1 for k in range(i, i + 3)}
+    lines = [x for x in (text or "").split("\n") if SPACED.search(x)]
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark, mixed):
+    rng = random.Random(1)
+    texts = [*mixed, "a b c\na b c\n x\n x\nx", "a b a b a b a"]
+    good = [prose(rng, rng.randint(60, 120)) for _ in range(200)]
+    junk = [" ".join(w + rng.choice(("***", "$$$")) for w in prose(rng, 80).split()) for _ in range(60)]
+    docs = documents(spark, [*texts, *good, *junk])
+    n = len(texts)
+    labels = spark.createDataFrame([(n + i, int(i < 200), 0) for i in range(260)] + [(None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.judge(docs, labels).collect()}
+    for i, t in enumerate(texts):
+        want = counts(t)
+        assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == want, t
+        assert got[i].base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+    assert all(got[n + i].kept == (i < 200) for i in range(260))
+    kept = quality_rules.filter_documents(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert quality_rules.judge(docs, labels.limit(0)).where("kept = base_failed").count() == 0
+
+
+# 10
+
+
+def brute_hits(text, items, window=10):
+    cut = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+    words = cut.findall((text or "").translate(LOWER))
+    hit, found = set(), set()
+    for i, t in items:
+        w = cut.findall((t or "").translate(LOWER))
+        n = min(window, len(w))
+        mine = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if n else set()
+        for k in range(len(words) - n + 1 if n else 0):
+            if tuple(words[k : k + n]) in mine:
+                hit |= set(range(k, k + n))
+                found.add("" if i is None else str(i))
+    return len(words), len(hit), sorted(found)
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
+def test_decontamination(spark, block_bytes):
+    rng = random.Random(3)
+    small = VOCABULARY[:12]
+    items = [(i, " ".join(rng.choice(small) for _ in range(rng.choice((3, 10, 12, 30))))) for i in range(20)] + [(None, prose(rng, 15)), (21, None), (22, " - "), (3, prose(rng, 11)), (40, "Ärger! NAÏVE")]
+    texts = [None, "", *(" ".join(rng.choice(small) for _ in range(rng.randint(0, 60))) for _ in range(20))]
+    for _ in range(30):
+        pick = rng.choice(items)[1] or ""
+        texts.append(f"{prose(rng, rng.randint(0, 30))}, {pick.upper()}... {prose(rng, 9)}\n{pick} {prose(rng, 5)}")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, [*texts, texts[25]])
+    found = decontamination.contamination(docs, bench, clean=True, block_bytes=block_bytes).withColumn("n_hit", decontamination.n_hit()).collect()
+    assert len(found) == len(texts) + 1
+    for r in found:
+        n, hit, names = brute_hits(r.row.text, items)
+        assert (r.n_words, r.n_hit, r["items"]) == (n, hit, names)
+        assert brute_hits(r.text, items)[0] == n - hit and (hit or r.text == r.row.text)
+    assert decontamination.contamination(docs, bench.limit(0)).where("size(spans) > 0").count() == 0
+
+
+def test_suffixes_and_ranks():
+    rng = np.random.default_rng(1)
+    text = np.concatenate(([0], rng.integers(1, 5, 500), [0], rng.integers(1, 5, 60)))
+    order = decontamination.suffix_array(text)
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    index = decontamination.FmIndex(text)
+    windows = np.array([[1, 2, 3], [4, 4, 4], [2, 1, 2], [9, 1, 1]])
+    lo, hi = index.search(windows)
+    for w, a, b in zip(windows, lo, hi, strict=True):
+        assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(text) - 2) if text[i : i + 3].tolist() == w.tolist()]
+
+
+def test_digest_of_no_item(spark):
+    found = decontamination.contamination(documents(spark, ["a b"]), spark.createDataFrame([(1, "c")], "item_id long, text string"))
+    assert found.select(F.sha2(F.array_join("items", ","), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
