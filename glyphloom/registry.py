@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glyphloom.plans import scoring
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+_FAMILIES = (scoring,)
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for family in _FAMILIES for name, (f, _) in family.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for family in _FAMILIES for name, (_, sql) in family.QUERIES.items() if sql}
