@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.plans import scoring
+from glyphloom.plans import measures, scoring, vision
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_FAMILIES = (scoring,)
+_FAMILIES = (scoring, measures, vision)
 
 
 def queries() -> dict[str, Query]:
