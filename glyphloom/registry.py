@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.plans import measures, scoring, vision
+from glyphloom.plans import flows, measures, scoring, vision
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_FAMILIES = (scoring, measures, vision)
+_FAMILIES = (scoring, measures, vision, flows)
 
 
 def queries() -> dict[str, Query]:
