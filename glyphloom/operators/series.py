@@ -14,8 +14,8 @@ def floor_rank(rows: DataFrame, keys: list[str], value: str, percents: tuple[int
 
     Ranks come from a window and not from a list, so that a group may be of any size."""
     ordered = Window.partitionBy(*keys).orderBy(value)
-    ranked = rows.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(ordered) - 1).alias("k"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.expr(f"((n - 1) * {p}) div 100"), F.col(value)))
+    ranked = rows.where(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(ordered) - 1).alias("_at"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"))
+    at = lambda p: F.max(F.when(F.col("_at") == F.expr(f"((_n - 1) * {p}) div 100"), F.col(value)))
     return ranked.groupBy(*keys).agg(*(at(p).alias(f"p{p}") for p in percents))
 
 
