@@ -365,15 +365,15 @@ def heatmap_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = d.prob_map(spark, sf_dir).select("page_id", "y", "x", "p", at).select("page_id", "y", "x", F.col("t.i").alias("i"), F.col("t.t0").alias("t0"), "p").where("x >= t0 and x < t0 + 40")
     seen = F.col("p") * (1 - F.col("i") * 0.25)
     edge = F.least(F.col("x") - F.col("t0") + 0.5, F.col("t0") + 40 - F.col("x") - 0.5)
-    weight = g.clamp(edge / 16, 0.001, 1.0)
+    weight = g.clamp(edge / 15, 0.001, 1.0)
     fused = rows.groupBy("page_id", "y", "x").agg(F.avg(seen).alias("even"), (F.sum(seen * weight) / F.sum(weight)).alias("tapered"))
-    return fused.groupBy("page_id").agg(F.round(F.sum("even"), 2).alias("even"), F.round(F.sum("tapered"), 2).alias("tapered"), F.count_if(F.col("tapered") >= 0.3).alias("on"), F.count("*").alias("pixels"))
+    return fused.groupBy("page_id").agg(F.round(F.sum("even"), 6).alias("even"), F.round(F.sum("tapered"), 6).alias("tapered"), F.count_if(F.col("tapered") >= 0.3).alias("on"), F.count("*").alias("pixels"))
 
 
 HEATMAP_FUSION = with_views("prob_map", body="""
-SELECT page_id, round(sum(even), 2) AS even, round(sum(tapered), 2) AS tapered, count(*) FILTER (tapered >= 0.3::DOUBLE) AS "on", count(*) AS pixels FROM (
+SELECT page_id, round(sum(even), 6) AS even, round(sum(tapered), 6) AS tapered, count(*) FILTER (tapered >= 0.3::DOUBLE) AS "on", count(*) AS pixels FROM (
   SELECT page_id, y, x, avg(s) AS even, sum(s * w) / sum(w) AS tapered FROM (
-    SELECT page_id, y, x, p * (1 - i * 0.25::DOUBLE) AS s, greatest(least(least(x - t0 + 0.5::DOUBLE, t0 + 40 - x - 0.5::DOUBLE) / 16, 1), 0.001::DOUBLE) AS w
+    SELECT page_id, y, x, p * (1 - i * 0.25::DOUBLE) AS s, greatest(least(least(x - t0 + 0.5::DOUBLE, t0 + 40 - x - 0.5::DOUBLE) / 15, 1), 0.001::DOUBLE) AS w
     FROM prob_map, (SELECT unnest([0, 1]) AS i, unnest([0, 24]) AS t0) WHERE x >= t0 AND x < t0 + 40) GROUP BY ALL) GROUP BY page_id""")
 
 
