@@ -27,4 +27,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op2_mixing": mixing.SQL, "op5_chat_format": chat_format.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op2_mixing": mixing.SQL, "op5_chat_format": chat_format.SQL, "op10_decontamination": decontamination.SQL}
