@@ -141,3 +141,26 @@ def suppressed(words: DataFrame, least: float = 0.5) -> DataFrame:
 
     kept = rows.select("page_id", "idx", "rank", "rivals").mapInPandas(run, rows.select("page_id", "idx").schema)
     return words.join(kept, ["page_id", "idx"], "left_semi")
+
+
+def mapped_words(words: DataFrame, dims: DataFrame) -> DataFrame:
+    """Words in the pixels of a window (page_id, idx, x, y, side, a box) on their page: clipped, those with a middle off the page
+    left out, with the least distance to an edge of the window inside the page as a share of its side (1 where there is none)."""
+    rows = words.join(dims, "page_id").withColumns({"px0": F.col("x0") + F.col("x"), "px1": F.col("x1") + F.col("x"), "py0": F.col("y0") + F.col("y"), "py1": F.col("y1") + F.col("y")})
+    cx, cy = (F.col("px0") + F.col("px1")) / 2, (F.col("py0") + F.col("py1")) / 2
+    far = F.array(
+        F.when(F.col("x") > 0, F.col("x0")), F.when(F.col("y") > 0, F.col("y0")),
+        F.when(F.col("x") + F.col("side") < F.col("width"), F.col("side") - F.col("x1")), F.when(F.col("y") + F.col("side") < F.col("height"), F.col("side") - F.col("y1")),
+    )
+    margin = F.coalesce(F.array_min(F.filter(far, lambda v: v.isNotNull())), F.col("side")) / F.col("side")
+    clip = lambda v, most: F.least(F.greatest(v, F.lit(0)), F.col(most))
+    inside = (cx >= 0) & (cx < F.col("width")) & (cy >= 0) & (cy < F.col("height"))
+    return rows.where(inside).select("page_id", "idx", clip(F.col("px0"), "width").alias("x0"), clip(F.col("py0"), "height").alias("y0"), clip(F.col("px1"), "width").alias("x1"), clip(F.col("py1"), "height").alias("y1"), margin.alias("edge_margin"))
+
+
+def delegated(words: DataFrame, tiles: DataFrame, close: float = 8 / 1024, enough: float = 16 / 1024) -> DataFrame:
+    """Words of tiles (tile, a box, edge_margin) without those near an edge of their tile that another tile shows with enough around them."""
+    t = tiles.select("page_id", F.col("tile").alias("other"), F.col("x0").alias("t0"), F.col("x1").alias("t1"))
+    need = enough * (F.col("t1") - F.col("t0"))
+    better = words.where(F.col("edge_margin") <= close).join(t, "page_id").where((F.col("tile") != F.col("other")) & (F.col("x0") - F.col("t0") >= need) & (F.col("t1") - F.col("x1") >= need))
+    return words.join(better.select("page_id", "tile", "idx").distinct(), ["page_id", "tile", "idx"], "left_anti")
