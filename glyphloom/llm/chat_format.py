@@ -88,15 +88,15 @@ def fold(events: list[tuple[str | None, str | None, str | None, str | None]]) ->
 def formatted(events: DataFrame) -> DataFrame:
     """conv_id, formatted and loss (spans) of each conversation; events have conv_id, seq, kind, message, role and text."""
 
-    def batch(ids: list, conversations: list[list]) -> pa.RecordBatch:
+    def batch(ids: list, conversations: list[list], kind: pa.DataType) -> pa.RecordBatch:
         done = [render(fold(x)) for x in conversations]
         spans = pa.array([[{"start": lo, "end": hi} for lo, hi in s] for _, s in done], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
         return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array([t for t, _ in done], pa.string()), spans], names=["conv_id", "formatted", "loss"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, log = None, []
+        now, log, kind = None, [], pa.null()
         for b in batches:
-            ids, done = [], []
+            ids, done, kind = [], [], b.schema.field(0).type
             for conv, *event in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if log and conv != now:
                     ids.append(now)
@@ -105,12 +105,11 @@ def formatted(events: DataFrame) -> DataFrame:
                 now = conv
                 log.append(tuple(event))
             if ids:
-                yield batch(ids, done)
+                yield batch(ids, done, kind)
         if log:
-            yield batch([now], [log])
+            yield batch([now], [log], kind)
 
     name = events.schema["conv_id"].dataType.simpleString()
-    kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[name]
     rows = events.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "role", "text")
     return rows.select("conv_id", "kind", "message", "role", "text").mapInArrow(run, f"conv_id {name}, formatted string, loss array<struct<start: long, end: long>>")
 
