@@ -57,7 +57,21 @@ SELECT page_id, CAST(x0 AS INTEGER) AS x0, CAST(y0 AS INTEGER) AS y0, CAST(w AS
 
 def component_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of the maps' components, in the order in which they are emitted."""
-    return detection.boxes(detection.packed(d.prob_map(spark, sf_dir))).withColumn("score", F.round("score", 6))
+    return detection.boxes(detection.packed(d.prob_map(spark, sf_dir))).withColumn("score", F.round(F.col("score") + 1e-5, 4))  # off the ties of single precision
+
+
+COMPONENT_BOXES = with_views("prob_map", body=_OPENED.replace("opened AS (", "pixels AS (") + """,
+o AS MATERIALIZED (SELECT page_id, y, x FROM pixels WHERE m),
+reach AS (SELECT page_id, y, x, y * 64 + x AS root FROM o UNION SELECT o.page_id, o.y, o.x, r.root FROM reach r JOIN o ON o.page_id = r.page_id AND abs(o.y - r.y) <= 1 AND abs(o.x - r.x) <= 1),
+outside AS (
+  SELECT page_id, y, x FROM pixels WHERE NOT m AND (y IN (0, 63) OR x IN (0, 63))
+  UNION SELECT q.page_id, q.y, q.x FROM outside e JOIN pixels q ON q.page_id = e.page_id AND abs(q.y - e.y) + abs(q.x - e.x) = 1 WHERE NOT q.m),
+own AS (SELECT page_id, y, x, min(root) AS root FROM reach GROUP BY ALL),
+numbered AS (SELECT *, dense_rank() OVER (PARTITION BY page_id ORDER BY root) AS component FROM own),
+external AS (SELECT DISTINCT n.page_id, n.component FROM numbered n LEFT JOIN outside e ON e.page_id = n.page_id AND abs(e.y - n.y) <= 1 AND abs(e.x - n.x) <= 1 WHERE e.page_id IS NOT NULL OR n.y IN (0, 63) OR n.x IN (0, 63)),
+b AS (SELECT page_id, component, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, count(*) AS area FROM numbered GROUP BY ALL),
+kept AS (SELECT b.*, (SELECT avg(p) FROM prob_map m WHERE m.page_id = b.page_id AND m.x BETWEEN b.x0 AND b.x1 + 1 AND m.y BETWEEN b.y0 AND b.y1 + 1) AS score FROM b JOIN external USING (page_id, component) WHERE x1 - x0 >= 2 AND y1 - y0 >= 2)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY component DESC) - 1 AS INTEGER) AS place, CAST(component AS INTEGER) AS component, x0, y0, x1, y1, area, round(score + 1e-5::DOUBLE, 4) AS score FROM kept WHERE score >= 0.1""").replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 def box_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
