@@ -17,20 +17,22 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.geometry import CORNERS, area, intersection, iou
 
-CELL = 160
+#: Width and height of a cell: a line of words is wide and low.
+CELL = (256, 32)
 
 
-def _cells(boxes: DataFrame, prefix: str, cell: int) -> DataFrame:
-    x0, y0, x1, y1 = (F.col(c) for c in CORNERS)
-    span = lambda a, b: F.sequence(F.floor(a / cell).cast("int"), F.floor(F.greatest(a, b) / cell).cast("int"))
-    named = boxes.select("page_id", *(F.col(c).alias(prefix + c) for c in boxes.columns if c != "page_id"), F.explode(span(x0, x1)).alias("cx"), span(y0, y1).alias("cys"))
+def _cells(boxes: DataFrame, prefix: str, cell: tuple[float, float]) -> DataFrame:
+    """A row for each cell that a box covers: page_id, cx, cy and the box with a prefix."""
+    at = lambda c, size: F.floor(F.col(c) / size).cast("int")
+    span = lambda low, high, size: F.sequence(at(low, size), F.greatest(at(low, size), at(high, size)))
+    named = boxes.select("page_id", *(F.col(c).alias(prefix + c) for c in boxes.columns if c != "page_id"), F.explode(span("x0", "x1", cell[0])).alias("cx"), span("y0", "y1", cell[1]).alias("cys"))
     return named.withColumn("cy", F.explode("cys")).drop("cys")
 
 
-def overlapping(left: DataFrame, right: DataFrame, cell: int = CELL) -> DataFrame:
+def overlapping(left: DataFrame, right: DataFrame, cell: tuple[float, float] = CELL) -> DataFrame:
     """Pairs of one page whose boxes have a common area, with prefixes l_ and r_, and that area as common."""
     joined = _cells(left, "l_", cell).join(_cells(right, "r_", cell), ["page_id", "cx", "cy"])
-    first_x, first_y = (F.floor(F.greatest("l_" + c, "r_" + c) / cell) for c in ("x0", "y0"))
+    first_x, first_y = (F.floor(F.greatest("l_" + c, "r_" + c) / size) for c, size in zip(("x0", "y0"), cell, strict=True))
     pairs = joined.withColumn("common", intersection("l_", "r_")).where((F.col("common") > 0) & (F.col("cx") == first_x) & (F.col("cy") == first_y))
     return pairs.drop("cx", "cy")
 

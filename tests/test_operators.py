@@ -30,9 +30,9 @@ def brute_iou(a, b):
     return common, common / max(size(a) + size(b) - common, 1e-12)
 
 
-@pytest.mark.parametrize("cell", [50, 160, 5000])
+@pytest.mark.parametrize("cell", [(50, 50), (256, 32), (5000, 7)])
 def test_overlaps_are_found_once(spark, cell):
-    rng = random.Random(cell)
+    rng = random.Random(cell[0])
     left, right = random_boxes(rng, 40), random_boxes(rng, 40)
     got = matching.with_iou(matching.overlapping(boxes(spark, left), boxes(spark, right), cell)).collect()
     want = {(i, j): brute_iou(a, b)[1] for i, a in enumerate(left) for j, b in enumerate(right) if brute_iou(a, b)[0] > 0}
