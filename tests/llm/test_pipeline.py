@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from test_operators import SPACED, brute_hits, counts, fingerprint, prose, repeated_runs, roots
+from test_llm_operators import SPACED, brute_hits, counts, fingerprint, prose, repeated_runs, roots
 
 import corpus_pipeline
 
