@@ -4,9 +4,12 @@ A document is its sequence of lines with a word (spaces at a line's ends aside).
 fewest lines with GRAM_WORDS words or more. Winnowing keeps of the grams that start within WINDOW_WORDS words the one
 of the least hash (the last, if equal), so that two places that share a run of GRAM_WORDS + WINDOW_WORDS words share a kept
 gram for certain; windows that the end of a text cuts short count too. Each kept gram is joined with its first place in the corpus, by doc_id and line; where that is
-another, the match is extended line by line both ways, and the lines of the later place are deleted. The first place of a
+another, the match is extended line by line both ways, and the lines of the later place are deleted. Where the first place
+differs, another earlier place may go on: each further line gives a key, the hash of the gram and of the lines up to it, and is
+deleted where an earlier place has the key too. The keys are aggregated, so no places are paired. The first place of a
 line is so never deleted. Beyond a gram a match goes on for less than GRAM_WORDS + WINDOW_WORDS words to the next kept gram or
-its end, so each gram carries no more of its surroundings than that.
+its end, so each gram carries no more of its surroundings than that, and each line of a run of GRAM_WORDS + WINDOW_WORDS
+words that an earlier place has is deleted.
 
 Defined results: a null text stays null and has no line; an empty text stays empty; a null doc_id comes after all others;
 rows that are equal in doc_id and text are one document, and their lines have one fate; runs of fewer than GRAM_WORDS words
@@ -68,6 +71,15 @@ def _equal(a: Column, b: Column) -> Column:
     return F.when(stop == 0, F.size(same)).otherwise(stop - 1)
 
 
+def _further(side: str, known: str) -> Column:
+    """The lines of a side after the first `known`: where each is, and the key of the gram with the lines up to it."""
+    count = F.greatest(F.size(side) - F.col(known), F.lit(0))
+    return F.transform(
+        F.slice(side, F.col(known) + 1, count),
+        lambda line, i: F.struct(F.xxhash64(F.lit(side), F.col("gram"), F.slice(F.col(side)["h"], F.lit(1), F.col(known) + i + 1)).alias("key"), line["at"].alias("at")),
+    )
+
+
 def repeated_lines(documents: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
     """doc_id, text_key and `drop`: the lines, by number, that repeat an earlier run."""
     grams = checkpoint(kept_grams(lines(documents), gram, window))
@@ -75,12 +87,14 @@ def repeated_lines(documents: DataFrame, gram: int = GRAM_WORDS, window: int = W
     firsts = grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first")
     sources = grams.join(firsts, "gram").where(place == F.col("first")).select("gram", "first", F.col("back.h").alias("first_back"), F.col("ahead.h").alias("first_ahead"))
     later = grams.join(sources, "gram").where(place > F.col("first"))
-    run = F.concat(
-        F.slice("back.at", F.lit(1), _equal(F.col("back.h"), F.col("first_back"))),
-        F.col("own.at"),
-        F.slice("ahead.at", F.lit(1), _equal(F.col("ahead.h"), F.col("first_ahead"))),
-    )
-    found = later.select(*_PLACE, F.explode(F.array_distinct(run)).alias("at"))
+    later = later.withColumns({"n_back": _equal(F.col("back.h"), F.col("first_back")), "n_ahead": F.greatest(_equal(F.col("ahead.h"), F.col("first_ahead")), F.size("own"))})
+    run = F.concat(F.slice("back.at", F.lit(1), F.col("n_back")), F.col("own.at"), F.slice("ahead.at", F.lit(1), F.col("n_ahead")))
+    further = F.concat(_further("back", "n_back"), _further("ahead", "n_ahead"))
+    later = checkpoint(later.select(*_PLACE, "pos", F.array_distinct(run).alias("run"), further.alias("further")))
+    each = later.select(*_PLACE, place.alias("place"), F.explode("further").alias("line")).select(*_PLACE, "place", "line.*")
+    earliest = each.groupBy("key").agg(F.min("place").alias("earliest"), F.count("*").alias("places")).where("places > 1").select("key", "earliest")
+    beyond = each.join(earliest, "key").where(F.col("place") > F.col("earliest")).select(*_PLACE, "at")
+    found = later.select(*_PLACE, F.explode("run").alias("at")).unionByName(beyond)
     return found.groupBy(*_PLACE).agg(F.collect_set("at").alias("drop")).drop("none")
 
 

@@ -257,6 +257,21 @@ def test_line_dedup(spark, seed):
     assert firsts == {x.strip(" ") for r in rows.values() for x in (r.text or "").split("\n")} | {""}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_where_the_first_place_ends_sooner(spark, seed):
+    rng = random.Random(seed)
+    texts = [[], [], []]
+    for _ in range(40):
+        a, b, c, x = (prose(rng, 24) for _ in range(4))
+        texts[0].append(([a, b], [b, c])[rng.random() < 0.3])
+        texts[1].append([x, a, b, c])
+        texts[2].append([a, b, c])
+    texts = ["\n".join(line for part in parts for line in [*part, prose(rng, 24)]) for parts in texts]
+    got = line_dedup.repeated_lines(documents(spark, texts)).collect()
+    gone = {(r.doc_id, k) for r in got for k in r.drop}
+    assert repeated_runs(texts, 50) <= gone <= repeated_runs(texts, 25)
+
+
 def test_line_dedup_of_nulls_and_copies(spark):
     rng = random.Random(9)
     passage = prose(rng, 55)
