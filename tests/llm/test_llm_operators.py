@@ -210,6 +210,35 @@ def test_events_fold(spark):
     assert chat_format.formatted(events.limit(0)).count() == 0
 
 
+def test_turns_of_one_conversation_are_rendered_in_many_tasks(spark):
+    rng = random.Random(6)
+    log = [(1, i, "start", f"m{i}" if i % 3 == 0 else None, rng.choice(("user", "assistant", None)), rng.choice((None, "a\\b", "</s>", prose(rng, 5)))) for i in range(300)]
+    log += [(1, 300 + i, "delta", f"m{3 * i}", None, f" more {i}") for i in range(100)] + [(1, 500, "delete", "m9", None, None), (1, 501, "start", "m9", "user", "again"), (2, 1, "regenerate", None, None, "x")]
+    log += [(2, 0, "start", None, "user", t) for t in ("b", "a", None)]
+    events = spark.createDataFrame(rng.sample(log, len(log)), "conv_id long, seq long, kind string, message string, role string, text string").repartition(4)
+    want = {}
+    for conv, _, kind, name, role, text in sorted(log, key=lambda e: (e[0], e[1], *((x is not None, x or "") for x in e[3:]))):
+        messages = want.setdefault(conv, {})
+        if kind == "delete":
+            messages.pop(name)
+        elif kind == "delta":
+            messages[name][1] += text
+        else:
+            messages[name or object()] = [role or ("" if kind == "start" else "assistant"), "" if kind == "regenerate" else text or ""]
+    parts = chat_format.rendered(events)
+    assert parts.where("conv_id = 1").select(F.spark_partition_id()).distinct().count() > 1
+    assert max(p.part.count(chat_format.BEGIN) for p in parts.collect()) == 1
+    got = {r.conv_id: r for r in chat_format.digests(parts).collect()}
+    whole = {r.conv_id: r for r in chat_format.formatted(events).collect()}
+    assert set(got) == set(want)
+    for conv, messages in want.items():
+        text, spans = chat_format.render([tuple(m) for m in messages.values()])
+        under = "".join(t for r, t in messages.values() if r == "assistant")
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{r}\n{t}\n" for r, t in messages.values()), under)]
+        assert tuple(got[conv]) == (conv, len(messages), sha[0], len(under), sha[1], len(text))
+        assert (whole[conv].formatted, [tuple(s) for s in whole[conv].loss]) == (text, spans)
+
+
 # 6
 
 
