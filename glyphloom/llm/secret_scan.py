@@ -35,7 +35,7 @@ WORDS = (*EXAMPLES, *NAMES, *OTHER_NAMES, "the", "and", "for", "with", "that", "
 
 _NAME = r"(?i:[\w.\-]{0,40}(?:" + "|".join(NAMES) + r")[\w.\-]{0,40})"
 _CANDIDATE = re.compile(rf"{_NAME}[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{8,}})|(?P<run>[A-Za-z0-9+/_\-]{{20,}}={{0,2}})")
-_QUICK = re.compile(r"(?=[A-Za-z0-9+/_\-]*[0-9])[A-Za-z0-9+/_\-]{20,}|" + "|".join(NAMES), re.I)
+_QUICK = re.compile(r"[A-Za-z0-9+/_\-]{20}|" + "|".join(NAMES), re.I)
 _ASSIGNED = re.compile(rf"{_NAME}[\"']?\s{{0,3}}(?:=>|:=|=|:)\s{{0,3}}[\"']?$")
 _OTHER = re.compile(r"\b(?:" + "|".join(OTHER_NAMES) + r")\b[\"']?\s{0,3}[=:]?\s{0,3}[\"']?$", re.I)
 _EXAMPLE = re.compile("|".join(EXAMPLES), re.I)
@@ -89,14 +89,14 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[Finding]:
         if i % 2:
             value = pick((
                 lambda: some("0123456789abcdef", pick((32, 40, 40, 48, 64))), lambda: some(alnum, int(rng.integers(16, 64))),
-                lambda: "AKIA" + some(digits + lower.upper(), 16), lambda: "ghp_" + some(alnum, 36),
+                lambda: "AKIA" + some(pick((digits, "")) + lower.upper(), 16), lambda: "ghp_" + some(pick((digits, "")) + lower + lower.upper(), 36),
                 lambda: base64.b64encode(rng.bytes(int(rng.integers(12, 48)))).decode(), lambda: some(alnum + "!@#$%^&*", int(rng.integers(10, 24))),
             ))()
             known = value.startswith(("AKIA", "ghp_"))
             before = prose() + " " + (pick(("key ", "use ", "")) if known and rng.random() < 0.5 else pick(("", "my_", "SERVICE_")) + name + mark)
             found.append(Finding(value, before[-CONTEXT:], pick(('"\n', "\n", " ", '" ')) + prose()[:20], pick(paths), True))
             continue
-        kind = int(rng.integers(7))
+        kind = int(rng.integers(8))
         if kind == 0:
             value, before = some("0123456789abcdef", pick((32, 40, 64))), prose() + " " + pick(OTHER_NAMES) + pick((" ", ": ", "=", ' = "'))
         elif kind == 1:
@@ -109,6 +109,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = 7) -> list[Finding]:
             value, before = "".join(pick(WORDS[-40:]).title() for _ in range(4)), prose() + pick((" class ", " ", " import "))
         elif kind == 5:
             value, before = "".join(pick(syllables) for _ in range(int(rng.integers(6, 12)))), prose() + pick((" ", "\n", " " + name + " "))
+        elif kind == 6:  # names and rules without a digit, which are candidates like all long runs
+            joined = pick(("_", "-")).join(pick(WORDS) if rng.random() < 0.7 else pick(syllables) + pick(syllables) for _ in range(int(rng.integers(4, 8))))
+            value = pick((joined, joined.upper(), joined.upper(), pick(("-", "_", "x", "/")) * int(rng.integers(20, 80))))
+            before = prose() + pick((" ", "\n", " export ", " if ", "("))
         else:
             value, before = some(alnum, int(rng.integers(20, 48))), prose() + " " + pick(("example ", "sample: ", "dummy ")) + name + mark
         found.append(Finding(value, before[-CONTEXT:], pick(('"', "\n", " ")) + prose()[:20], pick(weak_paths), False))
@@ -121,15 +125,10 @@ def train(findings: list[Finding]) -> forest.Forest:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Where candidates stand in a text, in code points. A run alone needs a digit; an assigned value needs none."""
+    """Where candidates stand in a text, in code points: all long runs and assigned values; to reject words is the forest's part."""
     if not _QUICK.search(text):
         return []
-    found = []
-    for m in _CANDIDATE.finditer(text):
-        part = "value" if m["value"] else "run"
-        if part == "value" or any(c.isdigit() for c in m["run"]):
-            found.append(m.span(part))
-    return found
+    return [m.span("value" if m["value"] else "run") for m in _CANDIDATE.finditer(text)]
 
 
 def scan(documents: DataFrame, model: forest.Forest, path: str | None = None, threshold: float = THRESHOLD) -> DataFrame:

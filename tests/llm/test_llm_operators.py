@@ -333,6 +333,18 @@ def test_secrets(spark):
     assert all(texts[r.doc_id][r.start : r.end] == r.value for r in found)
 
 
+def test_secrets_without_a_digit(spark):
+    rng = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    keys = ["AKIA" + "".join(rng.choices(letters, k=16)) for _ in range(5)] + ["ghp_" + "".join(rng.choices(letters + letters.lower(), k=36)) for _ in range(5)]
+    keys += ["".join(rng.choices(letters + letters.lower(), k=24)) for _ in range(5)]
+    others = ["internationalization-of-things", "Donaudampfschifffahrtsgesellschaft", "THE_TIME_OF_SERVICE_LIST", "HttpServletRequestFactory", "-" * 60, "lib/model/image/handler"]
+    texts = [f"we use {v} for it" for v in [*keys, *others]]
+    found = secret_scan.scan(documents(spark, texts), secret_scan.train(secret_scan.labelled_findings())).collect()
+    assert {r.value for r in found} == {*keys, *others}
+    assert {r.value for r in found if r.secret} == set(keys)
+
+
 # 8
 
 
