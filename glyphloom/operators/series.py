@@ -25,6 +25,20 @@ def last_n(rows: DataFrame, keys: list[str], order: list[str], n: int) -> DataFr
     return rows.withColumn("_k", F.row_number().over(latest)).where(F.col("_k") <= n).drop("_k")
 
 
+def numbered(rows: DataFrame, by: str) -> DataFrame:
+    """rows with `place`, from 0, by a column of numbers, nulls first: counted within ranges, which follow each other, so that no task reads all."""
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limits = sorted(set(rows.approxQuantile(by, [k / ranges for k in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
+    passed = F.filter(F.array(*map(F.lit, limits)).cast("array<double>"), lambda x: x < F.col(by).cast("double"))
+    ranged = rows.withColumn("_range", F.size(passed))
+    before, starts = 0, []
+    for r in sorted(ranged.groupBy("_range").count().collect()):
+        starts += [F.lit(r["_range"]), F.lit(before).cast("long")]
+        before += r["count"]
+    offset = F.create_map(*starts)[F.col("_range")] if starts else F.lit(0).cast("long")
+    return ranged.withColumn("place", offset + F.row_number().over(Window.partitionBy("_range").orderBy(by)) - 1).drop("_range")
+
+
 def high_water(spans: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     """The most spans open at once in each group; one that ends when another starts has ended."""
     step = F.explode(F.array(F.struct(F.col(start).alias("at"), F.lit(1).alias("by")), F.struct(F.col(end).alias("at"), F.lit(-1).alias("by"))))

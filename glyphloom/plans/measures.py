@@ -209,10 +209,10 @@ HASH_SAMPLE = "SELECT doc_id, sha256(CAST(doc_id AS VARCHAR)) AS digest FROM doc
 
 def cyclic_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages replayed in turn for three passes and a half: how often each comes, and its last place."""
-    pages = d.table(spark, sf_dir, "benchmark").select("item_id").withColumn("place", F.row_number().over(Window.orderBy("item_id")) - 1)
+    pages = d.table(spark, sf_dir, "benchmark").select("item_id")
     n = pages.count()
-    rows = spark.range(n * 7 // 2).select("id", F.pmod("id", F.lit(n)).cast("int").alias("place"))
-    return rows.join(F.broadcast(pages), "place").groupBy("item_id").agg(F.count("*").alias("times"), F.max("id").alias("last"))
+    rows = spark.range(n * 7 // 2).select("id", F.pmod("id", F.lit(n)).alias("place"))
+    return rows.join(series.numbered(pages, "item_id"), "place").groupBy("item_id").agg(F.count("*").alias("times"), F.max("id").alias("last"))
 
 
 CYCLIC_REPLAY = """

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import config, geometry
 from glyphloom.operators import detection, matching, orientation, pipeline, recognition, recovery, series, tiles
+from glyphloom.plans import measures
 from glyphloom.streaming import pages as streams
 
 BOX = "page_id long, idx long, text string, x0 double, y0 double, x1 double, y1 double"
@@ -172,6 +173,21 @@ def test_series(spark):
     assert [(r.at, r.rate) for r in series.adaptive_rates(rates, "k", "t").orderBy("at").collect()] == [(11.0, 2 / 11), (30.0, 2 / 19)]
 
 
+def test_replay_is_numbered_in_many_tasks(spark, tmp_path):
+    ids = random.Random(8).sample(range(-500, 5000), 1001) + [7, 7, 7]
+    spark.createDataFrame([(i,) for i in ids], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = measures.cyclic_replay(spark, str(tmp_path))
+    plan = found._jdf.queryExecution()
+    assert "SinglePartition" not in plan.executedPlan().toString() and "strategy=broadcast" not in plan.optimizedPlan().toString()
+    want, n = {}, len(ids)
+    for k in range(n * 7 // 2):
+        want.setdefault(k % n, []).append(k)
+    places = {}
+    for place, i in enumerate(sorted(ids)):
+        places.setdefault(i, []).extend(want[place])
+    assert {(r.item_id, r.times, r["last"]) for r in found.collect()} == {(i, len(k), max(k)) for i, k in places.items()}
+
+
 def test_tiles(spark):
     dims = spark.createDataFrame([(1, 1000, 400), (2, 0, 0)], "page_id long, width int, height int")
     covered = np.zeros((400, 1000), bool)
