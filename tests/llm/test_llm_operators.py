@@ -441,6 +441,34 @@ def test_tokens_of_random_texts(bpe):
     assert counter.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_tokens_of_long_pieces(bpe, monkeypatch):
+    path, library = bpe
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choices(letters, k=30_000)), "a" * 5001, "abab" * 3000, "日本" * 900, "".join(rng.choices("ab\u00e9ß日", k=9000)), " " * 3000 + "x", "-=" * 4000, "the <|endoftext|> " * 300]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    v = token_counts.vocabulary(path)
+    assert token_counts.Counter(v).count(texts) == want
+    pieces = [p.encode() for p in texts if " " not in p]
+    assert token_counts.long_sizes(pieces, v).tolist() == token_counts.merged_sizes(pieces, v).tolist()
+    monkeypatch.setattr(token_counts, "BATCH_CHARS", 5000)
+    monkeypatch.setattr(token_counts, "BATCH_PIECES", 7)
+    monkeypatch.setattr(token_counts, "REMEMBERED", 3)
+    monkeypatch.setattr(token_counts, "LONG", 4)
+    assert token_counts.Counter(v).count(texts) == want
+
+
+def test_a_million_letters_take_seconds(bpe):
+    path, library = bpe
+    text, counter = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), token_counts.Counter(token_counts.vocabulary(path))
+    began = time.perf_counter()
+    n = counter.count([text])
+    assert time.perf_counter() - began < 15 and n == [len(library.encode(text, add_special_tokens=False).ids)]
+
+
+def test_tokens_of_an_empty_table(spark, bpe):
+    assert token_counts.token_counts(documents(spark, ["x"]).limit(0), bpe[0]).count() == 0
+
+
 # 9
 
 
