@@ -2,12 +2,12 @@
 
 Defined results: a null text has no words and fails the base rules; a null doc_id is kept and has no label; repeated
 rows are judged alike; labels that disagree count as the lower; without labels of both kinds the list is empty and
-the base rules decide; columns of documents with other names are ignored, or kept by `filter_documents`.
+the base rules decide; an empty table has an empty result; columns of documents with other names are ignored, or kept
+by `filter_documents`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -15,16 +15,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from glyphloom.llm._ragged import SPACED, Powers, chunks, mixed, totals
-from glyphloom.llm._shared import bounded_sample, checkpoint, keep_rows, table
+from glyphloom.llm._shared import bounded_sample, checkpoint, table
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits", "n_marks", "n_bars", "n_chars_all")
 SYMBOLS = b"#*$%&|<>"
 MARKS = b"!?"
 
 #: Rows of labels that the list is learned from, about, if there are more; chosen by the hash of doc_id.
-TRAINING_ROWS = 20_000
+TRAINING_ROWS = 40_000
 
 
 def _table(of: bytes) -> np.ndarray:
@@ -83,17 +84,17 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return found
 
 
-def document_counts(documents: DataFrame) -> DataFrame:
-    """doc_id, text_key (a hash of the text) and the COUNTS of each document."""
+def _counts(texts: pa.Array) -> pa.Array:
+    found = text_counts(texts)
+    return pa.StructArray.from_arrays([pa.array(v) for v in found.values()], names=list(found))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts = text_counts(b.column(2))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, counts.values())], names=["doc_id", "text_key", *counts])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, " + ", ".join(f"{k} long" for k in COUNTS))
+def document_counts(documents: DataFrame, *carried: str) -> DataFrame:
+    """The COUNTS of each document beside the carried columns, in one narrow pass; only the texts (of `text`, or of the
+    struct `row` if it is carried) go to Python."""
+    text = F.col("row")["text"] if "row" in carried else F.col("text")
+    counts = F.arrow_udf(_counts, T.StructType([T.StructField(k, T.LongType()) for k in COUNTS])).asNondeterministic()
+    return documents.select(*carried, counts(text).alias("counts")).select(*carried, "counts.*")
 
 
 #: The measures that conditions of the list compare with thresholds, as SQL over the COUNTS.
@@ -132,18 +133,17 @@ def _holds(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return reduce(np.logical_and, (c.holds(x) for c in rule), np.ones(n, bool))
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray, steps: int, most: int) -> Rule:
-    """Adds the condition of the highest information gain until only bad rows are covered."""
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
+    """Adds the condition of the highest information gain, of all thresholds between two values, until only bad rows are covered."""
     rule: Rule = ()
     inside = np.ones(len(bad), bool)
-    while len(rule) < most and (p := bad[inside].sum()) and (n := inside.sum() - p):
+    while (p := bad[inside].sum()) and (n := inside.sum() - p):
         best, gain = None, 1e-9
         for k, v in x.items():
             here, y = v[inside], bad[inside]
             order = np.argsort(here, kind="stable")
             here, y = here[order], np.cumsum(y[order])
             ends = np.flatnonzero(here[1:] > here[:-1])
-            ends = ends[np.linspace(0, len(ends) - 1, min(steps, len(ends))).astype(int)] if len(ends) else ends
             for above in (False, True):
                 cover = (len(here) - 1 - ends) if above else ends + 1
                 hit = (y[-1] - y[ends]) if above else y[ends]
@@ -152,23 +152,23 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, steps: int, most: int) -> R
                 if len(gains) and gains.max() > gain:
                     i = ends[gains.argmax()]
                     best, gain = Condition(k, above, float((here[i] + here[i + 1]) / 2)), gains.max()
-        if best is None:
+        if best is None or best.holds(x)[inside].all():
             break
         rule, inside = (*rule, best), inside & best.holds(x)
     return rule
 
 
-def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, least: int = 5, rules: int = 12, steps: int = 400, conditions: int = 4) -> list[Rule]:
-    """Sequential covering: grows a rule on two thirds of the rows, prunes it on the others, and takes the rows that
-    it covers away, until a rule's precision on the pruning rows falls under `precision`."""
+def learn(x: dict[str, np.ndarray], bad: np.ndarray, precision: float = 0.95, least: int = 5) -> list[Rule]:
+    """Sequential covering: grows a rule on two thirds of the rows, prunes it on the others, and takes the rows that it covers
+    away, until a rule covers fewer than `least` bad pruning rows, or its precision on them falls under `precision`."""
     n = len(bad)
     third = np.arange(n) % 3 == 2
     left, found = np.ones(n, bool), []
-    while len(found) < rules:
+    while True:
         grow, prune = left & ~third, left & third
         if not bad[grow].any() or bad[grow].all():
             break
-        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], steps, conditions)
+        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow])
         held, y = {k: v[prune] for k, v in x.items()}, bad[prune]
         scored = []
         for k in range(1, len(rule) + 1):
@@ -194,25 +194,33 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def train(counts: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> list[Rule]:
-    """Learns from about `rows` labelled documents, no more in expectation, that pass the base rules."""
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> list[Rule]:
+    """Learns from the labelled documents that pass the base rules, of about `rows` labels, no more in expectation, chosen by
+    the hash of doc_id. Only the texts of these are read into counts; documents of one id and text count once."""
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    measured = counts.where(~base_failed()).join(marked, "doc_id").select("doc_id", *(F.expr(m).alias(k) for k, m in MEASURES.items()), (F.col("quality") == 0).alias("bad"))
-    sample = bounded_sample(checkpoint(measured), "doc_id", rows).select(F.xxhash64("doc_id").alias("at"), *MEASURES, "bad").toPandas()
-    sample = sample.sort_values(["at", *MEASURES])
+    chosen = checkpoint(bounded_sample(checkpoint(marked), "doc_id", rows)).withColumn("bad", F.col("quality") == 0).select(F.col("doc_id").alias("id"), "bad")
+    found = documents.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).withColumn("key", F.xxhash64("text"))
+    counts = checkpoint(document_counts(found, "id", "key", "bad").dropDuplicates(["id", "key"]).where(~base_failed()))
+    measured = counts.select("id", "key", *(F.expr(m).alias(k) for k, m in MEASURES.items()), "bad")
+    # Ids may repeat with different texts, so that rows are chosen once more.
+    sample = bounded_sample(measured, "key", rows).select(F.xxhash64("id").alias("at"), "key", *MEASURES, "bad").toPandas().sort_values(["at", "key"])
     return learn({k: sample[k].to_numpy(float) for k in MEASURES}, sample["bad"].to_numpy(bool))
 
 
-def judge(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """doc_id, the COUNTS, base_failed and kept. The texts are read once; the list is learned from their counts."""
-    counts = checkpoint(document_counts(documents))
-    rules = train(counts, labels, rows)
+def _judged(documents: DataFrame, rules: list[Rule], *carried: str) -> DataFrame:
+    counts = document_counts(documents, *carried)
     return counts.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(rules))
 
 
+def judge(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
+    """doc_id, the COUNTS, base_failed and kept. The list is learned from a sample; then all texts are read in one pass."""
+    return _judged(documents, train(documents, labels, rows), "doc_id")
+
+
 def filter_documents(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    return keep_rows(documents, judge(documents, labels, rows).where("kept"))
+    """The documents that are kept, with all their columns: no row is shuffled."""
+    rules = train(documents, labels, rows)
+    return _judged(documents.select(F.struct(*documents.columns).alias("row")), rules, "row").where("kept").select("row.*")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
