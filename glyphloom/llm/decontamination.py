@@ -6,21 +6,22 @@ loss. Over what is left a shard builds its suffix array, its Burrows-Wheeler tra
 of suffix positions; all windows are searched backward at once, their occurrences located by walking to a sampled
 suffix, and the words they cover merged into spans.
 
-Words are compared by 64-bit hashes. The benchmark is sent to the executors in blocks of bounded size; with more than
-one block the documents are searched block by block.
+Words are compared by 64-bit hashes. The benchmark's different items are sent to the executors in blocks of bounded size (of
+an item's size, if one is larger: an item is not cut); with more than one block the documents are searched block by block.
 
 Defined results: a null or empty text has no words and no hit; an item without words has no window; items that repeat an
-id share it, an item without an id is listed as the empty string; repeated documents are each reported; extra columns
-are ignored by the query and kept by `decontaminate`, whatever their names.
+id share it, an item without an id is listed as the empty string; repeated documents are each reported; an empty table of
+documents has an empty result, an empty benchmark no hits; extra columns are ignored by the query and kept by `decontaminate`, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +36,7 @@ BLOCK_BYTES = 32 << 20
 SAMPLE = 8
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+FOUND = T.StructType([T.StructField("left", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
 @dataclass
@@ -220,43 +222,42 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*parts, raw[last : len(raw) - 1]]).decode()
 
 
-def _searched(rows: DataFrame, p: Patterns, clean: bool) -> DataFrame:
-    """rows: row, text, spans, items. Adds what the patterns find; if clean, takes the spans out of the text."""
-    shared = rows.sparkSession.sparkContext.broadcast(p)
-    kind = T.StructType([*rows.select("row", "text").schema, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+def _searched(p: Patterns, clean: bool, sc: SparkContext) -> Callable[[Column, Column, Column], Column]:
+    """A function of a text and of what is known of it, spans and items: adds what the patterns find. Of a text that is to be
+    cleaned and has spans, what is left is given too."""
+    shared = sc.broadcast(p)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        for b in batches:
-            n_words, occurrences, pairs = search(b.column(1), p)
-            spans = [[(s["start"], s["end"]) for s in x or ()] for x in b.column(2).to_pylist()]
-            items = [list(x or ()) for x in b.column(3).to_pylist()]
-            for i, lo, hi in occurrences.tolist():
-                spans[i].append((lo, hi))
-            for i, k in pairs.tolist():
-                items[i].append(p.items[k])
-            spans, texts = [merged(x) for x in spans], b.column(1)
-            if clean and any(spans):
-                texts = pa.array([without(t, x) if x else t for t, x in zip(texts.to_pylist(), spans, strict=True)], texts.type)
-            as_spans = pa.array([[{"start": lo, "end": hi} for lo, hi in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), texts, pa.array(n_words), as_spans, pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=["row", "text", "n_words", "spans", "items"])
+    def run(texts: pa.Array, known_spans: pa.Array, known_items: pa.Array) -> pa.Array:
+        n_words, occurrences, pairs = search(texts, shared.value)
+        spans = [[(s["start"], s["end"]) for s in x or ()] for x in known_spans.to_pylist()]
+        items = [list(x or ()) for x in known_items.to_pylist()]
+        for i, lo, hi in occurrences.tolist():
+            spans[i].append((lo, hi))
+        for i, k in pairs.tolist():
+            items[i].append(shared.value.items[k])
+        spans = [merged(x) for x in spans]
+        left = [without(texts[i].as_py(), x) if x and clean else None for i, x in enumerate(spans)]
+        as_spans = pa.array([[{"start": lo, "end": hi} for lo, hi in x] for x in spans], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+        return pa.StructArray.from_arrays([pa.array(left, pa.string()), pa.array(n_words), as_spans, pa.array([sorted(set(x)) for x in items], pa.list_(pa.string()))], names=["left", "n_words", "spans", "items"])
 
-    return rows.select("row", "text", "spans", "items").mapInArrow(run, kind)
+    return F.arrow_udf(run, FOUND).asNondeterministic()
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, clean: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """row (a struct of all columns of documents), text, n_words, spans of hit words and the items found, by id as text."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = checkpoint(items.distinct())
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("id"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    found = documents.select(F.struct(*documents.columns).alias("row"), documents["text"], F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items"))
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")).alias("found"))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         some = block.orderBy("id", "text").toPandas()
-        found = _searched(found, patterns(some["id"].tolist(), some["text"].tolist(), window), clean and k == blocks - 1)
+        add = _searched(patterns(some["id"].tolist(), some["text"].tolist(), window), clean and k == blocks - 1, documents.sparkSession.sparkContext)
+        rows = rows.select("row", add(F.col("row")["text"], F.col("found")["spans"], F.col("found")["items"]).alias("found"))
         if k < blocks - 1:
-            found = checkpoint(found)
-    return found
+            rows = checkpoint(rows)
+    return rows.select("row", F.coalesce(F.col("found")["left"], F.col("row")["text"]).alias("text"), "found.n_words", "found.spans", "found.items")
 
 
 def n_hit() -> Column:
