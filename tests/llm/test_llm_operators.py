@@ -128,6 +128,44 @@ def test_toxicity(spark):
     assert {round(r.score, 6) for r in none} == {0.0}
 
 
+def test_scores_are_those_of_a_plain_loop():
+    rng = np.random.default_rng(3)
+    filters = [rng.normal(size=(k, toxicity.DIMENSIONS, toxicity.FILTERS)) for k in toxicity.WIDTHS]
+    n = toxicity.FILTERS * len(filters)
+    m = toxicity.Model(rng.normal(size=(60, toxicity.DIMENSIONS)), filters, rng.normal(size=n), rng.normal(size=n), 0.3)
+    m.embedding[0] = 0
+    texts = [rng.integers(1, 60, (k, 3)) for k in (0, 1, 2, 0, 3, 9, 40, 0)]
+    want = []
+    for t in texts:
+        vectors = [m.embedding[r].sum(axis=0) for r in t] + [np.zeros(toxicity.DIMENSIONS)] * 3
+        pool = [max(sum(vectors[i + j] @ w[j][:, f] for j in range(len(w))) for i in range(max(len(t), 1))) for w in filters for f in range(toxicity.FILTERS)]
+        want.append(1 / (1 + np.exp(-(np.maximum(np.array(pool) + m.bias, 0) @ m.weights + m.offset))))
+    sizes = np.array([len(t) for t in texts])
+    assert m.score(np.concatenate(texts), sizes) == pytest.approx(want)
+    assert [m.score(t, np.array([len(t)]))[0] for t in texts] == pytest.approx(want)
+
+
+def test_best_threshold():
+    rng = np.random.default_rng(4)
+    for _ in range(30):
+        y = (rng.random(60) < 0.4).astype(float)
+        score = np.round(np.clip(rng.normal(0.3 + 0.3 * y, 0.2), 0, 1), 2)
+        f1 = lambda t: 2 * ((score >= t) & (y > 0)).sum() / ((score >= t).sum() + y.sum())  # noqa: B023, E731
+        assert f1(toxicity.best_threshold(score, y)) == pytest.approx(max(map(f1, score)))
+    assert toxicity.best_threshold(np.array([0.1, 0.9]), np.array([0.0, 1.0])) == 0.5
+
+
+def test_toxicity_reruns_agree_where_ids_repeat(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 20) + (" idiot" if i % 4 == 0 else "") for i in range(240)]
+    ids = [i // 3 for i in range(240)]
+    labels = spark.createDataFrame([(i, 1, int(3 * i % 4 == 0)) for i in range(80)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, texts, ids)
+    runs = [toxicity.judged(d, labels).orderBy("doc_id", "score").collect() for d in (docs.repartition(2), docs.repartition(5).orderBy(F.rand(3)))]
+    assert runs[0] == runs[1] and len(runs[0]) == 240
+    assert toxicity.judged(docs.limit(0), labels).count() == 0
+
+
 # 4
 
 
