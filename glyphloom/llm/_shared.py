@@ -9,13 +9,21 @@ from pyspark.sql import functions as F
 
 #: Words of most operators: runs without ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
+#: A key with more than one row in so many is hot.
+HOT_SHARE = 1000
+#: Keys of documents that go to all tasks; more are joined.
+BROADCAST_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where it names none (tests), one of this machine is set."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The folder that the session names in spark.checkpoint.dir; where it names none, a local session (tests) gets one of this machine."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -39,15 +47,33 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def keep_rows(documents: DataFrame, kept: DataFrame) -> DataFrame:
-    """The documents whose doc_id and text hash are among kept(doc_id, text_key), with all their columns."""
-    ids = kept.select(F.col("doc_id").alias("kept_id"), "text_key").distinct()
-    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
-    found = rows.join(ids, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_key") == F.col("text_key")), "left_semi")
-    return found.select("row.*")
+def row_key(documents: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(*(F.to_json(F.struct(f.name)) if "map<" in f.dataType.simpleString() else documents[f.name] for f in documents.schema.fields))
+
+
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> list:
+    """The keys that hold over 1/HOT_SHARE of the rows that counts(key, n) sums up: fewer than HOT_SHARE of them, whatever the table."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) > max(total // HOT_SHARE, 1)).select(key).collect()]
+
+
+def join_dealt(left: DataFrame, right: DataFrame, key: str, hot: list) -> DataFrame:
+    """left joined with right, which has a row for each key: the rows of hot keys stay where they are and get the few rows of
+    right that they need by broadcast; only the others are dealt by key."""
+    if not hot:
+        return left.join(right, key)
+    of = F.col(key).isin(hot)
+    some = left.where(of).join(F.broadcast(right.where(of)), key)
+    return some.unionByName(left.where(~of).join(right.where(~of), key))
+
+
+def small(rows: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    """Whether a table of keys may go to all tasks."""
+    return rows.limit(most + 1).count() <= most
 
 
 def bounded_sample(rows: DataFrame, key: str, most: int) -> DataFrame:
     """About `most` rows, or all if there are no more; by the hash of a column, so that reruns and machines agree."""
     n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 20)) < (most << 20) // n)
+    return rows if n <= most else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < (most << 40) // n)

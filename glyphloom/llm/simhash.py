@@ -5,11 +5,14 @@ Postings are keyed by byte positions with their bytes. Single bytes would make l
 posting takes `width` positions at once, from a family of position sets of which any 4 positions contain one: no link is
 lost, and lists stay short. Within a list the shared positional bytes of each pair are tallied, pairs with 4 or more
 retained, and their bits compared. Lists of over BLOCK fingerprints are split into blocks; each pair of blocks is one
-group, so that no task holds a whole hot list; of a large group only the links of a spanning forest are emitted.
+group, so that no task holds a whole hot list; of a large group only the links of a spanning forest are emitted. Keys with
+many rows (a common fingerprint, the hub of a star) are joined without being dealt to one task.
 
 Defined results: a null text has no words; texts without words have fingerprint zero, linked as any other; a null
 doc_id has a fingerprint and takes part in links, but is never the smallest of a component (a component of nulls alone
-has none); repeated rows come out as often as they came in.
+has none); repeated rows come out as often as they came in; an empty table has an empty result. Of each component
+`keep_one` keeps the row of the smallest doc_id (null last), among rows of that id that of the least text hash, then of the
+least hash of all columns, and one of rows equal in all; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from glyphloom.llm._ragged import SPACED_LOWER, chunks
-from glyphloom.llm._shared import checkpoint, keep_rows, table
+from glyphloom.llm._shared import checkpoint, hot_keys, join_dealt, row_key, small, table
 
 SHINGLE_WORDS = 4
 SEED = 42
@@ -85,15 +88,16 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def with_fingerprints(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, text_key (a hash of the text) and fp, the fingerprint as a signed long."""
+    """doc_id, text_key (a hash of the text), row_key (of all columns) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fingerprints(b.column(2), words).view(np.int64))], names=["doc_id", "text_key", "fp"])
+            found = pa.array(fingerprints(b.column(3), words).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], found], names=["doc_id", "text_key", "row_key", "fp"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, fp long")
+    rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"), row_key(documents).alias("row_key"), "text")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_key long, row_key long, fp long")
 
 
 def position_sets(width: int) -> list[tuple[int, ...]]:
@@ -135,13 +139,18 @@ def groups(posted: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.select("key", "fp", "own", other.alias("other")).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
 
 
-def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Count filter, then bits: tallies equal positional bytes; of pairs with enough of them the bits are compared."""
+def shared_bytes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The tally of equal positional bytes of each pair."""
     x = a ^ b
-    spread = x | (x >> np.uint64(4))
-    spread |= spread >> np.uint64(2)
-    spread |= spread >> np.uint64(1)
-    enough = BYTES - np.bitwise_count(spread & _LOW) >= SHARED
+    x |= x >> np.uint64(4)
+    x |= x >> np.uint64(2)
+    x |= x >> np.uint64(1)
+    return BYTES - np.bitwise_count(x & _LOW)
+
+
+def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The count filter, then the bits of the pairs that it retains."""
+    x, enough = a ^ b, shared_bytes(a, b) >= SHARED
     enough[enough] = np.bitwise_count(x[enough]) <= MOST_BITS
     return enough
 
@@ -220,48 +229,55 @@ def links(nodes: DataFrame, width: int | None = None, block: int = BLOCK) -> Dat
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def components(edges: DataFrame, most: int = 60) -> DataFrame:
-    """node, root: the smallest node of each component, by large and small stars in turn until nothing changes."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node of each component, by large and small stars in turn until nothing changes, which
+    takes a number of turns that is logarithmic in the longest chain."""
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    for _ in range(most):
+    while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        near = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(near, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = checkpoint(small.select("e.u", "e.v").where("u != v").distinct())
+        least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        large = join_dealt(both, least.select("u", F.least("u", "m").alias("m")), "u", hot_keys(least, "u"))
+        large = checkpoint(large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        near = checkpoint(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        small_star = join_dealt(large, near.select("u", "m"), "u", hot_keys(near, "u"))
+        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = checkpoint(small_star.select(F.explode(ends).alias("e")).select("e.u", "e.v").where("u != v").distinct())
         # Stars are flat when no centre hangs on another and no node on two.
-        joined = new.groupBy("u").agg(F.count("*").alias("n"))
-        chained = new.select(F.col("v").alias("u")).distinct().join(joined, "u", "left_semi")
-        edges = new
-        if chained.isEmpty() and joined.where("n > 1").isEmpty():
+        hung = edges.groupBy("u").agg(F.count("*").alias("n"))
+        chained = edges.select(F.col("v").alias("u")).distinct().join(hung, "u", "left_semi")
+        if chained.isEmpty() and hung.where("n > 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def clustered(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, text_key, fp and component_id of each document."""
+    """doc_id, text_key, row_key, fp, root and component_id of each document."""
     rows = checkpoint(with_fingerprints(documents, words))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    nodes = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(links(nodes.select("fp")))
-    named = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = named.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
-    return rows.join(classes, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    named = checkpoint(nodes.join(roots, nodes.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least", "n"))
+    least = checkpoint(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    classes = join_dealt(named.select("fp", "root"), least.select("root", "component_id"), "root", hot_keys(least, "root"))
+    return join_dealt(rows, classes, "fp", hot_keys(nodes, "fp")).select("doc_id", "text_key", "row_key", "fp", "root", "component_id")
 
 
 def keep_one(documents: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """One document of each component, that of the smallest doc_id (the least text_key among rows of that id)."""
-    found = clustered(documents, words)
-    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s"))
-    stays = checkpoint(stays.select("s.doc_id", "s.text_key"))
-    kept = keep_rows(documents, stays)
-    if found.groupBy("doc_id", "text_key").count().where("count > 1").isEmpty():
-        return kept
-    rows = kept.select(F.struct(*kept.columns).alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))
-    return rows.dropDuplicates(["doc_id", "text_key"]).select("row.*")
+    """One document of each component. The rows that go are sent to all tasks where they are few; else rows are joined with those that stay."""
+    found = checkpoint(clustered(documents, words))
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row_key")
+    stays = checkpoint(found.groupBy("root").agg(F.min(key).alias("s")).select("s.doc_id", "s.row_key"))
+    rows = documents.select(F.struct(*documents.columns).alias("row"), F.col("doc_id").alias("own_id"), row_key(documents).alias("own_key"))
+    same = lambda of: F.col("own_id").eqNullSafe(of["doc_id"]) & (F.col("own_key") == of["row_key"])
+    goes = checkpoint(found.select("doc_id", "row_key").subtract(stays))
+    kept = rows.join(F.broadcast(goes), same(goes), "left_anti") if small(goes) else rows.join(stays, same(stays), "left_semi")
+    if found.groupBy("doc_id", "row_key").count().where("count > 1").isEmpty():
+        return kept.select("row.*")
+    # Of rows equal in all columns that would stay, one does; only theirs are dealt by key.
+    twice = found.groupBy("doc_id", "row_key").count().where("count > 1").drop("count")
+    twice = checkpoint(twice.join(stays, ["row_key"], "left_semi"))
+    again = F.broadcast(twice) if small(twice) else twice
+    return kept.join(again, same(twice), "left_anti").select("row.*").unionByName(kept.join(again, same(twice), "left_semi").dropDuplicates(["own_id", "own_key"]).select("row.*"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clustered(table(spark, sf_dir, "documents"))
+    found = clustered(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
