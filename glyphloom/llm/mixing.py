@@ -6,8 +6,8 @@ floor(target / size of its source) times, and once more with the probability of
 doc_id (of its text where it has none), so that reruns agree.
 
 Defined results: a null text has no words, a null source is a source of its own, after all others; a document without
-words is drawn like any other and adds none; rows of one doc_id share their draw; without words in any document all targets are 0;
-extra columns are kept, whatever their names.
+words is drawn like any other and adds none; rows of one doc_id share their draw; without words in any document all targets
+are 0; an empty table has an empty result; extra columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,15 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm._shared import SPACE_WORD, checkpoint, table, uniform
+from glyphloom.llm._shared import HOT_SHARE, SPACE_WORD, checkpoint, table, uniform
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
-#: Sources whose targets are sent to all tasks; beyond, documents are joined with them, hot sources dealt over SALTS.
+#: Sources whose targets are sent to all tasks; beyond, that is done for the few hot ones, and documents of others are joined.
 BROADCAST_SOURCES = 50_000
 BROADCAST_BYTES = 8 << 20
-SALTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -34,37 +33,37 @@ def draw(documents: DataFrame) -> Column:
     return uniform(F.lit("mix"), F.coalesce(documents["doc_id"].cast("string"), F.md5(documents["text"]), F.lit("")))
 
 
-def numbered(sources: DataFrame) -> DataFrame:
-    """sources with `place`, from 0, by source in code point order, null last: counted within ranges, which follow each other."""
-    ranged = checkpoint(sources.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
-    sizes = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
-    before, starts = 0, []
-    for part, n in sizes:
-        starts.append((part, before))
-        before += n
-    if not starts:
-        return ranged.withColumn("place", F.lit(0).cast("long")).drop("part")
-    offsets = F.create_map(*(F.lit(x) for pair in starts for x in pair))
-    return ranged.withColumn("place", (offsets[F.col("part")] + own).cast("long")).drop("part")
+def prefixed(rows: DataFrame, order: list[Column], **amounts: Column) -> DataFrame:
+    """rows with the sum of each amount over all rows that come before. They are dealt by ranges of the order, which follow
+    each other: sums within a range are windows, those of the ranges before it come from one row a range."""
+    ranged = checkpoint(rows.withColumns(amounts).repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    sums = sorted(tuple(r) for r in ranged.groupBy("part").agg(*(F.sum(k) for k in amounts)).collect())
+    before, starts = [0] * len(amounts), []
+    for part, *own in sums:
+        starts.append((part, *before))
+        before = [a + b for a, b in zip(before, own, strict=True)]
+    of_ranges = rows.sparkSession.createDataFrame(starts, ranged.select("part", *(F.col(k).alias(f"start_{k}") for k in amounts)).schema)
+    earlier = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = ranged.withColumns({k: F.coalesce(F.sum(k).over(earlier), F.lit(0)) for k in amounts})
+    joined = within.join(F.broadcast(of_ranges), "part")
+    return joined.withColumns({k: F.col(k) + F.col(f"start_{k}") for k in amounts}).drop("part", *(f"start_{k}" for k in amounts))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, source_size and target of sizes(source, source_size)."""
-    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
-    found = checkpoint(numbered(sizes).withColumn("weight", weight).withColumn("most", F.lit(most) * F.col("source_size")))
-    total = share * (found.agg(F.sum("source_size")).first()[0] or 0)
-    level = 0.0  # words for each unit of weight; it only rises, and each step stops one source at least
-    while True:
-        stopped = F.col("most") <= F.col("weight") * F.lit(level)
-        row = found.agg(F.sum(F.when(stopped, F.col("most"))), F.sum(F.when(~stopped, F.col("weight")))).first()
-        if not row[1]:
-            break
-        new = (total - (row[0] or 0)) / row[1]
-        if new <= level:
-            break
-        level = new
-    return found.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("weight") * F.lit(level)).alias("target"))
+    """sizes(source, source_size, ...) with the target of each source.
+
+    Words for each unit of weight (the level) rise until none is left to share; a source stops where it has its most. In the
+    order in which sources stop, the first that does not stop at the level that the ones before it leave gives the level.
+    """
+    weight = F.element_at(F.array(*(F.lit(w).cast("long") for w in weights)), (F.pmod("place", F.lit(len(weights))) + 1).cast("int"))
+    placed = prefixed(sizes, [F.col("source").asc_nulls_last()], place=F.lit(1).cast("long"))
+    found = placed.withColumn("weight", weight).withColumn("most", F.lit(most) * F.col("source_size"))
+    found = checkpoint(prefixed(found, [F.col("most") / F.col("weight"), F.col("place")], stopped=F.col("most"), heavier=F.col("weight")))
+    total, weighs = found.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(share * (total or 0)) - F.col("stopped")) / (F.lit(weighs or 0) - F.col("heavier"))
+    first = found.withColumn("level", level).where(F.col("level") * F.col("weight") < F.col("most")).agg(F.min_by("level", F.struct(F.col("most") / F.col("weight"), F.col("place")))).first()[0]
+    target = F.col("most").cast("double") if first is None else F.least(F.col("most").cast("double"), F.col("weight") * F.lit(float(first)))
+    return found.select(*sizes.columns, (target if total else F.lit(0.0)).alias("target"))
 
 
 def planned(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -72,14 +71,15 @@ def planned(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: flo
     rows = documents.select(
         F.struct(*documents.columns).alias("row"), documents["source"].alias("source"), n_words(documents["text"]).alias("size"), draw(documents).alias("draw")
     )
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     found = checkpoint(targets(sizes, weights, share, most).withColumnRenamed("source", "of"))
-    bound = found.agg(F.count("*"), F.sum(F.octet_length("of"))).first()
-    if bound[0] <= BROADCAST_SOURCES and (bound[1] or 0) <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(found), F.col("source").eqNullSafe(F.col("of")))
+    sources, names, n = found.agg(F.count("*"), F.sum(F.octet_length("of")), F.sum("n")).first()
+    same = F.col("source").eqNullSafe(F.col("of"))
+    if sources <= BROADCAST_SOURCES and (names or 0) <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(found), same)
     else:
-        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("own", F.floor(F.col("draw") * SALTS).cast("int")).join(salted, F.col("source").eqNullSafe(F.col("of")) & (F.col("own") == F.col("salt")))
+        hot = F.col("n") > n // HOT_SHARE  # fewer than HOT_SHARE sources
+        joined = rows.join(F.broadcast(found.where(hot)), same).unionByName(rows.join(F.broadcast(found.where(hot).select("of")), same, "left_anti").join(found.where(~hot), same))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (F.col("draw") < rate - F.floor(rate)).cast("long")
     return joined.select("row", "size", "source_size", "target", copies.cast("long").alias("copies"))
