@@ -3,8 +3,8 @@
 Candidates are long runs of the characters of keys, and values that a text assigns to names of secrets; finding them takes
 time in proportion to the text. The forest sees a candidate's length, its character transitions (log odds of character pairs
 that the labelled findings give, and how like the dictionary's words they are), how much of it words of the dictionary
-cover, its path, and the words beside it (log odds by hashed word, from the findings). The dictionary holds the
-DICTIONARY commonest words of all documents. Labelled findings are a parameter; by default `labelled_findings` plants
+cover, its path, and the words beside it (log odds by hashed word, from the findings). The dictionary holds the words that
+are more than one in DICTIONARY of those of all documents. Labelled findings are a parameter; by default `labelled_findings` plants
 FINDINGS keys, hashes, ids, names and examples between words of the documents themselves, as no table has labels.
 
 Defined results: a null or empty text has no candidate; a null path is the empty one; a run that overlaps an assigned value is
@@ -29,12 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import forest
-from glyphloom.llm._shared import bounded_sample, table
+from glyphloom.llm._shared import bounded_sample, checkpoint, table
 
 FINDINGS = 4_000
 #: Places of documents, at most about so many, that findings are planted at.
 PLACES = 2_000
-DICTIONARY = 20_000
+#: The dictionary has the words that are more than one in so many.
+DICTIONARY = 50_000
 THRESHOLD = 0.5
 CONTEXT = 48
 #: Buckets of the words beside candidates.
@@ -154,10 +155,12 @@ class Model:
         return self.trees.predict(np.array([self.evidence.features(*r) for r in rows], float).reshape(-1, len(FEATURES)))
 
 
-def dictionary(documents: DataFrame, most: int = DICTIONARY) -> list[str]:
-    """The commonest words of 4 to 12 letters a-z of all documents (all texts are counted; the list's length is `most`)."""
+def dictionary(documents: DataFrame, share: int = DICTIONARY) -> list[str]:
+    """The words of 4 to 12 letters a-z that are more than one in `share` of such words of all documents: fewer than `share` of them."""
     words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\w)([a-z]{4,12})(?!\w)"))).alias("word"))
-    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()]
+    counts = checkpoint(words.groupBy("word").count())
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return sorted(r["word"] for r in counts.where(F.col("count") > total // share).select("word").collect())
 
 
 def places(documents: DataFrame, rows: int = PLACES) -> list[tuple[str, str]]:
