@@ -13,7 +13,10 @@ words that an earlier place has is deleted.
 
 Defined results: a null text stays null and has no line; an empty text stays empty; a null doc_id comes after all others;
 rows that are equal in doc_id and text are one document, and their lines have one fate; runs of fewer than GRAM_WORDS words
-are never deleted; extra columns are kept, whatever their names.
+are never deleted; an empty table has an empty result; extra columns are kept, whatever their names.
+
+Common grams and keys are joined without being dealt to one task. Which lines go is sent to all tasks where that is little;
+beyond, texts are joined with it, which shuffles them once.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.llm._shared import SPACE_WORD, checkpoint, table
+from glyphloom.llm._shared import SPACE_WORD, checkpoint, hot_keys, join_dealt, small, table
 
 GRAM_WORDS = 25
 WINDOW_WORDS = 25
 
+#: Bytes of line numbers that go to all tasks.
+BROADCAST_BYTES = 16 << 20
+
 _PLACE = ("none", "doc_id", "text_key")
 
 
@@ -84,24 +90,29 @@ def repeated_lines(documents: DataFrame, gram: int = GRAM_WORDS, window: int = W
     """doc_id, text_key and `drop`: the lines, by number, that repeat an earlier run."""
     grams = checkpoint(kept_grams(lines(documents), gram, window))
     place = F.struct(*_PLACE, "pos")
-    firsts = grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("gram", "first")
-    sources = grams.join(firsts, "gram").where(place == F.col("first")).select("gram", "first", F.col("back.h").alias("first_back"), F.col("ahead.h").alias("first_ahead"))
-    later = grams.join(sources, "gram").where(place > F.col("first"))
+    firsts = checkpoint(grams.groupBy("gram").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"))
+    hot = hot_keys(firsts, "gram")
+    repeated = checkpoint(join_dealt(grams, firsts.select("gram", "first"), "gram", hot))
+    sources = repeated.where(place == F.col("first")).select("gram", F.col("back.h").alias("first_back"), F.col("ahead.h").alias("first_ahead"))
+    later = join_dealt(repeated.where(place > F.col("first")), sources, "gram", hot)
     later = later.withColumns({"n_back": _equal(F.col("back.h"), F.col("first_back")), "n_ahead": F.greatest(_equal(F.col("ahead.h"), F.col("first_ahead")), F.size("own"))})
     run = F.concat(F.slice("back.at", F.lit(1), F.col("n_back")), F.col("own.at"), F.slice("ahead.at", F.lit(1), F.col("n_ahead")))
     further = F.concat(_further("back", "n_back"), _further("ahead", "n_ahead"))
     later = checkpoint(later.select(*_PLACE, "pos", F.array_distinct(run).alias("run"), further.alias("further")))
     each = later.select(*_PLACE, place.alias("place"), F.explode("further").alias("line")).select(*_PLACE, "place", "line.*")
-    earliest = each.groupBy("key").agg(F.min("place").alias("earliest"), F.count("*").alias("places")).where("places > 1").select("key", "earliest")
-    beyond = each.join(earliest, "key").where(F.col("place") > F.col("earliest")).select(*_PLACE, "at")
+    earliest = checkpoint(each.groupBy("key").agg(F.min("place").alias("earliest"), F.count("*").alias("n")).where("n > 1"))
+    beyond = join_dealt(each, earliest.select("key", "earliest"), "key", hot_keys(earliest, "key")).where(F.col("place") > F.col("earliest")).select(*_PLACE, "at")
     found = later.select(*_PLACE, F.explode("run").alias("at")).unionByName(beyond)
     return found.groupBy(*_PLACE).agg(F.collect_set("at").alias("drop")).drop("none")
 
 
 def deduplicate(documents: DataFrame, gram: int = GRAM_WORDS, window: int = WINDOW_WORDS) -> DataFrame:
     """row (a struct of all columns of documents), text without the deleted lines, and n_removed, how many they are."""
-    drop = repeated_lines(documents.select("doc_id", "text"), gram, window).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "drop")
+    found = repeated_lines(documents.select("doc_id", "text"), gram, window)
+    drop = checkpoint(found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "drop"))
     rows = documents.select(F.struct(*documents.columns).alias("row"), documents["doc_id"].alias("_doc"), documents["text"].alias("text"))
+    if small(drop) and (drop.agg(F.sum(32 + 4 * F.size("drop"))).first()[0] or 0) <= BROADCAST_BYTES:
+        drop = F.broadcast(drop)
     joined = rows.join(drop, F.col("_doc").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left")
     left = F.transform(  # an array of one, so that the text is split once
         F.array(F.split("text", "\n", -1)),
