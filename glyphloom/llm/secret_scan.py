@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.llm import forest
-from glyphloom.llm._shared import bounded_sample, checkpoint, table
+from glyphloom.llm._shared import bounded_sample, table
 
 FINDINGS = 4_000
 #: Places of documents, at most about so many, that findings are planted at.
@@ -158,9 +158,9 @@ class Model:
 def dictionary(documents: DataFrame, share: int = DICTIONARY) -> list[str]:
     """The words of 4 to 12 letters a-z that are more than one in `share` of such words of all documents: fewer than `share` of them."""
     words = documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\w)([a-z]{4,12})(?!\w)"))).alias("word"))
-    counts = checkpoint(words.groupBy("word").count())
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return sorted(r["word"] for r in counts.where(F.col("count") > total // share).select("word").collect())
+    counts = words.groupBy("word").count()
+    total = counts.agg(F.sum("count").alias("total")).scalar()  # the sum reads the shuffle that the words come from
+    return sorted(r["word"] for r in counts.where(F.col("count") * share > total).select("word").collect())
 
 
 def places(documents: DataFrame, rows: int = PLACES) -> list[tuple[str, str]]:
