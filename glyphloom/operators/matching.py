@@ -16,37 +16,49 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphloom.functions.geometry import CORNERS, area, intersection, iou
+from glyphloom.functions.quads import boxed, quad_iou
 
 #: Width and height of a cell: a line of words is wide and low.
 CELL = (256, 32)
 
 
 def _cells(boxes: DataFrame, prefix: str, cell: tuple[float, float]) -> DataFrame:
-    """A row for each cell that a box covers: page_id, cx, cy and the box with a prefix."""
+    """A row for each cell that a box covers: page_id, cx, cy and the box with a prefix, and the cell's key.
+
+    The key is a hash of page and cell in one number, which sorts faster than three columns."""
     at = lambda c, size: F.floor(F.col(c) / size).cast("int")
     span = lambda low, high, size: F.sequence(at(low, size), F.greatest(at(low, size), at(high, size)))
     named = boxes.select("page_id", *(F.col(c).alias(prefix + c) for c in boxes.columns if c != "page_id"), F.explode(span("x0", "x1", cell[0])).alias("cx"), span("y0", "y1", cell[1]).alias("cys"))
-    return named.withColumn("cy", F.explode("cys")).drop("cys")
+    return named.withColumn("cy", F.explode("cys")).drop("cys").withColumn("cell", F.xxhash64("page_id", "cx", "cy"))
 
 
 def overlapping(left: DataFrame, right: DataFrame, cell: tuple[float, float] = CELL) -> DataFrame:
     """Pairs of one page whose boxes have a common area, with prefixes l_ and r_, and that area as common."""
-    joined = _cells(left, "l_", cell).join(_cells(right, "r_", cell), ["page_id", "cx", "cy"])
+    other = _cells(right, "r_", cell).withColumnsRenamed({"page_id": "r_page", "cx": "r_cx", "cy": "r_cy"})
+    joined = _cells(left, "l_", cell).join(other, "cell").where("page_id = r_page and cx = r_cx and cy = r_cy")
     first_x, first_y = (F.floor(F.greatest("l_" + c, "r_" + c) / size) for c, size in zip(("x0", "y0"), cell, strict=True))
     pairs = joined.withColumn("common", intersection("l_", "r_")).where((F.col("common") > 0) & (F.col("cx") == first_x) & (F.col("cy") == first_y))
-    return pairs.drop("cx", "cy")
+    return pairs.drop("cell", "cx", "cy", "r_page", "r_cx", "r_cy")
+
+
+def overlapping_quads(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of one page whose convex quadrilaterals (`quad`, eight numbers) have a common area, with prefixes and iou. They
+    meet by the boxes about them; rows without a quad meet nobody."""
+    about = lambda df: df.where(F.col("quad").isNotNull()).withColumns(boxed(F.col("quad")))
+    return overlapping(about(left), about(right)).withColumn("iou", quad_iou(F.col("l_quad"), F.col("r_quad"))).where("iou > 0").drop("common")
 
 
 def with_iou(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("iou", iou("l_", "r_"))
 
 
-def mutual_best(pairs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs that are each other's best by IoU, of those that reach `least`; ties by the smaller idx."""
+def mutual_best(pairs: DataFrame, least: float = 0.5, also: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs that are each other's best by IoU, of those that reach `least`; ties by the smaller idx. `also` names columns
+    that keep rows apart like page_id."""
     near = pairs.where(F.col("iou") >= least)
-    by_left = Window.partitionBy("page_id", "l_idx").orderBy(F.desc("iou"), "r_idx")
-    by_right = Window.partitionBy("page_id", "r_idx").orderBy(F.desc("iou"), "l_idx")
-    first = near.withColumn("a", F.row_number().over(by_left)).withColumn("b", F.row_number().over(by_right))
+    # A hash of the keys stands first, so that rows are sorted by one number.
+    by = lambda side, other: Window.partitionBy(F.xxhash64(*also, "page_id", side), *also, "page_id", side).orderBy(F.desc("iou"), other)
+    first = near.withColumn("a", F.row_number().over(by("l_idx", "r_idx"))).withColumn("b", F.row_number().over(by("r_idx", "l_idx")))
     return first.where("a = 1 and b = 1").drop("a", "b")
 
 

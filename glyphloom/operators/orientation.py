@@ -22,7 +22,7 @@ def edge_points(pixels: DataFrame) -> DataFrame:
     of = Window.partitionBy("page_id")
     below = F.lead("dark").over(of.partitionBy("page_id", "x").orderBy("y"))
     rows = pixels.withColumn("below", below).withColumn("last_x", F.max("x").over(of)).withColumn("last_y", F.max("y").over(of))
-    return rows.where((F.col("dark") != F.col("below")) & (F.col("x") > 0) & (F.col("x") < F.col("last_x")) & (F.col("y") > 0) & (F.col("y") < F.col("last_y") - 1)).select("page_id", "x", "y")
+    return rows.where((F.col("dark") != F.col("below")) & (F.col("x") > 0) & (F.col("x") < F.col("last_x")) & (F.col("y") > 0) & (F.col("y") < F.col("last_y"))).select("page_id", "x", "y")
 
 
 def projection_scores(points: DataFrame, angles: list[float]) -> DataFrame:
@@ -36,15 +36,16 @@ def projection_scores(points: DataFrame, angles: list[float]) -> DataFrame:
     return rows.select("page_id", "angle", split).groupBy("page_id", "angle", "s.bin").agg(F.sum("s.w").alias("w")).groupBy("page_id", "angle").agg(F.sum(F.col("w") * F.col("w")).alias("score"))
 
 
-def _scores(x: np.ndarray, y: np.ndarray, angles: list[float], height: int) -> np.ndarray:
-    out = []
+def _band_scores(x: np.ndarray, y: np.ndarray, band: np.ndarray, angles: list[float], height: int) -> np.ndarray:
+    """Angles by bands: the sum of squares over rows that the points of a band project to, each split over two rows."""
+    size, out = height + 128, []
     for a in angles:
         row = y - np.tan(np.radians(a)) * x + 64
-        low = np.floor(row).astype(int)
-        part = row - low
-        size = height + 130
-        bins = np.bincount(np.clip(low, 0, size - 2), 1 - part, size) + np.bincount(np.clip(low + 1, 0, size - 1), part, size)
-        out.append(float((bins * bins).sum()))
+        low = np.maximum(np.floor(row).astype(int), 0)
+        within = low + 1 < size
+        at, part = low[within] * BANDS + band[within], (row - low)[within]
+        bins = np.bincount(at, 1 - part, size * BANDS) + np.bincount(at + BANDS, part, size * BANDS)
+        out.append((bins.reshape(size, BANDS) ** 2).sum(axis=0))
     return np.array(out)
 
 
@@ -53,26 +54,26 @@ def _last_best(scores: np.ndarray) -> int:
 
 
 def estimate(dark: np.ndarray) -> tuple[float, float, int, int, int, float, str]:
-    """estimated, applied, agreeing, evidence, points, gain and reason of a page's mask."""
+    """estimated, applied, agreeing, evidence, points, gain and reason of a page's mask.
+
+    A band agrees if its own best angle, of all that were tried, is NEAR the page's, and its score at the page's angle is
+    BAND_GAIN times that at none. A small or empty mask has insufficient evidence."""
     h, w = dark.shape
-    ys, xs = np.nonzero(dark[1:-2, 1:-1] != dark[2:-1, 1:-1]) if h > 3 and w > 2 else (np.zeros(0, int), np.zeros(0, int))
+    ys, xs = np.nonzero(dark[1:-1, 1:-1] != dark[2:, 1:-1]) if h > 2 and w > 2 else (np.zeros(0, int), np.zeros(0, int))
     x, y = xs + 1 - w / 2, ys + 1.0
     if len(x) < LEAST_POINTS or h < LEAST_HEIGHT:
-        return 0.0, 0.0, 0, 0, len(x), 1.0, "insufficient"
-    coarse = COARSE[_last_best(_scores(x, y, COARSE, h))]
-    fine = [coarse + f for f in FINE]
-    scores = _scores(x, y, fine, h)
-    best = fine[_last_best(scores)]
-    gain = scores.max() / max(_scores(x, y, [0.0], h)[0], 1e-12)
-    agreeing = evidence = 0
-    for k in range(BANDS):
-        inside = (y >= h * k / BANDS) & (y < h * (k + 1) / BANDS)
-        if inside.sum() < BAND_POINTS:
-            continue
-        evidence += 1
-        own = _scores(x[inside], y[inside], COARSE, h)
-        zero = own[COARSE.index(0.0)]
-        agreeing += bool(abs(COARSE[_last_best(own)] - best) <= NEAR and own.max() >= BAND_GAIN * zero)
+        return 0.0, 0.0, 0, 0, len(x), 1.0, "insufficient_evidence"
+    band = np.minimum((ys + 1) * BANDS // h, BANDS - 1)
+    angles, scores = COARSE, _band_scores(x, y, band, COARSE, h)
+    middle = angles[_last_best(scores.sum(axis=1))]
+    fine = [middle + f for f in FINE]
+    angles, scores = [*angles, *fine], np.concatenate([scores, _band_scores(x, y, band, fine, h)])
+    place = _last_best(scores.sum(axis=1))
+    best, at_best, at_zero = angles[place], scores[place], _band_scores(x, y, band, [0.0], h)[0]
+    gain = at_best.sum() / max(at_zero.sum(), 1.0)
+    full = np.bincount(band, minlength=BANDS) >= BAND_POINTS
+    own = np.array([angles[_last_best(scores[:, k])] for k in range(BANDS)])
+    evidence, agreeing = int(full.sum()), int((full & (np.abs(own - best) <= NEAR) & (at_best >= BAND_GAIN * at_zero)).sum())
     reason = "near_upright" if abs(best) < UPRIGHT else "search_boundary" if abs(best) >= BOUNDARY else "applied" if agreeing >= 2 and 2 * agreeing > evidence and gain >= GAIN else "weak_consensus"
     return best, best if reason == "applied" else 0.0, agreeing, evidence, len(x), float(gain), reason
 

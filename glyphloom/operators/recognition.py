@@ -89,6 +89,27 @@ def merged(parts: Column, last: Column) -> Column:
     return run(parts, last)
 
 
+def casefolded(text: Column) -> Column:
+    """A text for comparing without case, by the full folding of Unicode; only texts beyond ASCII go to Python."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(str.casefold, na_action="ignore")
+
+    return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(run(text))
+
+
+def recognition_score(pairs: DataFrame, truth: str = "l_text", seen: str = "r_text") -> DataFrame:
+    """One row: words, the shares of exact texts and of texts equal but for case, and edits of code points for each of truth's.
+
+    A null text counts as empty; without pairs all shares are 0."""
+    rows = pairs.select(F.coalesce(truth, F.lit("")).alias("t"), F.coalesce(seen, F.lit("")).alias("s"))
+    rows = rows.withColumn("folded", (F.col("t") == F.col("s")) | (casefolded(F.col("t")) == casefolded(F.col("s"))))
+    n = F.greatest(F.count("*"), F.lit(1))
+    edits, chars = F.coalesce(F.sum(F.levenshtein("t", "s")), F.lit(0)), F.coalesce(F.sum(F.char_length("t")), F.lit(0))
+    return rows.agg(F.count("*").alias("words"), (F.count_if(F.col("t") == F.col("s")) / n).alias("exact"), (F.count_if("folded") / n).alias("case_blind"), (edits / F.greatest(chars, F.lit(1))).alias("cer"))
+
+
 def accepted(text: Column, confidence: Column) -> Column:
     """One or two letters or digits, read with confidence."""
     return (confidence >= LEAST_CONFIDENCE) & F.char_length(text).between(1, 2) & text.rlike(r"^[\p{L}\p{N}]+$")
@@ -96,7 +117,7 @@ def accepted(text: Column, confidence: Column) -> Column:
 
 def chosen_rotation(original: Column, candidates: Column) -> Column:
     """The rotation that a word ends with: candidates (rotation, text, confidence) in order replace what was read before if
-    they are sure, better than the first reading by OVER_ORIGINAL and than all others of another angle by OVER_OTHER, and,
+    they are sure, better by more than OVER_ORIGINAL than the first reading and by more than OVER_OTHER than all others of another angle, and,
     when turned, have two characters or more. `original` is the confidence of the first reading."""
 
     def step(state: Column, c: Column) -> Column:
@@ -105,7 +126,7 @@ def chosen_rotation(original: Column, candidates: Column) -> Column:
             (c["confidence"] >= LEAST_CONFIDENCE)
             & (c["confidence"] > original + OVER_ORIGINAL)
             & (c["confidence"] > state["confidence"])
-            & ((c["rotation"] == 0) | (c["confidence"] >= rival + OVER_OTHER))
+            & ((c["rotation"] == 0) | (c["confidence"] > rival + OVER_OTHER))
             & (F.char_length(c["text"]) >= F.when(c["rotation"] == 0, 1).otherwise(2))
         )
         return F.struct(F.when(wins, c["rotation"]).otherwise(state["rotation"]).alias("rotation"), F.when(wins, c["confidence"]).otherwise(state["confidence"]).alias("confidence"))

@@ -60,9 +60,10 @@ def _owned(words: DataFrame, tiles: DataFrame) -> DataFrame:
     return words.join(t, "page_id").where((cx >= F.col("owner_start")) & (cx < F.col("owner_end")) & (cy >= F.col("t0")) & (cy <= F.col("t1")))
 
 
-def merge_owned(base: DataFrame, tile_words: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Words of the page where a tile has none; where it has, the tile's own words that it owns. tile_words have a tile."""
-    busy = tile_words.select("page_id", F.col("tile").alias("owner")).distinct()
+def merge_owned(base: DataFrame, tile_words: DataFrame, tiles: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Words of the page where a tile has none; where it has, the tile's own words that it owns. tile_words have a tile; `seen`
+    are all words of the tiles, if some were taken out."""
+    busy = (tile_words if seen is None else seen).select("page_id", F.col("tile").alias("owner")).distinct()
     replaced = _owned(base, tiles).join(busy, ["page_id", "owner"], "left_semi").select("page_id", "idx")
     kept = base.join(replaced, ["page_id", "idx"], "left_anti").withColumn("from_tile", F.lit(False))
     own = _owned(tile_words, tiles).where(F.col("owner") == F.col("tile")).select(*base.columns).withColumn("from_tile", F.lit(True))
@@ -85,62 +86,117 @@ def edge_flags(words: DataFrame, tiles: DataFrame) -> DataFrame:
     return words.join(t, "page_id").groupBy("page_id", "idx").agg(F.bool_or(crosses).alias("crosses"), F.bool_or((F.col("x0") >= F.col("t0")) & (F.col("x1") <= F.col("t1"))).alias("intact"))
 
 
-def peers(boxes: DataFrame) -> DataFrame:
-    """Pairs of a box and a peer of its line: the peer is wide, near the box's middle on its own scale and about as high. page_id, idx, peer, y0, y1."""
-    h, cx, cy = F.col("y1") - F.col("y0"), (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    points = boxes.select("page_id", "idx", h.alias("h"), cx.alias("cx"), cy.alias("cy"), F.floor(cx).alias("x0"), F.floor(cy).alias("y0"), (F.floor(cx) + 1).alias("x1"), (F.floor(cy) + 1).alias("y1"))
-    wide = boxes.where(F.col("x1") - F.col("x0") >= 1.3 * h)
-    reach = wide.select("page_id", "idx", h.alias("h"), cx.alias("cx"), cy.alias("cy"), F.col("y0").alias("top"), F.col("y1").alias("bottom"), (cx - 6 * h).alias("x0"), (cy - h / 2 - 1).alias("y0"), (cx + 6 * h).alias("x1"), (cy + h / 2 + 1).alias("y1"))
-    near = overlapping(points, reach).where("l_idx != r_idx")
-    ratio = F.col("l_h") / F.greatest("r_h", F.lit(1e-12))
-    same = (F.abs(F.col("l_cy") - F.col("r_cy")) < 0.45 * F.col("r_h")) & (F.abs(F.col("l_cx") - F.col("r_cx")) < 6 * F.col("r_h")) & (ratio > 0.35) & (ratio < 1.8)
-    return near.where(same).select("page_id", F.col("l_idx").alias("idx"), F.col("r_idx").alias("peer"), F.col("r_top").alias("y0"), F.col("r_bottom").alias("y1"))
-
-
 def free_of_others(crops: DataFrame, boxes: DataFrame) -> DataFrame:
     """Crops (page_id, idx, a box) into which no box of another idx reaches."""
     met = overlapping(crops, boxes).where("l_idx != r_idx").select("page_id", F.col("l_idx").alias("idx")).distinct()
     return crops.join(met, ["page_id", "idx"], "left_anti")
 
 
-def budgeted(words: DataFrame, most: int = 32, pixels: int = 1_000_000) -> DataFrame:
-    """page_id, idx of words taken in order of objectness until `most`; one whose cost passes what is left is skipped, and the next one tried.
+def budgeted(words: DataFrame, most: int = 32, pixels: int = 1_000_000, by: Column | None = None, crops: str | None = None) -> DataFrame:
+    """page_id, idx of words taken in order until `most` crops; one that passes what is left is skipped, and the next one tried.
 
-    The fold runs over one array a page, of cost and idx alone."""
-    rows = words.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("objectness")).alias("neg"), "idx", F.col("cost").cast("long").alias("cost")))).alias("rows"))
+    The order is that of `by`, of the highest objectness without it, then of idx; a word has a cost in pixels, and as many crops
+    as the column `crops` says, one without it. The fold runs over one array a page, of numbers alone. Pages without words
+    have no row; a null cost is never taken."""
+    order = -F.col("objectness") if by is None else by
+    each = F.struct(order.alias("order"), "idx", F.col("cost").cast("long").alias("cost"), (F.col(crops) if crops else F.lit(1)).alias("crops"))
+    rows = words.where(F.col("cost").isNotNull()).groupBy("page_id").agg(F.array_sort(F.collect_list(each)).alias("rows"))
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<bigint>").alias("taken"))
 
     def step(s: Column, w: Column) -> Column:
-        fits = (s["n"] < most) & (s["used"] + w["cost"] <= pixels)
-        return F.struct(F.when(fits, s["used"] + w["cost"]).otherwise(s["used"]).alias("used"), F.when(fits, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(fits, F.array_append(s["taken"], w["idx"].cast("long"))).otherwise(s["taken"]).alias("taken"))
+        fits = (s["n"] + w["crops"] <= most) & (s["used"] + w["cost"] <= pixels)
+        return F.struct(
+            F.when(fits, s["used"] + w["cost"]).otherwise(s["used"]).alias("used"),
+            F.when(fits, s["n"] + w["crops"]).otherwise(s["n"]).cast("int").alias("n"),
+            F.when(fits, F.array_append(s["taken"], w["idx"].cast("long"))).otherwise(s["taken"]).alias("taken"),
+        )
 
     return rows.select("page_id", F.explode(F.aggregate("rows", start, step)["taken"]).alias("idx"))
 
 
-def suppressed(words: DataFrame, least: float = 0.5) -> DataFrame:
-    """Greedy choice of words by edge margin, then objectness: one that overlaps a chosen one by IoU of `least` goes.
+def first_come(ranked: DataFrame, rivals: DataFrame) -> DataFrame:
+    """page_id, idx of ranked(page_id, idx, rank) in order of rank, without those that have a rival taken before them.
 
-    Overlaps come from the grid join; the kernel reads a page's words with their overlapping neighbours in order of rank."""
-    order = Window.partitionBy("page_id").orderBy(F.desc("edge_margin"), F.desc("objectness"), "idx")
-    ranked = words.withColumn("rank", F.row_number().over(order))
-    boxes = ranked.select("page_id", "idx", "rank", *CORNERS)
-    better = with_iou(overlapping(boxes, boxes)).where((F.col("iou") >= least) & (F.col("r_rank") < F.col("l_rank"))).groupBy("page_id", F.col("l_idx").alias("idx")).agg(F.collect_list("r_rank").alias("rivals"))
-    rows = ranked.select("page_id", "idx", "rank").join(better, ["page_id", "idx"], "left").repartition("page_id").sortWithinPartitions("page_id", "rank")
+    rivals has page_id, idx and rival_rank, of a lower rank. A page is read in order, with its rivals beside it; words without
+    rivals need no order and don't pass through Python."""
+    by_word = rivals.groupBy("page_id", "idx").agg(F.collect_list("rival_rank").alias("rivals"))
+    rows = ranked.select("page_id", "idx", "rank").join(by_word, ["page_id", "idx"], "left")
+    asked = rivals.select("page_id", F.col("rival_rank").alias("rank")).distinct().withColumn("asked", F.lit(True))
+    rows = rows.join(asked, ["page_id", "rank"], "left")
+    free = rows.where("rivals is null").select("page_id", "idx")
+    part = rows.where("rivals is not null or asked").select("page_id", "idx", "rank", "rivals").repartition("page_id").sortWithinPartitions("page_id", "rank")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         page, chosen = None, set()
         for b in batches:
             keep = []
-            for p, rank, rivals in zip(b["page_id"], b["rank"], b["rivals"], strict=True):
+            for p, rank, those in zip(b["page_id"], b["rank"], b["rivals"], strict=True):
                 if p != page:
                     page, chosen = p, set()
-                keep.append(rivals is None or chosen.isdisjoint(rivals))
-                if keep[-1]:
+                taken = those is None or chosen.isdisjoint(those)
+                keep.append(taken and those is not None)
+                if taken:
                     chosen.add(rank)
             yield b.loc[keep, ["page_id", "idx"]]
 
-    kept = rows.select("page_id", "idx", "rank", "rivals").mapInPandas(run, rows.select("page_id", "idx").schema)
-    return words.join(kept, ["page_id", "idx"], "left_semi")
+    return free.unionByName(part.mapInPandas(run, free.schema))
+
+
+def _rivals(boxes: DataFrame, least: float) -> DataFrame:
+    """Pairs of boxes (page_id, idx, rank, box) that overlap by an IoU of `least`, or at all if it is 0: page_id, idx, rival_rank."""
+    met = with_iou(overlapping(boxes, boxes)).where((F.col("iou") >= least) & (F.col("r_rank") < F.col("l_rank")))
+    return met.select("page_id", F.col("l_idx").alias("idx"), F.col("r_rank").alias("rival_rank"))
+
+
+def suppressed(words: DataFrame, least: float = 0.5) -> DataFrame:
+    """Greedy choice of words by edge margin, then objectness: one that overlaps a chosen one by IoU of `least` goes."""
+    order = Window.partitionBy("page_id").orderBy(F.desc("edge_margin"), F.desc("objectness"), "idx")
+    ranked = words.withColumn("rank", F.row_number().over(order)).select("page_id", "idx", "rank", *CORNERS)
+    return words.join(first_come(ranked, _rivals(ranked, least)), ["page_id", "idx"], "left_semi")
+
+
+def apart(words: DataFrame, others: DataFrame, order: list[Column]) -> DataFrame:
+    """words, in order, that overlap none of `others` and none of the words taken before them; idx tells the words of a page
+    apart. Words without an area are left out, and meet nobody."""
+    solid = words.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
+    met = overlapping(solid.select("page_id", "idx", *CORNERS), others.select("page_id", *CORNERS)).select("page_id", F.col("l_idx").alias("idx")).distinct()
+    left = solid.join(met, ["page_id", "idx"], "left_anti")
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(*order, "idx"))).select("page_id", "idx", "rank", *CORNERS)
+    return left.join(first_come(ranked, _rivals(ranked, 0.0)), ["page_id", "idx"], "left_semi")
+
+
+def small_parts(components: DataFrame, dims: DataFrame) -> DataFrame:
+    """Components (page_id, a box with ends exclusive, pixels) that small print is made of: three pixels and three rows or more,
+    no more than 0.04 of the page either way, no more than twelve times as high as wide."""
+    w, h = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    fits = (F.col("pixels") >= 3) & (h >= 3) & (h <= F.col("height") * 0.04) & (w <= F.col("width") * 0.04) & (h <= 12 * w)
+    return components.join(dims.select("page_id", "width", "height"), "page_id").where(fits).select(*components.columns)
+
+
+def merge_with_seams(base: DataFrame, tile_words: DataFrame, tiles: DataFrame, least: float = 0.5) -> DataFrame:
+    """merge_owned, and where both tiles of a page see one word on their seam: if both own it, the less sure one goes; if
+    neither does, the surer one is taken in, unless it overlaps what is there already or another one taken before it.
+
+    base has page_id, idx, a box and objectness; tile_words also their tile, 0 or 1. Result: the columns of base and from_tile."""
+    words = tile_words.where("tile = 0"), tile_words.where("tile = 1")
+    seam = tiles.where("tile = 0").select("page_id", F.col("owner_end").alias("seam"), F.col("owner_start").alias("first"))
+    end = tiles.where("tile = 1").select("page_id", F.col("owner_end").alias("last"))
+    pairs = with_iou(overlapping(*(w.select("page_id", "idx", *CORNERS, "objectness") for w in words))).where(F.col("iou") >= least)
+    on = lambda p: (F.col(p + "x0") <= F.col("seam")) & (F.col(p + "x1") >= F.col("seam"))
+    pairs = pairs.join(seam, "page_id").join(end, "page_id").where(on("l_") & on("r_"))
+    middle = lambda p: (F.col(p + "x0") + F.col(p + "x1")) / 2
+    mine = (middle("l_") >= F.col("first")) & (middle("l_") < F.col("seam"))
+    theirs = (middle("r_") >= F.col("seam")) & (middle("r_") < F.col("last"))
+    left_wins = F.col("l_objectness") >= F.col("r_objectness")
+    side = lambda left: [F.when(left, F.col("l_" + c)).otherwise(F.col("r_" + c)).alias(c) for c in ("idx", *CORNERS, "objectness")]
+    lost = pairs.where(mine & theirs).select("page_id", F.when(left_wins, 1).otherwise(0).alias("tile"), side(~left_wins)[0])
+    merged = merge_owned(base, tile_words.join(lost, ["page_id", "tile", "idx"], "left_anti"), tiles, tile_words)
+    order = F.struct("l_idx", "r_idx")
+    spare = pairs.where(~mine & ~theirs).select("page_id", order.alias("order"), *side(left_wins))
+    # A word may win over several others; its first pair counts.
+    spare = spare.groupBy("page_id", "idx", *CORNERS, "objectness").agg(F.min("order").alias("order"))
+    taken = apart(spare, merged, [F.col("order")]).withColumn("from_tile", F.lit(True))
+    return merged.unionByName(taken.select(*merged.columns))
 
 
 def mapped_words(words: DataFrame, dims: DataFrame) -> DataFrame:

@@ -19,7 +19,11 @@ ANGLES = [-2.0, -1.0, 0.0, 0.5, 1.0, 2.0]
 
 def _folder(spark: SparkSession) -> str:
     """A new folder in the one that the cluster shares; in tests of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        shared = tempfile.mkdtemp(prefix="streams-")
     return f"{shared}/streams-{uuid.uuid4().hex}"
 
 
@@ -30,7 +34,7 @@ def skew_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SKEW_SCORES = with_views("prob_map", body=f"""
-, e AS (SELECT page_id, x, y FROM (SELECT page_id, x, y, p >= 0.3 AS m, lead(p >= 0.3) OVER (PARTITION BY page_id, x ORDER BY y) AS below FROM prob_map) WHERE m <> below AND x BETWEEN 1 AND 62 AND y BETWEEN 1 AND 61),
+, e AS (SELECT page_id, x, y FROM (SELECT page_id, x, y, p >= 0.3 AS m, lead(p >= 0.3) OVER (PARTITION BY page_id, x ORDER BY y) AS below FROM prob_map) WHERE m <> below AND x BETWEEN 1 AND 62 AND y BETWEEN 1 AND 62),
 r AS (SELECT page_id, angle, y - tan(radians(angle)) * x AS row FROM e, (SELECT unnest({ANGLES}::DOUBLE[]) AS angle)),
 s AS (SELECT page_id, angle, floor(row) + k AS bin, CASE WHEN k = 0 THEN 1 - (row - floor(row)) ELSE row - floor(row) END AS w FROM r, (SELECT unnest([0, 1]) AS k))
 SELECT page_id, angle, round(sum(w * w), 3) AS score FROM (SELECT page_id, angle, bin, sum(w) AS w FROM s GROUP BY ALL) GROUP BY ALL""")

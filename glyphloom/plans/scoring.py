@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.geometry import area
 from glyphloom.operators import matching as m
+from glyphloom.operators import recognition
 from glyphloom.sources import derived as d
 from glyphloom.sources.derived import with_views
 
@@ -75,9 +76,7 @@ def iou_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches and exact texts at three thresholds of IoU: the windows are computed once for all of them."""
     at = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("threshold")
     near = _pairs(spark, sf_dir).select("*", at).where(F.col("iou") >= F.col("threshold"))
-    by_left = Window.partitionBy("threshold", "page_id", "l_idx").orderBy(F.desc("iou"), "r_idx")
-    by_right = Window.partitionBy("threshold", "page_id", "r_idx").orderBy(F.desc("iou"), "l_idx")
-    best = near.withColumn("a", F.row_number().over(by_left)).withColumn("b", F.row_number().over(by_right)).where("a = 1 and b = 1")
+    best = m.mutual_best(near, 0.0, ("threshold",))
     return best.groupBy("threshold").agg(F.count("*").alias("matched"), F.count_if(F.col("l_text") == F.col("r_text")).alias("exact"), F.round(F.avg("iou"), 6).alias("mean_iou"))
 
 
@@ -288,6 +287,20 @@ SELECT count(*) AS words, count(*) FILTER (l_text = r_text) AS exact, count(*) F
        round(sum(levenshtein(l_text, r_text)) / greatest(sum(length(l_text)), 1), 6) AS cer FROM matches WHERE regexp_matches(l_text, '^[\x20-\x7E]+$')""")
 
 
+def recognition_cer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and case-blind texts and the character error rate of all matched labels, by code points and the folding of Unicode."""
+    found = recognition.recognition_score(_matches(spark, sf_dir).withColumn("r_text", F.when(F.col("r_idx") % 5 == 0, F.upper("r_text")).otherwise(F.col("r_text"))))
+    return found.select("words", *(F.round(c, 6).alias(c) for c in ("exact", "case_blind", "cer")))
+
+
+def quad_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of single letters and the predictions that overlap them, as quadrilaterals that lean a little: pairs, and their IoU by page."""
+    lean = lambda df, by: df.select("page_id", "idx", F.array("x0", "y0", "x1", F.col("y0") + by, F.col("x1") + by, F.col("y1") + by, F.col("x0") + by, "y1").cast("array<double>").alias("quad"))
+    truth = lean(d.truth_words(spark, sf_dir).where(F.char_length("text") == 1), 0)
+    found = m.overlapping_quads(truth, lean(d.pred_words(spark, sf_dir), 2))
+    return found.groupBy("page_id").agg(F.count("*").alias("pairs"), F.round(F.sum("iou"), 6).alias("iou"))
+
+
 def merge_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labels that one prediction covers, where they are several: in order, with the prediction's objectness."""
     found = m.covered(_pairs(spark, sf_dir), "l_").groupBy("page_id", F.col("r_idx").alias("idx"), "r_objectness").agg(F.array_sort(F.collect_list(F.struct("l_idx", "l_text"))).alias("labels"))
@@ -312,6 +325,6 @@ QUERIES = {
     f.__name__: (f, globals().get(f.__name__.upper()))
     for f in (
         word_match_score, detection_summary, iou_sensitivity, merge_split_candidates, ignore_region_antijoin, coverage_verification, short_word_strata, size_strata, confusion_matrix,
-        confusion_top_list, omission_status, status_pivot, region_scores, paired_gain_loss, furthest_stage, recognition_cer_ascii, merge_evidence, max_cardinality_matching, optimal_assignment,
+        confusion_top_list, omission_status, status_pivot, region_scores, paired_gain_loss, furthest_stage, recognition_cer_ascii, recognition_cer, quad_scores, merge_evidence, max_cardinality_matching, optimal_assignment,
     )
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions import geometry as g
-from glyphloom.operators import detection, recognition, tiles
+from glyphloom.operators import detection, lines, recognition, tiles
 from glyphloom.sources import derived as d
 from glyphloom.sources.derived import with_views
 
@@ -238,7 +238,7 @@ def rotation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROTATION_GATE = with_views("truth_words", body="""
 , r AS (SELECT page_id, length(text) AS n, ((page_id + idx * 5) % 90) / 100.0::DOUBLE AS o, ((page_id * 3 + idx * 7) % 101) / 100.0::DOUBLE AS a, ((page_id + idx * 11) % 101) / 100.0::DOUBLE AS b FROM truth_words WHERE length(text) <= 4)
-SELECT page_id, CAST(CASE WHEN n >= 2 AND a >= 0.9::DOUBLE AND a > o + 0.15::DOUBLE AND a >= b + 0.1::DOUBLE THEN 90 WHEN n >= 2 AND b >= 0.9::DOUBLE AND b > o + 0.15::DOUBLE AND b >= a + 0.1::DOUBLE THEN 270 ELSE 0 END AS INTEGER) AS rotation, count(*) AS n
+SELECT page_id, CAST(CASE WHEN n >= 2 AND a >= 0.9::DOUBLE AND a > o + 0.15::DOUBLE AND a > b + 0.1::DOUBLE THEN 90 WHEN n >= 2 AND b >= 0.9::DOUBLE AND b > o + 0.15::DOUBLE AND b > a + 0.1::DOUBLE THEN 270 ELSE 0 END AS INTEGER) AS rotation, count(*) AS n
 FROM r GROUP BY ALL""")
 
 
@@ -328,15 +328,66 @@ LATERAL (SELECT CAST(least(a.x1, b.x1) - greatest(a.x0, b.x0) AS DOUBLE) * 14 AS
 
 
 def line_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many peers each word has on its line, and the upper median of their tops."""
-    found = tiles.peers(d.truth_words(spark, sf_dir).select("page_id", "idx", *g.CORNERS))
-    tops = F.array_sort(F.collect_list("y0"))
-    return found.groupBy("page_id", "idx").agg(F.count("*").alias("peers"), F.get(tops, F.expr("int(count(*) div 2)")).alias("top"))
-
-
-LINE_PEERS = with_views("truth_words", body="""
-SELECT a.page_id, a.idx, count(*) AS peers, a.y0 AS top FROM truth_words a JOIN truth_words b ON a.page_id = b.page_id AND a.y0 = b.y0 AND a.idx <> b.idx
-WHERE b.x1 - b.x0 >= 1.3 * 14 AND abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) < 84 GROUP BY a.page_id, a.idx, a.y0""")
+    """How many peers each word has on its line, the upper medians of their tops and bottoms, and how many in its column."""
+    words = d.line_words(spark, sf_dir).select("page_id", "idx", *g.CORNERS)
+    across = lines.peers(words).groupBy("page_id", "idx").agg(F.count("*").alias("peers"), lines.upper_median(F.col("y0")).alias("top"), lines.upper_median(F.col("y1")).alias("bottom"))
+    column = lines.peers(words, vertical=True).groupBy("page_id", "idx").agg(F.count("*").alias("above"))
+    return across.join(column, ["page_id", "idx"], "full_outer").na.fill(0, ["peers", "above"]).na.fill(-1, ["top", "bottom"])
+
+
+_LINE_PEERS = """,
+near AS (SELECT a.page_id, a.idx, a.x0, a.y0, a.x1, a.y1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1, abs(a.x0 + a.x1 - b.x0 - b.x1) / 2.0 AS dx, abs(a.y0 + a.y1 - b.y0 - b.y1) / 2.0 AS dy
+         FROM line_words a JOIN line_words b ON a.page_id = b.page_id AND b.line BETWEEN a.line - 3 AND a.line + 3 AND a.idx <> b.idx),
+across AS (
+  SELECT page_id, idx, count(*) AS peers, list_sort(list(by0))[count(*) // 2 + 1] AS top, list_sort(list(by1))[count(*) // 2 + 1] AS bottom FROM near
+  WHERE bx1 - bx0 >= 1.3 * (by1 - by0) AND dy < 0.45 * (by1 - by0) AND dx < 6 * (by1 - by0) AND (y1 - y0) / (by1 - by0) > 0.35 AND (y1 - y0) / (by1 - by0) < 1.8 GROUP BY ALL),
+columns_ AS (
+  SELECT page_id, idx, count(*) AS above FROM near
+  WHERE by1 - by0 >= 1.6 * (bx1 - bx0) AND dx < 0.4 * (bx1 - bx0) AND dy < 6 * (bx1 - bx0) AND (x1 - x0) / (bx1 - bx0) > 0.5 AND (x1 - x0) / (bx1 - bx0) < 1.8 GROUP BY ALL)"""
+LINE_PEERS = with_views("line_words", body=_LINE_PEERS + """
+SELECT page_id, idx, coalesce(peers, 0) AS peers, coalesce(top, -1) AS top, coalesce(bottom, -1) AS bottom, coalesce(above, 0) AS above FROM across FULL JOIN columns_ USING (page_id, idx)""")
+
+
+def line_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Crops in another direction that words get from their line or column, within 32 crops and 6,000 pixels a page."""
+    words = d.line_words(spark, sf_dir)
+    dims = words.groupBy("page_id").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
+    parts = F.size(recognition.split_starts(F.col("x1") - F.col("x0") + 1, F.col("y1") - F.col("y0") + 1))
+    return lines.alternatives(words.select("page_id", "idx", *g.CORNERS, parts.alias("parts")), dims, pixels=6_000)
+
+
+LINE_ALTERNATIVES = with_views("line_words", body=_LINE_PEERS + """,
+dims AS (SELECT page_id, max(x1) AS width, max(y1) AS height FROM line_words GROUP BY page_id),
+asked AS (SELECT w.*, coalesce(peers, 0) AS peers, coalesce(above, 0) AS above, top, bottom, width, height FROM line_words w JOIN dims USING (page_id)
+          LEFT JOIN across USING (page_id, idx) LEFT JOIN columns_ USING (page_id, idx) WHERE w.x1 - w.x0 + 1 <= 8 * (w.y1 - w.y0 + 1)),
+context AS (
+  SELECT page_id, idx, 'horizontal_line_context' AS evidence, 1 AS crops, line, CAST(greatest(floor(x0 - 0.15::DOUBLE * (y1 - y0)), 0) AS INTEGER) AS x0, least(top, y0) AS y0,
+         CAST(least(ceil(x1 + 0.15::DOUBLE * (y1 - y0)), width) AS INTEGER) AS x1, greatest(bottom, y1) AS y1
+  FROM asked WHERE peers >= 2 AND x1 - x0 < 0.8 * (y1 - y0)),
+kinds AS (
+  SELECT page_id, idx, evidence, crops, x0, y0, x1, y1 FROM context c WHERE NOT EXISTS (
+    SELECT 1 FROM line_words o WHERE o.page_id = c.page_id AND o.line BETWEEN c.line - 3 AND c.line + 3 AND o.idx <> c.idx AND o.x0 < c.x1 AND o.x1 > c.x0 AND o.y0 < c.y1 AND o.y1 > c.y0)
+  UNION ALL
+  SELECT page_id, idx, 'vertical_line_neighbours', 2, x0, y0, least(x1 + 1, width), least(y1 + 1, height) FROM asked WHERE peers < 2 AND y1 - y0 > 1.8 * (x1 - x0) AND above >= 2),
+ordered AS (SELECT *, crops * (x1 - x0) * (y1 - y0) AS cost, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS k FROM kinds),
+taken AS (
+  WITH RECURSIVE fold(page_id, k, used, n, took) AS (
+    SELECT page_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, FALSE FROM dims
+    UNION ALL
+    SELECT f.page_id, o.k, f.used + CASE WHEN f.n + o.crops <= 32 AND f.used + o.cost <= 6000 THEN o.cost ELSE 0 END, f.n + CASE WHEN f.n + o.crops <= 32 AND f.used + o.cost <= 6000 THEN o.crops ELSE 0 END,
+           f.n + o.crops <= 32 AND f.used + o.cost <= 6000 FROM fold f JOIN ordered o ON o.page_id = f.page_id AND o.k = f.k + 1)
+  SELECT page_id, k FROM fold WHERE took)
+SELECT page_id, idx, evidence, CAST(unnest(CASE crops WHEN 1 THEN [0] ELSE [90, 270] END) AS INTEGER) AS rotation, x0, y0, x1, y1 FROM ordered JOIN taken USING (page_id, k)""")
+
+
+def seam_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of pages after tiles that see the words of their seam a little apart: doubles go, words that no tile owns come back."""
+    page, idx = F.col("page_id"), F.col("idx")
+    apart = F.when(F.col("tile") == 1, -(idx % 9)).otherwise(0)
+    seen = _tile_words(spark, sf_dir).where("tile = 0 or page_id % 2 = 0").withColumns({"x0": F.col("x0") + apart, "x1": F.col("x1") + apart, "objectness": F.when(F.col("tile") == 1, F.lit(0.5)).otherwise(F.col("objectness"))})
+    base = d.pred_words(spark, sf_dir).where("objectness < 0.5").drop("text")
+    found = tiles.merge_with_seams(base, seen, tiles.halves(d.page_dims(spark, sf_dir)))
+    return found.groupBy(page).agg(F.count("*").alias("words"), F.count_if("from_tile").alias("from_tiles"), F.sum("idx").alias("idx_sum"))
 
 
 def context_crop_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,7 +454,7 @@ QUERIES = {
     f.__name__: (f, globals().get(f.__name__.upper()))
     for f in (
         sigmoid_threshold, morph_opening, map_stage_trace, component_boxes, box_scores, unclip_boxes, unpad_letterbox, crop_rects, wide_crop_split, greedy_decode, affine_backmap, page_direction_gate,
-        params_validity, ink_mask, thin_acceptance, rotation_gate, tile_windows, dense_band_select, dense_band_bins, tile_edge_flags, tile_ownership_merge, seam_pairs, line_peers, context_crop_antijoin,
+        params_validity, ink_mask, thin_acceptance, rotation_gate, tile_windows, dense_band_select, dense_band_bins, tile_edge_flags, tile_ownership_merge, seam_pairs, seam_fallback, line_peers, line_alternatives, context_crop_antijoin,
         top32_candidates, budgeted_recovery, greedy_nms, heatmap_fusion, overlap_string_merge,
     )
 }

@@ -6,7 +6,7 @@ independent engine.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAP_SIDE = 64
@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _words() -> Column:
+    return F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
+
+
 def truth_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document on a grid of ten a line: page_id, idx, text and an integer box."""
-    words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(words).alias("idx", "text"))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(_words()).alias("idx", "text"))
     x0, y0 = F.col("idx") % 10 * 100, F.floor(F.col("idx") / 10).cast("int") * 20
     return rows.select("page_id", "idx", "text", x0.alias("x0"), y0.alias("y0"), (x0 + 7 * F.least(F.char_length("text"), F.lit(13))).alias("x1"), (y0 + 14).alias("y1"))
 
@@ -28,27 +31,41 @@ def pred_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """truth_words as a recogniser might see them: some lost, moved, misread, doubled, or grown over the next word."""
     page, idx = F.col("page_id"), F.col("idx")
     moved = (page * 7 + idx * 3) % 9 - 4
-    kept = truth_words(spark, sf_dir).where((page * 31 + idx) % 13 != 0)
+    copies = F.when(idx % 29 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    kept = truth_words(spark, sf_dir).where((page * 31 + idx) % 13 != 0).withColumn("copy", F.explode(copies))
     wide = F.when(idx % 37 == 0, F.lit(60)).otherwise(F.lit(0))
-    seen = kept.select(
+    return kept.select(
         "page_id",
-        idx.cast("long").alias("idx"),
+        (idx + F.col("copy") * 1_000_000).cast("long").alias("idx"),
         F.when((page + idx) % 11 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"),
-        (F.col("x0") + moved).alias("x0"),
+        (F.col("x0") + moved + F.col("copy")).alias("x0"),
         "y0",
-        (F.col("x1") + moved + wide).alias("x1"),
+        (F.col("x1") + moved + wide + F.col("copy")).alias("x1"),
         "y1",
         ((page * 13 + idx * 17) % 100 / 100).alias("objectness"),
     )
-    twice = seen.where(idx % 29 == 0).withColumns({"idx": idx + 1_000_000, "x0": F.col("x0") + 1, "x1": F.col("x1") + 1})
-    return seen.unionByName(twice)
+
+
+def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document in lines of ten, of differing heights, widths and places: page_id, idx, letters and an integer box.
+
+    Every fourth page has columns of narrow words in place of lines."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(_words()).alias("idx", "text"))
+    idx, letters, upright = F.col("idx"), F.char_length("text"), F.col("page_id") % 4 == 0
+    line = F.floor(idx / 10).cast("int")
+    x0 = F.when(upright, idx % 10 * 40).otherwise(idx % 10 * 50) + idx * 3 % 11
+    y0 = F.when(upright, line * 40).otherwise(line * 26) + idx * 5 % 9
+    width = F.when(upright, 9 + idx * 7 % 5).otherwise(4 + 6 * F.least(letters, F.lit(12)))
+    height = F.when(upright, 6 + 4 * F.least(letters, F.lit(8))).otherwise(8 + idx * 7 % 17)
+    return rows.select("page_id", "idx", letters.alias("letters"), x0.alias("x0"), y0.alias("y0"), (x0 + width).alias("x1"), (y0 + height).alias("y1"))
 
 
 def page_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is a page, also one without words."""
-    words = truth_words(spark, sf_dir).groupBy("page_id").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
-    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"))
-    return pages.join(words, "page_id", "left").select("page_id", F.coalesce("width", F.lit(0)).alias("width"), F.coalesce("height", F.lit(0)).alias("height"))
+    """Every document is a page, also one without words; its words need not be exploded."""
+    ends = F.transform("words", lambda w, i: i % 10 * 100 + 7 * F.least(F.char_length(w), F.lit(13)))
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), _words().alias("words"))
+    height = F.when(F.size("words") > 0, F.floor((F.size("words") - 1) / 10).cast("int") * 20 + 14)
+    return pages.select("page_id", F.coalesce(F.array_max(ends), F.lit(0)).alias("width"), F.coalesce(height, F.lit(0)).alias("height"))
 
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,6 +149,14 @@ DERIVED_SQL = {
              x0 + (page_id * 7 + idx * 3) % 9 - 3, y0, x1 + (page_id * 7 + idx * 3) % 9 - 3 + CASE WHEN idx % 37 = 0 THEN 60 ELSE 0 END, y1,
              ((page_id * 13 + idx * 17) % 100) / 100.0::DOUBLE
       FROM truth_words WHERE (page_id * 31 + idx) % 13 <> 0 AND idx % 29 = 0""",
+    "line_words": r"""
+      SELECT page_id, idx, letters, x0, y0, x0 + CASE WHEN upright THEN 9 + idx * 7 % 5 ELSE 4 + 6 * least(letters, 12) END AS x1,
+             y0 + CASE WHEN upright THEN 6 + 4 * least(letters, 8) ELSE 8 + idx * 7 % 17 END AS y1, line
+      FROM (SELECT page_id, idx, CAST(length(text) AS INTEGER) AS letters, page_id % 4 = 0 AS upright, idx // 10 AS line,
+                   CASE WHEN page_id % 4 = 0 THEN idx % 10 * 40 ELSE idx % 10 * 50 END + idx * 3 % 11 AS x0,
+                   CASE WHEN page_id % 4 = 0 THEN idx // 10 * 40 ELSE idx // 10 * 26 END + idx * 5 % 9 AS y0
+            FROM (SELECT doc_id AS page_id, CAST(unnest(range(len(w))) AS INTEGER) AS idx, unnest(w) AS text
+                  FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents)))""",
     "page_dims": """
       SELECT d.doc_id AS page_id, coalesce(w.width, 0) AS width, coalesce(w.height, 0) AS height
       FROM documents d LEFT JOIN (SELECT page_id, max(x1) AS width, max(y1) AS height FROM truth_words GROUP BY page_id) w ON d.doc_id = w.page_id""",

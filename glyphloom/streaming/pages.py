@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from glyphloom.functions.config import Settings
 
+#: What is said of faults.
+DOUBLE_PAGE, DOUBLE_PART, MISSING_PAGE = "Duplicate page result", "Duplicate crop result", "Missing page before pending results"
+
 
 def watch(spark: SparkSession, path: str, schema: str, settings: Settings | None = None) -> DataFrame:
     """Files of a folder as a stream; the number of files in a batch bounds what is in flight."""
@@ -26,13 +29,17 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "1 hour"
     return counts.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
-def gathered(parts: DataFrame) -> DataFrame:
-    """run, sequence and text of pages whose parts (run, sequence, part, of, text) have all come; a part that comes twice counts once.
+def gathered(parts: DataFrame, strict: bool = True) -> DataFrame:
+    """run, sequence and text of pages whose parts (run, sequence, part, of, text) have all come.
 
-    In a stream the state of a page is its parts, and goes when the page is whole."""
+    A part that comes twice is an error if strict, also when its page is whole; else it counts once. Null texts are empty. In
+    a stream the state of a page is its parts; of a whole page it keeps the numbers alone."""
     if not parts.isStreaming:
-        each = parts.dropDuplicates(["run", "sequence", "part"]).groupBy("run", "sequence").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"), F.max("of").alias("of"))
-        return each.where(F.size("p") == F.col("of")).select("run", "sequence", F.array_join("p.text", "").alias("text"))
+        each = parts.groupBy("run", "sequence", "part").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("of").alias("of"), F.count("*").alias("n"))
+        if strict:
+            each = each.where(F.when(F.col("n") > 1, F.raise_error(F.lit(DOUBLE_PART))).otherwise(True))
+        pages = each.groupBy("run", "sequence").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("p"), F.max("of").alias("of"))
+        return pages.where(F.size("p") == F.col("of")).select("run", "sequence", F.array_join("p.text", "").alias("text"))
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         numbers, texts, done = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], False)
@@ -40,28 +47,33 @@ def gathered(parts: DataFrame) -> DataFrame:
         for b in batches:
             for part, total, text in zip(b["part"], b["of"], b["text"], strict=True):
                 of = int(total)
+                if part in numbers and strict:
+                    raise ValueError(DOUBLE_PART)
                 if part not in numbers:
                     numbers.append(int(part))
-                    texts.append(text)
+                    texts.append(text or "")
         if not done and of and len(numbers) == of:
-            state.update(([], [], True))
+            state.update((numbers, [], True))
             yield pd.DataFrame([(*key, "".join(t for _, t in sorted(zip(numbers, texts, strict=True))))], columns=["run", "sequence", "text"])
         else:
-            state.update((numbers, texts, done) if not done else ([], [], True))
+            state.update((numbers, [] if done else texts, done))
 
     return parts.groupBy("run", "sequence").applyInPandasWithState(update, "run long, sequence long, text string", "numbers array<int>, texts array<string>, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def in_order(results: DataFrame) -> DataFrame:
-    """run, sequence, text let out in order, each number once, up to the first that is missing; a stream keeps what came too early.
+def in_order(results: DataFrame, strict: bool = True) -> DataFrame:
+    """run, sequence, text let out in order, up to the first number that is missing; a stream keeps what came too early.
 
-    State is kept by run, so that runs go on beside each other."""
+    A number that comes twice is an error if strict; else it counts once. State is kept by run, so that runs go on beside
+    each other. What is still kept at the end is found by `finished`."""
 
     def update(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         upto, numbers, texts = state.get if state.exists else (0, [], [])
         waiting = dict(zip(numbers, texts, strict=True))
         for b in batches:
             for n, t in zip(b["sequence"], b["text"], strict=True):
+                if strict and (n < upto or n in waiting):
+                    raise ValueError(DOUBLE_PAGE)
                 if n >= upto:
                     waiting.setdefault(int(n), t)
         out = []
@@ -74,6 +86,13 @@ def in_order(results: DataFrame) -> DataFrame:
     return results.groupBy("run").applyInPandasWithState(update, "run long, sequence long, text string", "upto long, numbers array<long>, texts array<string>", "append", GroupStateTimeout.NoTimeout)
 
 
+def finished(emitted: DataFrame, results: DataFrame) -> DataFrame:
+    """emitted, once a run has ended: an error if results (a table of all that came) has a page that was never let out."""
+    if not results.join(emitted, ["run", "sequence"], "left_anti").isEmpty():
+        raise ValueError(MISSING_PAGE)
+    return emitted
+
+
 def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over all that there is and gives what it wrote as Parquet, beside its checkpoint.
 

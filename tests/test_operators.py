@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tempfile
 from itertools import permutations
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphloom.functions import config, geometry
+from glyphloom.functions import quads as quadrilaterals
 from glyphloom.operators import detection, matching, orientation, pipeline, recognition, recovery, series, tiles
 from glyphloom.plans import measures
 from glyphloom.streaming import pages as streams
@@ -139,9 +141,9 @@ def test_decoding_ties_and_ends(spark):
 
 def test_rotation_gate(spark):
     kind = "o double, c array<struct<rotation:int,text:string,confidence:double>>"
-    rows = [(0.2, [(90, "ab", 0.95), (270, "cd", 0.5)]), (0.2, [(90, "ab", 0.95), (270, "cd", 0.9)]), (0.9, [(90, "ab", 0.95)]), (0.2, [(0, "I", 0.95)]), (0.2, [(90, "I", 0.95)]), (0.2, [])]
+    rows = [(0.2, [(90, "ab", 0.95), (270, "cd", 0.5)]), (0.2, [(90, "ab", 0.95), (270, "cd", 0.9)]), (0.9, [(90, "ab", 0.95)]), (0.2, [(0, "I", 0.95)]), (0.2, [(90, "I", 0.95)]), (0.2, []), (0.2, [(90, "ab", 1.0), (270, "cd", 0.9)]), (0.2, [(90, "ab", 1.0), (270, "cd", 0.89)])]
     got = [r.r for r in spark.createDataFrame(rows, kind).select(recognition.chosen_rotation(F.col("o"), F.col("c"))["rotation"].alias("r")).collect()]
-    assert got == [90, None, None, 0, None, None]
+    assert got == [90, None, None, 0, None, None, None, 90]
 
 
 def test_geometry(spark):
@@ -154,7 +156,7 @@ def test_geometry(spark):
 
 
 def test_skew_is_found():
-    assert orientation.estimate(np.zeros((10, 10), bool))[-1] == "insufficient"
+    assert orientation.estimate(np.zeros((10, 10), bool))[-1] == "insufficient_evidence"
     y, x = np.mgrid[0:400, 0:600]
     lines = lambda a: ((y - np.tan(np.radians(a)) * (x - 300)) % 40) < 14
     for angle in (1.5, -2.0):
@@ -163,6 +165,137 @@ def test_skew_is_found():
     assert orientation.estimate(lines(0.0))[-1] == "near_upright"
 
 
+def plain_skew(dark):
+    """The rule of the skew estimate, point by point."""
+    h, w = dark.shape
+    points = [(x - w / 2, float(y), min(y * 4 // h, 3)) for y in range(1, h - 1) for x in range(1, w - 1) if dark[y, x] != dark[y + 1, x]]
+
+    def scores(angle):
+        rows = np.zeros((h + 128, 4))
+        for x, y, b in points:
+            v = y - np.tan(np.radians(angle)) * x + 64
+            rows[int(v // 1), b] += 1 - v % 1
+            rows[int(v // 1) + 1, b] += v % 1
+        return (rows**2).sum(axis=0)
+
+    trials = [(i / 10, scores(i / 10)) for i in range(-30, 31)]
+    last = lambda key: max(enumerate(trials), key=lambda t: (key(t[1][1]), t[0]))[1]
+    middle = last(lambda s: s.sum())[0]
+    trials += [(middle + i * 0.02, scores(middle + i * 0.02)) for i in range(-4, 5)]
+    angle, at = last(lambda s: s.sum())
+    zero, agreeing, evidence = scores(0.0), 0, 0
+    for b in range(4):
+        if sum(p[2] == b for p in points) >= 200:
+            evidence += 1
+            agreeing += abs(last(lambda s, b=b: s[b])[0] - angle) <= 0.2 and at[b] >= zero[b] * 1.03
+    gain = at.sum() / max(zero.sum(), 1)
+    weak = agreeing < 2 or agreeing * 2 <= evidence or gain < 1.05
+    return angle, agreeing, evidence, len(points), gain, "near_upright" if abs(angle) < 0.2 else "search_boundary" if abs(angle) >= 2.9 else "weak_consensus" if weak else "applied"
+
+
+def test_skew_against_the_plain_rule():
+    rng, reasons = np.random.default_rng(4), set()
+    y, x = np.mgrid[0:120, 0:160]
+    for _ in range(12):
+        angles = rng.choice((-2.0, -1.0, 0.0, 1.0, 1.4, 3.0), 4) if rng.random() < 0.7 else np.full(4, rng.choice((-1.5, 1.0)))
+        at = np.repeat(angles, 30)[:, None]
+        dark = ((y - np.tan(np.radians(at)) * (x - 80)) % 15 < 6) ^ (rng.random((120, 160)) < rng.choice((0.0, 0.05)))
+        got, want = orientation.estimate(dark), plain_skew(dark)
+        assert got[2:5] == want[1:4] and got[-1] == want[-1] and (got[0], got[5]) == pytest.approx((want[0], want[4]))
+        reasons.add(got[-1])
+    assert {"weak_consensus", "applied"} <= reasons
+
+
+def test_first_come_and_seams_against_plain_loops(spark):
+    rng = random.Random(5)
+    kind = "page_id long, idx long, x0 double, y0 double, x1 double, y1 double, objectness double"
+    box = lambda: (lambda x, y: (float(x), float(y), float(x + rng.randint(0, 12)), float(y + rng.randint(1, 9))))(rng.randint(0, 60), rng.randint(0, 40))
+    words = [(p, i, *box(), rng.random()) for p in range(3) for i in range(40)]
+    others = [(p, i, *box(), 0.0) for p in range(3) for i in range(4)]
+    meets = lambda a, b: b[4] > b[2] and a[0] == b[0] and a[2] < b[4] and b[2] < a[4] and a[3] < b[5] and b[3] < a[5]
+    taken = []
+    for w in sorted(words, key=lambda w: (w[0], -w[6], w[1])):
+        if w[4] > w[2] and not any(meets(w, o) for o in [*others, *taken]):
+            taken.append(w)
+    got = tiles.apart(spark.createDataFrame(words, kind), spark.createDataFrame(others, kind), [F.desc("objectness")]).collect()
+    assert sorted(map(tuple, got)) == sorted(taken)
+    assert tiles.apart(spark.createDataFrame([], kind), spark.createDataFrame(others, kind), [F.desc("objectness")]).count() == 0
+
+    dims = spark.createDataFrame([(1, 100, 100)], "page_id long, width int, height int")
+    seen = [  # doubles that both own; a pair that neither owns; a pair that one owns
+        (1, 0, 30.0, 0.0, 54.0, 10.0, 0.5, 0), (1, 0, 46.0, 0.0, 66.0, 10.0, 0.9, 1), (1, 1, 44.0, 20.0, 62.0, 30.0, 0.4, 0), (1, 1, 40.0, 20.0, 58.0, 30.0, 0.3, 1),
+        (1, 2, 40.0, 40.0, 70.0, 50.0, 0.7, 0), (1, 2, 41.0, 40.0, 70.0, 50.0, 0.6, 1), (1, 3, 44.0, 22.0, 61.0, 32.0, 0.8, 0),
+    ]
+    base = spark.createDataFrame([(1, 9, 0.0, 60.0, 10.0, 70.0, 0.5)], kind)
+    found = tiles.merge_with_seams(base, spark.createDataFrame(seen, kind + ", tile int"), tiles.halves(dims), least=0.2)
+    assert sorted((r.idx, r.x0, r.from_tile) for r in found.collect()) == [(0, 46.0, True), (1, 44.0, True), (2, 41.0, True)]
+
+
+def test_small_parts(spark):
+    dims = spark.createDataFrame([(1, 1000, 500)], "page_id long, width int, height int")
+    rows = [(1, 0, 0, 5, 3, 3), (1, 0, 0, 5, 2, 9), (1, 0, 0, 5, 3, 2), (1, 0, 0, 40, 20, 9), (1, 0, 0, 41, 20, 9), (1, 0, 0, 40, 21, 9), (1, 0, 0, 1, 12, 9), (1, 0, 0, 1, 13, 9)]
+    found = tiles.small_parts(spark.createDataFrame(rows, "page_id long, x0 int, y0 int, x1 int, y1 int, pixels int"), dims)
+    assert sorted(map(tuple, found.collect())) == sorted(rows[k] for k in (0, 3, 6))
+
+
+def test_quadrilaterals(spark):
+    rng = np.random.default_rng(6)
+    grid = (np.stack(np.meshgrid(np.arange(400), np.arange(400)), axis=-1).reshape(-1, 2) + 0.5) / 20
+    inside = lambda q: np.all([(q[(k + 1) % 4, 0] - q[k, 0]) * (grid[:, 1] - q[k, 1]) - (q[(k + 1) % 4, 1] - q[k, 1]) * (grid[:, 0] - q[k, 0]) >= 0 for k in range(4)], axis=0)
+    quads = []
+    for _ in range(40):
+        angle = np.sort(rng.uniform(0, 2 * np.pi, 4))
+        quads.append(rng.uniform(7, 13, 2) + rng.uniform(2, 6) * np.stack([np.cos(angle), np.sin(angle)], axis=1))
+    a, b = np.array(quads[:20]), np.array(quads[20:])
+    areas = quadrilaterals.common_areas(a[:, ::-1], b)
+    for i in range(20):
+        x, y = inside(a[i]), inside(b[i])
+        assert [v[i] * 400 for v in areas] == pytest.approx([x.sum(), y.sum(), (x & y).sum()], abs=120)
+    rows = spark.createDataFrame([([0.0, 0.0, 2.0, 0.0, 2.0, 2.0, 0.0, 2.0], [1.0, 0.0, 3.0, 0.0, 3.0, 2.0, 1.0, 2.0]), (None, [1.0] * 8), ([1.0] * 8, [1.0] * 8), ([1.0], [1.0] * 8)], "a array<double>, b array<double>")
+    assert [r.iou for r in rows.select(quadrilaterals.quad_iou(F.col("a"), F.col("b")).alias("iou")).collect()] == [pytest.approx(1 / 3), 0.0, 0.0, 0.0]
+
+
+def test_recognition_score(spark):
+    rows = [("Straße", "STRASSE"), ("élan", "elan"), ("ΟΔΟΣ", "οδος"), ("a", "a"), (None, "x"), ("ab", None), ("Iı", "iı")]
+
+    def edits(a, b):
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, line[0] = line[0], i
+            for j, z in enumerate(b, 1):
+                before, line[j] = line[j], min(line[j] + 1, line[j - 1] + 1, before + (x != z))
+        return line[-1]
+
+    plain = [(a or "", b or "") for a, b in rows]
+    got = recognition.recognition_score(spark.createDataFrame(rows, "l_text string, r_text string")).first()
+    assert got.words == 7 and got.exact == 1 / 7 and got.case_blind == sum(a.casefold() == b.casefold() for a, b in plain) / 7
+    assert got.cer == sum(edits(a, b) for a, b in plain) / sum(len(a) for a, _ in plain)
+    assert tuple(recognition.recognition_score(spark.createDataFrame([], "l_text string, r_text string")).first()) == (0, 0.0, 0.0, 0.0)
+
+
+def test_streams_say_what_is_wrong(spark, tmp_path):
+    schema, parts = "run long, sequence long, text string", "run long, sequence long, part int, of int, text string"
+
+    def stream(rows, kind):
+        folder = tempfile.mkdtemp(dir=tmp_path)
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        return spark.readStream.schema(kind).parquet(f"{folder}/in"), f"{folder}/out"
+
+    rows, out = stream([(1, 0, "a"), (1, 1, "b"), (1, 1, "b")], schema)
+    with pytest.raises(Exception, match=streams.DOUBLE_PAGE):
+        streams.run_to_end(streams.in_order(rows), out)
+    twice, out = stream([(1, 0, 0, 2, "a"), (1, 0, 1, 2, "b"), (1, 0, 1, 2, "b")], parts)
+    with pytest.raises(Exception, match=streams.DOUBLE_PART):
+        streams.run_to_end(streams.gathered(twice), out)
+    with pytest.raises(Exception, match=streams.DOUBLE_PART):
+        streams.gathered(spark.createDataFrame([(1, 0, 1, 2, "b"), (1, 0, 1, 2, "b")], parts)).collect()
+    gap, out = stream([(1, 0, "a"), (1, 2, "c")], schema)
+    emitted = streams.run_to_end(streams.in_order(gap), out)
+    with pytest.raises(ValueError, match=streams.MISSING_PAGE):
+        streams.finished(emitted, spark.createDataFrame([(1, 0, "a"), (1, 2, "c")], schema))
+    assert streams.finished(emitted, emitted).count() == 1
+
+
 def test_series(spark):
     rows = spark.createDataFrame([("a", v) for v in range(1, 101)] + [("b", 7), ("b", None)], "k string, v int")
     got = {r.k: (r.p50, r.p95, r.p99) for r in series.floor_rank(rows, ["k"], "v", (50, 95, 99)).collect()}
@@ -249,8 +382,8 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     schema = "run long, sequence long, part int, of int, text string"
     for i in range(4):
         spark.createDataFrame(rows[i::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    got = streams.run_to_end(streams.gathered(streams.watch(spark, str(tmp_path / "in"), schema, config.Settings(inflight=1))), str(tmp_path / "a"))
-    want = streams.gathered(spark.createDataFrame(rows, schema))
+    got = streams.run_to_end(streams.gathered(streams.watch(spark, str(tmp_path / "in"), schema, config.Settings(inflight=1)), strict=False), str(tmp_path / "a"))
+    want = streams.gathered(spark.createDataFrame(rows, schema), strict=False)
     key = lambda df: sorted(map(tuple, df.select("run", "sequence", "text").collect()))
     assert key(got) == key(want) and got.count() == 59
     whole = spark.readStream.schema(got.schema).parquet(str(tmp_path / "a" / "rows"))
