@@ -36,3 +36,29 @@ def sequences(words: DataFrame, phrase: list[str]) -> DataFrame:
     met = words.withColumn("found", F.array(*ahead) == F.array(*(F.lit(p) for p in phrase))).where("found").select("page_id", "idx")
     stepped = met.withColumn("step", F.expr(f"idx div {len(phrase)}")).withColumn("phase", F.col("idx") % len(phrase))
     return islands(stepped, ["page_id", "phase"], "step").select("page_id", "idx", F.concat_ws("-", "phase", "island").alias("run"))
+
+
+#: Stages in the order in which an error of theirs is believed, and what a stage says that was only stopped.
+STAGES = ("reader", "detector", "postprocessor", "recognizer", "writer")
+INDUCED = ("Pipeline cancelled", "Missing admitted pages", "Downstream disconnected")
+
+
+def first_cause(errors: DataFrame) -> DataFrame:
+    """run, stage, message: of each run's errors (run, stage, message) the one that came first in the order of STAGES and was not
+    induced by another. A run with induced errors alone has no row; null messages are errors like others, unknown stages come last."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, STAGES)), F.col("stage")), F.lit(0)), F.lit(len(STAGES) + 1))
+    own = errors.where(~F.coalesce(F.col("message").isin(*INDUCED), F.lit(False)))
+    return own.groupBy("run").agg(F.min(F.struct(place.alias("place"), "message", "stage")).alias("e")).select("run", "e.stage", "e.message")
+
+
+def captured(rows: DataFrame, wanted: Column, value: Column, error: Column) -> DataFrame:
+    """rows with value, null where it failed, and error, what went wrong; a failed row is kept, so that it counts in every
+    denominator. `wanted` says which rows are tried; others have neither."""
+    failed = wanted & value.isNull()
+    return rows.withColumns({"value": F.when(wanted, value), "error": F.when(failed, error)})
+
+
+def examples(rows: DataFrame, keys: list[str], order: list[Column], most: int = 24) -> DataFrame:
+    """The first row of each group of keys, and of these the `most` first in order."""
+    first = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
+    return first.orderBy(*order).limit(most)

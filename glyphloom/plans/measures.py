@@ -130,6 +130,18 @@ def adaptive_window_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.adaptive_rates(d.telemetry(spark, sf_dir).select("run", (F.col("time_ns") / 1e9).alias("seconds")), "run", "seconds", 3600.0)
 
 
+ADAPTIVE_WINDOW_RATES = with_views("telemetry", body="""
+, placed AS (SELECT run, time_ns / 1e9::DOUBLE AS t, row_number() OVER (PARTITION BY run ORDER BY time_ns) AS k FROM telemetry),
+fold AS (
+  WITH RECURSIVE f(run, k, since, n, "at", rate) AS (
+    SELECT run, k, t, 0::BIGINT, NULL::DOUBLE, NULL::DOUBLE FROM placed WHERE k = 1
+    UNION ALL
+    SELECT f.run, p.k, CASE WHEN t - since >= 3600 THEN t ELSE since END, CASE WHEN t - since >= 3600 THEN 0 ELSE n + 1 END, CASE WHEN t - since >= 3600 THEN t END, CASE WHEN t - since >= 3600 THEN (n + 1) / (t - since) END
+    FROM f JOIN placed p ON p.run = f.run AND p.k = f.k + 1)
+  SELECT * FROM f)
+SELECT run, "at", rate FROM fold WHERE "at" IS NOT NULL""")
+
+
 def sequence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gaps, repeats and the first number of each run's results."""
     rows = d.results(spark, sf_dir).select("run", "sequence", F.lag("sequence").over(Window.partitionBy("run").orderBy("sequence")).alias("before"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.operators import runs, tiles
+from glyphloom.operators import detection, fusion, runs, tiles
 from glyphloom.plans.scoring import MATCHED, PAIRS, _matches
 from glyphloom.sources import derived as d
 from glyphloom.sources.derived import with_views
@@ -138,7 +138,72 @@ def conservation_laws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CONSERVATION_LAWS = "SELECT count(*) FILTER (len(list_filter(string_split_regex(text, '[ \\n]+'), lambda x: x <> '')) > 0) AS pages, CAST(0 AS BIGINT) AS exact_within_matched, CAST(0 AS BIGINT) AS matched_within_truth, CAST(0 AS BIGINT) AS matched_within_predicted, CAST(0 AS BIGINT) AS labels_once FROM documents"
 
+
+def first_cause_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the errors that the stages of a run raise, made from its events, the one that is to be told."""
+    e = F.col("event_id")
+    stage = F.element_at(F.array(*map(F.lit, runs.STAGES)), (e % 5 + 1).cast("int"))
+    message = F.when(e % 3 == 0, F.element_at(F.array(*map(F.lit, runs.INDUCED)), (e % 2 + 1).cast("int"))).otherwise(F.concat(F.lit("event "), e.cast("string")))
+    return runs.first_cause(d.table(spark, sf_dir, "events").where(e % 4 == 1).select(F.col("user_id").alias("run"), stage.alias("stage"), message.alias("message")))
+
+
+FIRST_CAUSE_ERRORS = f"""
+SELECT run, stage, message FROM (
+  SELECT *, row_number() OVER (PARTITION BY run ORDER BY place, message) AS k FROM (
+    SELECT user_id AS run, event_id % 5 AS place, {list(runs.STAGES)}[event_id % 5 + 1] AS stage, CASE WHEN event_id % 3 = 0 THEN {list(runs.INDUCED)}[event_id % 2 + 1] ELSE 'event ' || event_id END AS message
+    FROM events WHERE event_id % 4 = 1) WHERE NOT list_contains({list(runs.INDUCED)}, message)) WHERE k = 1"""
+
+
+def captured_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of which a number is asked, by language: how many there are, were tried, and failed, and the share that is right of all."""
+    documents = d.table(spark, sf_dir, "documents")
+    word = F.regexp_extract("text", r"[0-9]+", 0)
+    rows = runs.captured(documents, F.col("doc_id") % 3 != 0, F.expr("try_cast(regexp_extract(text, '[0-9]+', 0) AS int)"), F.when(word == "", "no number").otherwise("too large"))
+    return rows.groupBy("lang").agg(
+        F.count("*").alias("pages"), F.count("value").alias("read"), F.count_if(F.col("error") == "no number").alias("no_number"), F.count_if(F.col("error") == "too large").alias("too_large"),
+        F.round(F.count("value") / F.count("*"), 6).alias("share"),
+    )
+
+
+CAPTURED_ERRORS = """
+SELECT lang, count(*) AS pages, count(*) FILTER (tried AND value IS NOT NULL) AS read, count(*) FILTER (tried AND value IS NULL AND word = '') AS no_number, count(*) FILTER (tried AND value IS NULL AND word <> '') AS too_large,
+       round(count(*) FILTER (tried AND value IS NOT NULL) / count(*), 6) AS share
+FROM (SELECT lang, doc_id % 3 <> 0 AS tried, regexp_extract(text, '[0-9]+') AS word, TRY_CAST(regexp_extract(text, '[0-9]+') AS INTEGER) AS value FROM documents) GROUP BY lang"""
+
+
+def example_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels to be looked at: of each page, region and text the first, and of these the 24 shortest."""
+    words = d.truth_words(spark, sf_dir).select("page_id", "idx", "text", F.when(F.col("idx") < 30, "head").otherwise("body").alias("region"))
+    return runs.examples(words, ["page_id", "region", "text"], [F.char_length("text"), F.col("idx"), F.col("page_id"), F.col("text")])
+
+
+EXAMPLE_SELECTION = with_views("truth_words", body="""
+SELECT page_id, idx, text, region FROM (
+  SELECT *, row_number() OVER (PARTITION BY page_id, region, text ORDER BY length(text), idx, page_id) AS k FROM (SELECT page_id, idx, text, CASE WHEN idx < 30 THEN 'head' ELSE 'body' END AS region FROM truth_words))
+WHERE k = 1 ORDER BY length(text), idx, page_id, text LIMIT 24""")
+
+
+def black_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of each map's pixels that are black under two policies: no ink at all, or less than half."""
+    pixels = d.prob_map(spark, sf_dir)
+    return pixels.groupBy("page_id").agg(F.round(F.avg((F.col("p") == 0).cast("int")), 9).alias("none"), F.round(F.avg((F.col("p") < 0.5).cast("int")), 9).alias("less"))
+
+
+BLACK_PIXELS = with_views("prob_map", body="""
+SELECT page_id, round(avg(CASE WHEN p = 0 THEN 1 ELSE 0 END), 9) AS none, round(avg(CASE WHEN p < 0.5 THEN 1 ELSE 0 END), 9) AS less FROM prob_map GROUP BY page_id""")
+
+
+def fused_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tiles of 40 pixels a map, sampled at the middles of a page of 61 by 64 and fused evenly and tapered, by band."""
+    packed = detection.packed(d.prob_map(spark, sf_dir)).select("page_id", F.transform("p", lambda v: v.cast("double")).alias("p"))
+    part = lambda x, y: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda r: F.slice("p", (r + y) * 64 + x + 1, 40)))
+    at = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), part(x, y).alias("p")) for x in (0, 24) for y in (0, 24)))
+    tiles = packed.select("page_id", F.explode(at).alias("t")).select("page_id", "t.*", F.lit(61).alias("width"), F.lit(64).alias("height"))
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6).alias(c)
+    return fusion.checked(fusion.fused(tiles, 40, 40)).select("page_id", "band", "width", F.size("even").alias("pixels"), total("even"), total("tapered"))
+
+
 QUERIES = {
     f.__name__: (f, globals().get(f.__name__.upper()))
-    for f in (parameter_sweep, sweep_winner, repeat_parity, word_sequences, tile_word_mapping, guarded_remerge, mode_totals, shared_words, conservation_laws)
+    for f in (parameter_sweep, sweep_winner, repeat_parity, word_sequences, tile_word_mapping, guarded_remerge, mode_totals, shared_words, conservation_laws, first_cause_errors, captured_errors, example_selection, black_pixels, fused_maps)
 }

@@ -93,7 +93,7 @@ def unclip_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 UNCLIP_BOXES = with_views("rectangles", body="""
-SELECT page_id, round(greatest(least(round(x0 - far) / 64, 1), 0), 6) AS x0, round(greatest(least(round(y0 - far) / 64, 1), 0), 6) AS y0,
+SELECT page_id, round(greatest(least(round(x0 - far) / 64, 1), 0), 6) + 0.0::DOUBLE AS x0, round(greatest(least(round(y0 - far) / 64, 1), 0), 6) + 0.0::DOUBLE AS y0,
        round(greatest(least((round(x0 + w - 1 + far) + 1) / 64, 1), 0), 6) AS x1, round(greatest(least((round(y0 + h - 1 + far) + 1) / 64, 1), 0), 6) AS y1
 FROM (SELECT *, (w - 1) * (h - 1) * 1.5::DOUBLE / (2 * (w + h - 2)) AS far FROM rectangles)""")
 

@@ -69,10 +69,10 @@ def page_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A rectangle for each supplier on the map of its nation: page_id, x0, y0, w, h, p."""
+    """A rectangle for each supplier, eight on a map, so that maps grow in number with the table: page_id, x0, y0, w, h, p."""
     k = F.col("s_suppkey")
     return table(spark, sf_dir, "supplier").select(
-        F.col("s_nationkey").cast("long").alias("page_id"),
+        F.floor(k / 8).alias("page_id"),
         (k * 11 % 44).cast("int").alias("x0"),
         (k * 7 % 50).cast("int").alias("y0"),
         (3 + k * 5 % 17).cast("int").alias("w"),
@@ -82,12 +82,13 @@ def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prob_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, y, x, p of 64 x 64 pixels a nation; where rectangles overlap the largest p holds, elsewhere 0."""
-    pages = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("page_id"))
+    """page_id, y, x, p of 64 x 64 pixels a map; where rectangles overlap the largest p holds, elsewhere 0. Each eleventh map is blank."""
+    pages = rectangles(spark, sf_dir).select("page_id").distinct()
     side = F.sequence(F.lit(0), F.lit(MAP_SIDE - 1))
     grid = pages.select("page_id", F.explode(side).alias("y")).select("page_id", "y", F.explode(side).alias("x"))
     inked = (
         rectangles(spark, sf_dir)
+        .where("page_id % 11 != 5")
         .select("page_id", "p", F.explode(F.sequence(F.col("y0"), F.col("y0") + F.col("h") - 1)).alias("y"), "x0", "w")
         .select("page_id", "p", "y", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("w") - 1)).alias("x"))
         .groupBy("page_id", "y", "x")
@@ -105,10 +106,10 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sensor samples of runs: run, time_ns, gpu (some null), vram, rss, cpu."""
+    """Sensor samples of runs, one a user, so that runs grow in number with the table: run, time_ns, gpu (some null), vram, rss, cpu."""
     e = F.col("event_id")
     return table(spark, sf_dir, "events").select(
-        (F.col("user_id") % 8).alias("run"),
+        F.col("user_id").alias("run"),
         e.alias("event_id"),
         "event_type",
         (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("time_ns"),
@@ -161,16 +162,17 @@ DERIVED_SQL = {
       SELECT d.doc_id AS page_id, coalesce(w.width, 0) AS width, coalesce(w.height, 0) AS height
       FROM documents d LEFT JOIN (SELECT page_id, max(x1) AS width, max(y1) AS height FROM truth_words GROUP BY page_id) w ON d.doc_id = w.page_id""",
     "rectangles": """
-      SELECT CAST(s_nationkey AS BIGINT) AS page_id, s_suppkey * 11 % 44 AS x0, s_suppkey * 7 % 50 AS y0, 3 + s_suppkey * 5 % 17 AS w, 2 + s_suppkey * 3 % 11 AS h,
+      SELECT CAST(s_suppkey // 8 AS BIGINT) AS page_id, s_suppkey * 11 % 44 AS x0, s_suppkey * 7 % 50 AS y0, 3 + s_suppkey * 5 % 17 AS w, 2 + s_suppkey * 3 % 11 AS h,
              CASE s_suppkey % 3 WHEN 0 THEN 0.25 WHEN 1 THEN 0.5 ELSE 0.9 END::DOUBLE AS p FROM supplier""",
     "prob_map": """
-      SELECT CAST(n_nationkey AS BIGINT) AS page_id, CAST(gy.v AS INTEGER) AS y, CAST(gx.v AS INTEGER) AS x,
-             coalesce((SELECT max(r.p) FROM rectangles r WHERE r.page_id = n_nationkey AND gx.v >= r.x0 AND gx.v < r.x0 + r.w AND gy.v >= r.y0 AND gy.v < r.y0 + r.h), 0.0::DOUBLE) AS p
-      FROM nation, (SELECT unnest(range(64)) AS v) gy, (SELECT unnest(range(64)) AS v) gx""",
+      SELECT g.page_id, g.y, g.x, coalesce(r.p, 0.0::DOUBLE) AS p
+      FROM (SELECT page_id, CAST(gy.v AS INTEGER) AS y, CAST(gx.v AS INTEGER) AS x FROM (SELECT DISTINCT page_id FROM rectangles), (SELECT unnest(range(64)) AS v) gy, (SELECT unnest(range(64)) AS v) gx) g
+      LEFT JOIN (SELECT page_id, y, x, max(p) AS p FROM (SELECT page_id, p, y, unnest(range(x0, x0 + w)) AS x FROM (SELECT page_id, p, x0, w, unnest(range(y0, y0 + h)) AS y FROM rectangles WHERE page_id % 11 <> 5)) GROUP BY ALL) r
+        ON g.page_id = r.page_id AND g.y = r.y AND g.x = r.x""",
     "logits": """
       SELECT CAST(vec_id // 8 AS BIGINT) AS sample, CAST(vec_id % 8 AS INTEGER) AS step, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 8) AS "values" FROM embeddings""",
     "telemetry": """
-      SELECT user_id % 8 AS run, event_id, event_type, epoch_us(ts) * 1000 AS time_ns, CASE WHEN event_id % 17 <> 0 THEN value END AS gpu, event_id * 7919 % 8000000 AS vram,
+      SELECT user_id AS run, event_id, event_type, epoch_us(ts) * 1000 AS time_ns, CASE WHEN event_id % 17 <> 0 THEN value END AS gpu, event_id * 7919 % 8000000 AS vram,
              1000000 + event_id * 104729 % 500000 AS rss, CASE WHEN event_id % 23 <> 0 THEN (event_id * 31 % 800) / 8.0::DOUBLE END AS cpu FROM events""",
     "results": """
       SELECT run, sequence, id, text FROM (

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions import config, geometry
 from glyphloom.functions import quads as quadrilaterals
-from glyphloom.operators import detection, matching, orientation, pipeline, recognition, recovery, series, tiles
+from glyphloom.operators import detection, fusion, lines, matching, orientation, pipeline, recognition, recovery, runs, series, tiles
 from glyphloom.plans import measures
 from glyphloom.streaming import pages as streams
 
@@ -296,6 +296,70 @@ def test_streams_say_what_is_wrong(spark, tmp_path):
     assert streams.finished(emitted, emitted).count() == 1
 
 
+def test_fused_maps_against_plain_loops(spark):
+    rng = np.random.default_rng(9)
+    side, width, height = 20, 33, 90
+    scale = side / 24
+    tiles_ = [(x, y, rng.random((side, side))) for x in (0, 12) for y in (0, 20, 44, 66)]
+    w, h = int(np.ceil(width * scale)), int(np.ceil(height * scale))
+
+    def sample(p, x, y):
+        x, y = min(max(x, 0), side - 1), min(max(y, 0), side - 1)
+        a, b = int(x), int(y)
+        c, d = min(a + 1, side - 1), min(b + 1, side - 1)
+        return (p[b, a] * (1 - x + a) + p[b, c] * (x - a)) * (1 - y + b) + (p[d, a] * (1 - x + a) + p[d, c] * (x - a)) * (y - b)
+
+    want = np.zeros((2, h, w))
+    for gy in range(h):
+        for gx in range(w):
+            sx, sy, sums, weights = (gx + 0.5) / scale, (gy + 0.5) / scale, [0.0, 0.0], [0.0, 0.0]
+            for x, y, p in tiles_:
+                x1, y1 = x + 24, y + 24
+                if x <= sx < x1 and y <= sy < y1:
+                    tx, ty = (sx - x) * scale, (sy - y) * scale
+                    edge = min(128.0, *([tx] if x > 0 else []), *([ty] if y > 0 else []), *([side - tx] if x1 < width else []), *([side - ty] if y1 < height else []), 128.0)
+                    for mode, weight in enumerate((1.0, min(max(edge / 128, 0.001), 1.0))):
+                        sums[mode] += sample(p, tx - 0.5, ty - 0.5) * weight
+                        weights[mode] += weight
+            want[:, gy, gx] = [s / v for s, v in zip(sums, weights, strict=True)]
+    rows = spark.createDataFrame([(1, x, y, width, height, p.ravel().tolist()) for x, y, p in tiles_], "page_id long, x int, y int, width int, height int, p array<double>")
+    got = sorted(fusion.checked(fusion.fused(rows, side, 24)).collect(), key=lambda r: r.band)
+    assert len(got) == 2
+    for mode, name in enumerate(("even", "tapered")):
+        assert np.concatenate([np.array(r[name]).reshape(-1, r.width) for r in got]) == pytest.approx(want[mode])
+    with pytest.raises(Exception, match="Uncovered"):
+        fusion.checked(fusion.fused(rows.where("x = 0"), side, 24)).collect()
+    assert fusion.fused(rows.limit(0), side, 24).count() == 0
+    words = spark.createDataFrame([(0.0, 0.0, 1.0, 0.5, w, h, width, height), (0.2, 0.2, 0.2, 0.4, w, h, width, height)], "x0 double, y0 double, x1 double, y1 double, map_width int, map_height int, width int, height int")
+    (r,) = fusion.boxes_on_page(words, scale).collect()
+    assert (r.x1, r.y1) == (1.0, pytest.approx(0.5 * h / (scale * height)))
+
+
+def test_alternatives_keep_to_their_budget(spark):
+    kind = "page_id long, idx long, x0 double, y0 double, x1 double, y1 double, parts int"
+    row = [(1, i, 40.0 * i, 10.0, 40.0 * i + 30, 20.0, 1) for i in range(4)]
+    narrow = [(1, 10, 32.0, 8.0, 36.0, 19.0, 1), (1, 11, 72.0, 9.0, 75.0, 20.0, 1)]
+    high = [(2, i, 10.0, 25.0 * i, 20.0, 25.0 * i + 40, 1) for i in range(3)] + [(2, 9, 200.0, 0.0, 210.0, 40.0, 2)]
+    words = spark.createDataFrame(row + narrow + high, kind)
+    dims = spark.createDataFrame([(1, 300, 100), (2, 300, 300)], "page_id long, width int, height int")
+    found = sorted(map(tuple, lines.alternatives(words, dims).collect()))
+    assert [f[:4] for f in found] == [(1, 10, "horizontal_line_context", 0), (1, 11, "horizontal_line_context", 0)] + [(2, i, "vertical_line_neighbours", r) for i in range(3) for r in (90, 270)]
+    assert found[0][4:] == (30, 8, 38, 20)
+    few = lines.alternatives(words, dims, most=3)
+    assert sorted({(r.page_id, r.idx) for r in few.collect()}) == [(1, 10), (1, 11), (2, 0)]
+    assert lines.alternatives(words, dims, pixels=60).count() == 0 and lines.alternatives(words.limit(0), dims).count() == 0
+
+
+def test_first_causes_and_examples(spark):
+    errors = [(1, "writer", "disk"), (1, "detector", "Pipeline cancelled"), (1, "recognizer", "bad crop"), (2, "reader", "Downstream disconnected"), (3, "other", "x"), (3, "writer", None)]
+    found = runs.first_cause(spark.createDataFrame(errors, "run long, stage string, message string")).collect()
+    assert sorted(map(tuple, found)) == [(1, "recognizer", "bad crop"), (3, "writer", None)]
+    rows = spark.createDataFrame([("b", 2), ("a", 1), ("a", 0), ("c", None)], "k string, v int")
+    assert [tuple(r) for r in runs.examples(rows, ["k"], [F.col("v")], 2).collect()] == [("c", None), ("a", 0)]
+    kept = runs.captured(rows, F.col("k") != "b", F.col("v"), F.lit("none")).orderBy("k", "v").collect()
+    assert [(r.value, r.error) for r in kept] == [(0, None), (1, None), (None, None), (None, "none")]
+
+
 def test_series(spark):
     rows = spark.createDataFrame([("a", v) for v in range(1, 101)] + [("b", 7), ("b", None)], "k string, v int")
     got = {r.k: (r.p50, r.p95, r.p99) for r in series.floor_rank(rows, ["k"], "v", (50, 95, 99)).collect()}
