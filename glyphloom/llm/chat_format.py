@@ -6,9 +6,10 @@ puts a text in its place; `regenerate` empties it for the deltas to come; `delet
 apart from those of the template, and can be undone.
 
 Defined results: a null text is empty, a null role the empty string; events without a number come first, those of one number
-by message, role and text; a delta, edit or regenerate of an unknown message opens one of the assistant; an unknown kind
+by message, role, text and kind; a delta, edit or regenerate of an unknown message opens one of the assistant; an unknown kind
 counts as a delta; a second start of a message replaces it in place; a start without a message's name opens a message of
-its own; a null conv_id is a conversation; repeated rows are messages of their own; extra columns are ignored.
+its own; a null conv_id is a conversation; repeated rows are messages of their own; an empty table has an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -134,7 +135,7 @@ def turns(events: DataFrame) -> DataFrame:
             if found:
                 yield conv, found[0], message, None, None, *found[1:]
 
-    named = events.where(F.col("message").isNotNull()).repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "role", "text")
+    named = events.where(F.col("message").isNotNull()).repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "role", "text", "kind")
     folded = _mapped(named.select("conv_id", "seq", "message", "kind", "role", "text"), "by_role string, by_text string, role string, text string", run, ("conv_id", "seq", "message"))
     start, empty = F.col("kind").eqNullSafe("start"), F.col("kind").eqNullSafe("regenerate")
     lone = events.where(F.col("message").isNull() & ~F.col("kind").eqNullSafe("delete")).select(
