@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphloom.llm import chat_format, decontamination, forest, line_dedup, mixing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
+from glyphloom.llm import _shared, chat_format, decontamination, forest, line_dedup, mixing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, text_key long, _id long"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -58,6 +58,11 @@ def test_urls(spark):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, rule, verdict) == tuple(got[i + len(urls)])[1:]
 
 
+def test_urls_of_an_empty_table(spark):
+    pages = spark.createDataFrame([], "page_id long, url string, host string")
+    assert url_filter.judge(pages, url_filter.stand_in_list(pages)).count() == 0
+
+
 def test_cascade_is_exact_both_ways(spark):
     keys = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("key"))
     listed = keys.where(F.pmod(F.xxhash64("key"), F.lit(7)) == 0)
@@ -95,6 +100,23 @@ def test_mix(spark, mixed):
     assert {r.target for r in mixing.planned(documents(spark, [None, ""])).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_targets_of_many_sources(spark, seed):
+    rng = random.Random(seed)
+    sizes = [(f"s{i:03}" if i else None, rng.choice((0, 1, 5, 100, rng.randint(1, 10_000)))) for i in range(150)]
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rng.sample(sizes, 150), "source string, source_size long").repartition(7)).collect()}
+    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, (s, _) in enumerate(order)}
+    size, total, open_, level = dict(sizes), 1.5 * sum(n for _, n in sizes), set(weight), 0.0
+    while open_:
+        level = (total - sum(2 * size[s] for s in weight if s not in open_)) / sum(weight[s] for s in open_)
+        over = {s for s in open_ if weight[s] * level >= 2 * size[s]}
+        if not over:
+            break
+        open_ -= over
+    assert got == {s: pytest.approx(weight[s] * level if s in open_ else 2 * size[s]) for s in weight}
+
+
 def test_mix_joins_alike_without_broadcast(spark, mixed, monkeypatch):
     key = lambda df: sorted(map(str, df.select("row.doc_id", "target", "copies").collect()))
     want = key(mixing.planned(documents(spark, mixed)))
@@ -208,6 +230,43 @@ def test_simhash(spark, mixed):
     assert simhash.clustered(documents(spark, mixed).limit(0)).count() == 0
 
 
+def test_the_count_filter_prunes_and_loses_nothing():
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    b = rng.integers(0, 1 << 63, 20_000, dtype=np.uint64)
+    b = (b & ~np.uint64(0xFFFF)) | (a & np.uint64(0xFFFF))  # pairs of one list: two bytes are shared
+    flips = np.array([sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for n in rng.integers(0, 7, 20_000)], np.uint64)
+    tally = simhash.shared_bytes(a, b)
+    plain = [sum((int(x) ^ int(y)) >> 8 * k & 255 == 0 for k in range(8)) for x, y in zip(a[:500], b[:500], strict=True)]
+    assert tally[:500].tolist() == plain and (tally >= simhash.SHARED).mean() < 0.01  # all others are never verified
+    near = np.bitwise_count(flips) <= simhash.MOST_BITS
+    assert (simhash._close(a, a ^ flips) == near).all() and (simhash.shared_bytes(a, a ^ flips)[near] >= simhash.SHARED).all()
+
+
+def test_common_keys_are_joined_where_they_stand(spark, monkeypatch):
+    monkeypatch.setattr(_shared, "HOT_SHARE", 4)
+    left = spark.createDataFrame([(1, i) for i in range(60)] + [(k, k) for k in range(2, 30)], "k long, v long")
+    right = spark.createDataFrame([(k, -k) for k in range(40)], "k long, w long")
+    hot = _shared.hot_keys(left.groupBy("k").agg(F.count("*").alias("n")), "k")
+    assert hot == [1]
+    key = lambda df: sorted(map(tuple, df.select("k", "v", "w").collect()))
+    assert key(_shared.join_dealt(left, right, "k", hot)) == key(left.join(right, "k"))
+
+
+def test_keep_one_is_the_same_in_any_order(spark, monkeypatch):
+    rng = random.Random(13)
+    texts = [prose(rng, 60) for _ in range(4)]
+    rows = [(i % 3, texts[i % 4], "en", f"s{rng.randint(0, 5)}", 1, None, None, None) for i in range(40)]
+    rows += rows[:6]
+    want = None
+    for most in (500_000, 0):
+        monkeypatch.setattr(_shared.small, "__defaults__", (most,))
+        for parts in (1, 5):
+            got = sorted(map(str, simhash.keep_one(spark.createDataFrame(rng.sample(rows, len(rows)), DOCS).repartition(parts)).collect()))
+            want = want or got
+            assert got == want and len(got) == 4
+
+
 @pytest.mark.parametrize(("width", "block"), [(2, 16), (3, 4096), (4, 4096)])
 def test_links_are_all_found(spark, width, block):
     rng = np.random.default_rng(width)
@@ -249,6 +308,13 @@ def test_events_fold(spark):
     assert chat_format.formatted(events.limit(0)).count() == 0
 
 
+def test_events_of_one_number_fold_alike_in_any_order(spark):
+    log = [(1, 1, "start", "m", "assistant", "x"), (1, 2, "edit", "m", None, "y"), (1, 2, "regenerate", "m", None, "y"), (1, 2, "delta", "m", None, "y"), (1, 3, "delta", "m", None, "z")]
+    kind = "conv_id long, seq long, kind string, message string, role string, text string"
+    got = {chat_format.formatted(spark.createDataFrame(random.Random(k).sample(log, 5), kind).repartition(3)).first().formatted for k in range(3)}
+    assert [chat_format.read(t) for t in got] == [[("assistant", "z")]]
+
+
 def test_turns_of_one_conversation_are_rendered_in_many_tasks(spark):
     rng = random.Random(6)
     log = [(1, i, "start", f"m{i}" if i % 3 == 0 else None, rng.choice(("user", "assistant", None)), rng.choice((None, "a\\b", "</s>", prose(rng, 5)))) for i in range(300)]
@@ -503,6 +569,12 @@ def test_a_million_letters_take_seconds(bpe):
     assert time.perf_counter() - began < 15 and n == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
+def test_quality_and_benchmark_of_empty_tables(spark):
+    docs, labels = documents(spark, ["x"]).limit(0), spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality_rules.judge(docs, labels).count() == 0 and quality_rules.filter_documents(docs, labels).count() == 0
+    assert decontamination.contamination(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+
+
 def test_tokens_of_an_empty_table(spark, bpe):
     assert token_counts.token_counts(documents(spark, ["x"]).limit(0), bpe[0]).count() == 0
 

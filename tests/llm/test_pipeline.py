@@ -67,3 +67,16 @@ def test_run(spark, folder):
     assert found.where(F.col("n_chars") != F.length("text")).count() == 0
     key = lambda df: sorted(map(str, df.collect()))
     assert key(found) == key(again)
+
+
+def test_run_of_empty_and_clashing_tables(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet").where("doc_id < 50 or doc_id is null")
+    more = docs.withColumns({"row": F.lit("r"), "text_key": F.lit(1), "counts": F.lit(2), "found": F.lit("f"), "n_words": F.lit(None).cast("int"), "place": F.lit(3), "own_id": F.lit(4), "_id": F.lit(5)})
+    for name, rows in (("empty", docs.limit(0)), ("more", more.unionByName(more.limit(5)))):
+        path = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{path}/documents.parquet")
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{folder[0]}/{other}.parquet").write.parquet(f"{path}/{other}.parquet")
+        found = corpus_pipeline.run(spark, path)
+        assert found.columns == rows.columns and (found.count() > 10) == (name == "more")
+        assert found.where("n_chars != length(text)").count() == 0
