@@ -115,3 +115,40 @@ def rgb_pages(rows: DataFrame) -> DataFrame:
     """Pages pushed as bytes (id, width, height, rgb); wrong sizes are an error when rows are read."""
     right = (F.col("width") > 0) & (F.col("height") > 0) & (F.octet_length("rgb") == F.col("width").cast("long") * F.col("height") * 3)
     return rows.withColumn("rgb", F.when(right, F.col("rgb")).otherwise(F.raise_error(F.concat(F.lit("not width * height * 3 bytes: "), F.coalesce("id", F.lit("null"))))))
+
+
+MODEL = "struct<mean: array<double>, std: array<double>, vocab: string>"
+#: What the metadata of a page's orientation must say.
+ORIENTATION_SHAPE, ORIENTATION_CLASSES = [3, 512, 512], [0, -90, 180, 90]
+
+
+def image_files(spark: SparkSession, path: str, repeats: int = 1) -> DataFrame:
+    """Files of a folder as pages, each as often as asked: id is repeat:index:name, index the place by path; with path and content.
+
+    An empty folder gives no page. The listing is numbered without the contents, which are not shuffled."""
+    files = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    ranged = files.select("path").repartitionByRange("path").withColumn("part", F.spark_partition_id())
+    ranged = ranged.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("path")) - 1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    before = ranged.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    places = ranged.join(before, "part").select("path", (F.col("own") + F.col("before")).alias("place"))
+    turns = places.withColumn("repeat", F.explode(F.slice(F.sequence(F.lit(0), F.lit(max(repeats, 1) - 1)), 1, repeats)))
+    return files.join(turns, "path").select(F.concat_ws(":", "repeat", "place", name).alias("id"), "path", "content")
+
+
+def model_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """model, mean, std and vocab ("" where it is not given) of each model of a metadata file; means and deviations have three numbers."""
+    rows = spark.read.json(path, multiLine=True, schema=f"db_resnet34 {MODEL}, parseq {MODEL}")
+    each = F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("m")) for m in rows.columns))
+    models = rows.select(F.explode(each).alias("e")).select("e.model", "e.m.mean", "e.m.std", F.coalesce("e.m.vocab", F.lit("")).alias("vocab"))
+    right = (F.coalesce(F.size("mean"), F.lit(-1)) == 3) & (F.coalesce(F.size("std"), F.lit(-1)) == 3)
+    return models.where(F.when(~right, F.raise_error(F.concat(F.lit("no mean and std of three numbers: "), "model"))).otherwise(True))
+
+
+def orientation_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """One row of the metadata of page orientation; another shape or other classes than the known ones are an error."""
+    rows = spark.read.json(path, multiLine=True, schema="input_shape array<int>, classes array<int>, mean array<double>, std array<double>")
+    known = lambda c, v: F.col(c).eqNullSafe(F.array(*map(F.lit, v)))
+    right = known("input_shape", ORIENTATION_SHAPE) & known("classes", ORIENTATION_CLASSES)
+    return rows.where(F.when(~right, F.raise_error(F.lit("Unexpected page orientation metadata"))).otherwise(True))

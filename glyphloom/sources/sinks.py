@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphloom.sources.readers import sequence_faults
+
 
 def ordered_json(rows: DataFrame, path: str) -> None:
     """One JSON object a line, by sequence: files are ranges of numbers, and their names follow the order. Nulls are left out."""
@@ -33,3 +35,18 @@ def summarised(write: Callable[[], None], summary: DataFrame, path: str) -> None
     """Writes the results, then the summary: a run that fails leaves none."""
     write()
     summary.write.mode("overwrite").json(path)
+
+
+def tensors(maps: DataFrame, path: str) -> None:
+    """Tensors (id, shape, values) as Parquet: values are floats of four bytes; a shape that is not the values' number is an error."""
+    size = F.aggregate("shape", F.lit(1).cast("long"), lambda n, k: n * k)
+    checked = F.when(size == F.size("values"), F.col("values").cast("array<float>")).otherwise(F.raise_error(F.concat(F.lit("not of its shape: "), F.col("id").cast("string"))))
+    maps.select("id", F.col("shape").cast("array<int>").alias("shape"), checked.alias("values")).write.mode("overwrite").parquet(path)
+
+
+def asserted(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """results, if they are the pages that are expected (sequence, id), each once; else an error that names some faults."""
+    faults = sequence_faults(results, expected).orderBy("sequence").limit(5).collect()
+    if faults:
+        raise ValueError("Lost or reordered page: " + ", ".join(f"{r['sequence']} {r['fault']}" for r in faults))
+    return results

@@ -7,9 +7,11 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glyphloom.functions import raster
 from glyphloom.sources import readers, sinks
+from glyphloom.streaming import session
 
 
 def test_workload_and_replay(spark, tmp_path):
@@ -90,3 +92,54 @@ def test_pixels():
     assert turned.shape[0] > 40 and turned.shape[1] > 60 and turned[0, 0].tolist() == [255, 255, 255] and turned[turned.shape[0] // 2, turned.shape[1] // 2].max() == 0
 
 
+
+
+def test_image_files(spark, tmp_path):
+    for name in ("b.png", "a.png", "c d.png"):
+        (tmp_path / name).write_bytes(name.encode())
+    found = {r.id: bytes(r.content).decode() for r in readers.image_files(spark, str(tmp_path), 2).collect()}
+    assert found == {f"{r}:{i}:{n}": n for r in range(2) for i, n in enumerate(("a.png", "b.png", "c d.png"))}
+    assert readers.image_files(spark, str(tmp_path), 0).count() == 0
+
+
+def test_metadata(spark, tmp_path):
+    path, model = tmp_path / "m.json", {"mean": [0.1, 0.2, 0.3], "std": [1, 1, 1]}
+    path.write_text(json.dumps({"db_resnet34": model, "parseq": {**model, "vocab": "ab"}}))
+    assert {r.model: (r.vocab, r.mean[0]) for r in readers.model_metadata(spark, str(path)).collect()} == {"db_resnet34": ("", 0.1), "parseq": ("ab", 0.1)}
+    path.write_text(json.dumps({"db_resnet34": model}))
+    with pytest.raises(Exception, match="parseq"):
+        readers.model_metadata(spark, str(path)).collect()
+    path.write_text(json.dumps({"input_shape": [3, 512, 512], "classes": [0, -90, 180, 90], **model}))
+    assert readers.orientation_metadata(spark, str(path)).count() == 1
+    path.write_text(json.dumps({"input_shape": [3, 512, 512], "classes": [0, 90, 180, 270], **model}))
+    with pytest.raises(Exception, match="Unexpected page orientation"):
+        readers.orientation_metadata(spark, str(path)).collect()
+
+
+def test_tensors_and_asserted_results(spark, tmp_path):
+    rows = spark.createDataFrame([("t", [2, 2], [1.0, 2.0, 3.0, 0.1])], "id string, shape array<int>, values array<double>")
+    sinks.tensors(rows, str(tmp_path / "t"))
+    assert spark.read.parquet(str(tmp_path / "t")).first()["values"] == [1.0, 2.0, 3.0, float(np.float32(0.1))]
+    with pytest.raises(Exception, match="not of its shape"):
+        sinks.tensors(rows.withColumn("shape", F.array(F.lit(3))), str(tmp_path / "u"))
+    expected = spark.createDataFrame([(0, "a"), (1, "b")], "sequence long, id string")
+    assert sinks.asserted(expected, expected).count() == 2
+    with pytest.raises(ValueError, match="1 lost"):
+        sinks.asserted(expected.where("sequence = 0"), expected)
+
+
+def test_session(spark, tmp_path):
+    rows = [(1, i, f"t{i}") for i in (2, 0, 1)]
+    with session.Session(spark, str(tmp_path), lambda pages: pages.withColumn("text", F.upper("text"))) as s:
+        for r in rows:
+            s.submit(spark.createDataFrame([r], session.PAGES))
+        assert [(r.sequence, r.text) for r in s] == [(0, "T0"), (1, "T1"), (2, "T2")] and s.stats == {"pages": 3, "runs": 1, "characters": 6}
+        with pytest.raises(ValueError):
+            s.submit(spark.createDataFrame(rows, session.PAGES))
+    with pytest.raises(ValueError):
+        s.finish_input()
+    with session.Session(spark, str(tmp_path)) as s:
+        assert s.finish_input().count() == 0
+    with session.Session(spark, str(tmp_path)) as s, pytest.raises(ValueError, match="Missing page"):
+        s.submit(spark.createDataFrame([(1, 1, "x")], session.PAGES))
+        s.finish_input()
