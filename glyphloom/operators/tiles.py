@@ -114,55 +114,51 @@ def budgeted(words: DataFrame, most: int = 32, pixels: int = 1_000_000, by: Colu
     return rows.select("page_id", F.explode(F.aggregate("rows", start, step)["taken"]).alias("idx"))
 
 
-def first_come(ranked: DataFrame, rivals: DataFrame) -> DataFrame:
-    """page_id, idx of ranked(page_id, idx, rank) in order of rank, without those that have a rival taken before them.
-
-    rivals has page_id, idx and rival_rank, of a lower rank. A page is read in order, with its rivals beside it; words without
-    rivals need no order and don't pass through Python."""
-    by_word = rivals.groupBy("page_id", "idx").agg(F.collect_list("rival_rank").alias("rivals"))
-    rows = ranked.select("page_id", "idx", "rank").join(by_word, ["page_id", "idx"], "left")
-    asked = rivals.select("page_id", F.col("rival_rank").alias("rank")).distinct().withColumn("asked", F.lit(True))
-    rows = rows.join(asked, ["page_id", "rank"], "left")
-    free = rows.where("rivals is null").select("page_id", "idx")
-    part = rows.where("rivals is not null or asked").select("page_id", "idx", "rank", "rivals").repartition("page_id").sortWithinPartitions("page_id", "rank")
+def _rivals(boxes: DataFrame, least: float) -> DataFrame:
+    """Pairs of boxes (page_id, idx, order, a box) that overlap by an IoU of `least`, or at all if it is 0: page_id, idx and order of
+    one, and rival, the idx of another that comes before it in order."""
+    met = with_iou(overlapping(boxes, boxes)).where((F.col("iou") >= least) & (F.col("r_order") < F.col("l_order")))
+    return met.select("page_id", F.col("l_idx").alias("idx"), F.col("l_order").alias("order"), F.col("r_idx").alias("rival"))
+
+
+def lost(rivals: DataFrame) -> DataFrame:
+    """page_id, idx of words that go when words are taken in order, each unless a rival of it was: rivals(page_id, idx, order, rival).
+
+    Only words with rivals are read in order, a page at a time; one without is always taken. What goes is kept, not what stays."""
+    by_word = rivals.groupBy("page_id", "idx", "order").agg(F.collect_list("rival").alias("rivals"))
+    rows = by_word.repartition("page_id").sortWithinPartitions("page_id", "order").select("page_id", "idx", "rivals")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, chosen = None, set()
+        page, gone = None, set()
         for b in batches:
-            keep = []
-            for p, rank, those in zip(b["page_id"], b["rank"], b["rivals"], strict=True):
+            goes = []
+            for p, idx, those in zip(b["page_id"], b["idx"], b["rivals"], strict=True):
                 if p != page:
-                    page, chosen = p, set()
-                taken = those is None or chosen.isdisjoint(those)
-                keep.append(taken and those is not None)
-                if taken:
-                    chosen.add(rank)
-            yield b.loc[keep, ["page_id", "idx"]]
+                    page, gone = p, set()
+                goes.append(not gone.issuperset(those))
+                if goes[-1]:
+                    gone.add(idx)
+            yield b.loc[goes, ["page_id", "idx"]]
 
-    return free.unionByName(part.mapInPandas(run, free.schema))
-
-
-def _rivals(boxes: DataFrame, least: float) -> DataFrame:
-    """Pairs of boxes (page_id, idx, rank, box) that overlap by an IoU of `least`, or at all if it is 0: page_id, idx, rival_rank."""
-    met = with_iou(overlapping(boxes, boxes)).where((F.col("iou") >= least) & (F.col("r_rank") < F.col("l_rank")))
-    return met.select("page_id", F.col("l_idx").alias("idx"), F.col("r_rank").alias("rival_rank"))
+    return rows.mapInPandas(run, rows.select("page_id", "idx").schema)
 
 
 def suppressed(words: DataFrame, least: float = 0.5) -> DataFrame:
-    """Greedy choice of words by edge margin, then objectness: one that overlaps a chosen one by IoU of `least` goes."""
-    order = Window.partitionBy("page_id").orderBy(F.desc("edge_margin"), F.desc("objectness"), "idx")
-    ranked = words.withColumn("rank", F.row_number().over(order)).select("page_id", "idx", "rank", *CORNERS)
-    return words.join(first_come(ranked, _rivals(ranked, least)), ["page_id", "idx"], "left_semi")
+    """Greedy choice of words by edge margin, then objectness, the highest first, then idx, which tells the words of a page
+    apart: one that overlaps a chosen one by IoU of `least` goes. A null margin or objectness comes last."""
+    down = lambda c: F.coalesce(-F.col(c).cast("double"), F.lit(float("inf"))).alias(c)
+    boxes = words.select("page_id", "idx", F.struct(down("edge_margin"), down("objectness"), "idx").alias("order"), *CORNERS)
+    return words.join(lost(_rivals(boxes, least)), ["page_id", "idx"], "left_anti")
 
 
 def apart(words: DataFrame, others: DataFrame, order: list[Column]) -> DataFrame:
-    """words, in order, that overlap none of `others` and none of the words taken before them; idx tells the words of a page
-    apart. Words without an area are left out, and meet nobody."""
+    """words, in order, then by idx, that overlap none of `others` and none of the words taken before them; idx tells the words
+    of a page apart. Words without an area are left out, and meet nobody."""
     solid = words.where((F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")))
     met = overlapping(solid.select("page_id", "idx", *CORNERS), others.select("page_id", *CORNERS)).select("page_id", F.col("l_idx").alias("idx")).distinct()
     left = solid.join(met, ["page_id", "idx"], "left_anti")
-    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("page_id").orderBy(*order, "idx"))).select("page_id", "idx", "rank", *CORNERS)
-    return left.join(first_come(ranked, _rivals(ranked, 0.0)), ["page_id", "idx"], "left_semi")
+    boxes = left.select("page_id", "idx", F.struct(*(c.alias(f"by_{i}") for i, c in enumerate(order)), "idx").alias("order"), *CORNERS)
+    return left.join(lost(_rivals(boxes, 0.0)), ["page_id", "idx"], "left_anti")
 
 
 def small_parts(components: DataFrame, dims: DataFrame) -> DataFrame:

@@ -217,9 +217,9 @@ def test_first_come_and_seams_against_plain_loops(spark):
     for w in sorted(words, key=lambda w: (w[0], -w[6], w[1])):
         if w[4] > w[2] and not any(meets(w, o) for o in [*others, *taken]):
             taken.append(w)
-    got = tiles.apart(spark.createDataFrame(words, kind), spark.createDataFrame(others, kind), [F.desc("objectness")]).collect()
+    got = tiles.apart(spark.createDataFrame(words, kind), spark.createDataFrame(others, kind), [-F.col("objectness")]).collect()
     assert sorted(map(tuple, got)) == sorted(taken)
-    assert tiles.apart(spark.createDataFrame([], kind), spark.createDataFrame(others, kind), [F.desc("objectness")]).count() == 0
+    assert tiles.apart(spark.createDataFrame([], kind), spark.createDataFrame(others, kind), [-F.col("objectness")]).count() == 0
 
     dims = spark.createDataFrame([(1, 100, 100)], "page_id long, width int, height int")
     seen = [  # doubles that both own; a pair that neither owns; a pair that one owns
