@@ -73,5 +73,5 @@ def quad_iou(a: Column, b: Column) -> Column:
 
 def boxed(quad: Column) -> dict[str, Column]:
     """The box about a quadrilateral, by which it meets others in the grid join."""
-    xs, ys = (F.filter(quad, lambda _, i, k=k: i % 2 == k) for k in (0, 1))
+    xs, ys = F.filter(quad, lambda _, i: i % 2 == 0), F.filter(quad, lambda _, i: i % 2 == 1)
     return {"x0": F.array_min(xs), "y0": F.array_min(ys), "x1": F.array_max(xs), "y1": F.array_max(ys)}

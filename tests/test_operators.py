@@ -255,6 +255,13 @@ def test_quadrilaterals(spark):
     assert [r.iou for r in rows.select(quadrilaterals.quad_iou(F.col("a"), F.col("b")).alias("iou")).collect()] == [pytest.approx(1 / 3), 0.0, 0.0, 0.0]
 
 
+def test_quadrilaterals_meet_by_their_boxes(spark):
+    kind = "page_id long, idx long, quad array<double>"
+    left = spark.createDataFrame([(1, 0, [5.0, 0.0, 10.0, 5.0, 5.0, 10.0, 0.0, 5.0]), (2, 1, [0.0, 0.0, 9.0, 0.0, 9.0, 9.0, 0.0, 9.0]), (1, 2, None)], kind)
+    right = spark.createDataFrame([(1, 7, [5.0, 0.0, 10.0, 5.0, 5.0, 10.0, 0.0, 5.0]), (1, 8, [0.0, 0.0, 2.0, 0.0, 2.0, 2.0, 0.0, 2.0])], kind)
+    assert [(r.page_id, r.l_idx, r.r_idx, r.iou) for r in matching.overlapping_quads(left, right).collect()] == [(1, 0, 7, 1.0)]
+
+
 def test_recognition_score(spark):
     rows = [("Straße", "STRASSE"), ("élan", "elan"), ("ΟΔΟΣ", "οδος"), ("a", "a"), (None, "x"), ("ab", None), ("Iı", "iı")]
 
