@@ -137,13 +137,14 @@ def image_files(spark: SparkSession, path: str, repeats: int = 1) -> DataFrame:
     return files.join(turns, "path").select(F.concat_ws(":", "repeat", "place", name).alias("id"), "path", "content")
 
 
-def model_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """model, mean, std and vocab ("" where it is not given) of each model of a metadata file; means and deviations have three numbers."""
-    rows = spark.read.json(path, multiLine=True, schema=f"db_resnet34 {MODEL}, parseq {MODEL}")
-    each = F.array(*(F.struct(F.lit(m).alias("model"), F.col(m).alias("m")) for m in rows.columns))
-    models = rows.select(F.explode(each).alias("e")).select("e.model", "e.m.mean", "e.m.std", F.coalesce("e.m.vocab", F.lit("")).alias("vocab"))
+def model_metadata(spark: SparkSession, path: str, models: tuple[str, ...]) -> DataFrame:
+    """model, mean, std and vocab ("" where it is not given) of the models of a metadata file that are named; one that is not there,
+    or whose means and deviations are not three numbers, is an error."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string, {MODEL}>").alias("all"))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("model"), F.col("all")[m].alias("m")) for m in models))).alias("e")
+    found = rows.select(each).select("e.model", "e.m.mean", "e.m.std", F.coalesce("e.m.vocab", F.lit("")).alias("vocab"))
     right = (F.coalesce(F.size("mean"), F.lit(-1)) == 3) & (F.coalesce(F.size("std"), F.lit(-1)) == 3)
-    return models.where(F.when(~right, F.raise_error(F.concat(F.lit("no mean and std of three numbers: "), "model"))).otherwise(True))
+    return found.where(F.when(~right, F.raise_error(F.concat(F.lit("no mean and std of three numbers: "), "model"))).otherwise(True))
 
 
 def orientation_metadata(spark: SparkSession, path: str) -> DataFrame:

@@ -104,11 +104,11 @@ def test_image_files(spark, tmp_path):
 
 def test_metadata(spark, tmp_path):
     path, model = tmp_path / "m.json", {"mean": [0.1, 0.2, 0.3], "std": [1, 1, 1]}
-    path.write_text(json.dumps({"db_resnet34": model, "parseq": {**model, "vocab": "ab"}}))
-    assert {r.model: (r.vocab, r.mean[0]) for r in readers.model_metadata(spark, str(path)).collect()} == {"db_resnet34": ("", 0.1), "parseq": ("ab", 0.1)}
-    path.write_text(json.dumps({"db_resnet34": model}))
-    with pytest.raises(Exception, match="parseq"):
-        readers.model_metadata(spark, str(path)).collect()
+    path.write_text(json.dumps({"finder": model, "reader": {**model, "vocab": "ab"}}))
+    assert {r.model: (r.vocab, r.mean[0]) for r in readers.model_metadata(spark, str(path), ("finder", "reader")).collect()} == {"finder": ("", 0.1), "reader": ("ab", 0.1)}
+    path.write_text(json.dumps({"finder": model}))
+    with pytest.raises(Exception, match="reader"):
+        readers.model_metadata(spark, str(path), ("finder", "reader")).collect()
     path.write_text(json.dumps({"input_shape": [3, 512, 512], "classes": [0, -90, 180, 90], **model}))
     assert readers.orientation_metadata(spark, str(path)).count() == 1
     path.write_text(json.dumps({"input_shape": [3, 512, 512], "classes": [0, 90, 180, 270], **model}))
