@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.llm import chat_format, decontamination, line_dedup, mixing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
+from glyphloom.llm import chat_format, decontamination, divergence, line_dedup, mixing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
 
 _OPERATORS = (
     url_filter.op1_url_filter,
@@ -19,6 +19,7 @@ _OPERATORS = (
     token_counts.op8_token_counts,
     quality_rules.op9_quality_rules,
     decontamination.op10_decontamination,
+    divergence.op11_divergence_audit,
 )
 
 
@@ -27,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.SQL, "op2_mixing": mixing.SQL, "op5_chat_format": chat_format.SQL, "op10_decontamination": decontamination.SQL}
+    return {"op1_url_filter": url_filter.SQL, "op2_mixing": mixing.SQL, "op5_chat_format": chat_format.SQL, "op10_decontamination": decontamination.SQL, "op11_divergence_audit": divergence.SQL}
