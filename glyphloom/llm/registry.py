@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.llm import alignment, chat_format, decontamination, divergence, line_dedup, mixing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
+from glyphloom.llm import alignment, chat_format, decontamination, divergence, line_dedup, mixing, quality_rules, secret_scan, sharding, simhash, token_counts, toxicity, url_filter
 
 _OPERATORS = (
     url_filter.op1_url_filter,
@@ -21,6 +21,7 @@ _OPERATORS = (
     decontamination.op10_decontamination,
     divergence.op11_divergence_audit,
     alignment.op12_alignment,
+    sharding.op13_sharding,
 )
 
 
