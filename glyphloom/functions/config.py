@@ -16,6 +16,7 @@ class Settings:
     deskew: bool = False
     dense_refinement: bool = False
     thin_recovery: bool = False
+    line_guided: bool = False
     bin_thresh: float = 0.3
     box_thresh: float = 0.1
     unclip_ratio: float = 1.5

@@ -44,10 +44,10 @@ def opened(pixels: DataFrame) -> DataFrame:
 
 
 def unclip(x0: Column, y0: Column, x1: Column, y1: Column, ratio: float) -> tuple[Column, Column, Column, Column]:
-    """Edges of a component (last pixels included) moved out by area * ratio / perimeter, rounded half away from zero."""
-    w, h = x1 - x0, y1 - y0
+    """Edges of a component (x1 and y1 are its last pixels) moved out by area * ratio / perimeter, rounded half away from zero."""
+    w, h = x1 - x0 + 1, y1 - y0 + 1
     far = w * h * ratio / F.greatest(2 * (w + h), F.lit(1e-12))
-    return F.round(x0 - far), F.round(y0 - far), F.round(x1 + far) + 1, F.round(y1 + far) + 1
+    return F.round(x0 - far), F.round(y0 - far), F.round(x0 + w + far) + 1, F.round(y0 + h + far) + 1
 
 
 def unpad(x: Column, y: Column, width: Column, height: Column) -> tuple[Column, Column]:
@@ -117,25 +117,58 @@ def open_mask(mask: np.ndarray) -> np.ndarray:
     return _window(_window(mask, np.logical_and, True), np.logical_or, False)
 
 
-def boxes_of_map(p: np.ndarray, params: Params = Params()) -> list[tuple[int, int, int, int, int, int, float]]:
-    """(component, x0, y0, x1, y1, area, score) of external components of 3 x 3 pixels or more, in reverse raster order.
+def extents(labels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of components 1, 2, ...: x0, y0, x1, y1 (last pixels), pixels; and the places of all pixels, component by component."""
+    at = np.flatnonzero(labels)
+    at = at[np.argsort(labels.ravel()[at], kind="stable")]
+    ys, xs = np.divmod(at, labels.shape[1])
+    starts = np.flatnonzero(np.diff(labels.ravel()[at], prepend=0))
+    fold = lambda how, v: how.reduceat(v, starts) if len(starts) else v
+    return fold(np.minimum, xs), fold(np.minimum, ys), fold(np.maximum, xs), fold(np.maximum, ys), np.diff(np.append(starts, len(at))), at
 
-    x1 and y1 are the last pixels; the score is the mean over a box that is one pixel larger right and below."""
-    mask = open_mask(p >= np.float32(params.bin_thresh))
+
+def boxes_of_mask(p: np.ndarray, mask: np.ndarray, params: Params) -> list[tuple[int, int, int, int, int, int, float]]:
+    """boxes_of_map, of an opened mask."""
     labels = labelled(mask)
-    outside = _window(flooded(mask), np.logical_or, True)
+    outside = _window(flooded(mask), np.logical_or, True).ravel()
+    left, top, right, low, pixels, at = extents(labels)
+    starts = np.cumsum(pixels) - pixels
     found = []
-    for k in range(1, labels.max(initial=0) + 1):
-        ys, xs = np.nonzero(labels == k)
-        x0, y0, x1, y1 = int(xs.min()), int(ys.min()), int(xs.max()), int(ys.max())
-        if not outside[ys, xs].any() or x1 - x0 < 2 or y1 - y0 < 2:
+    for k, (x0, y0, x1, y1, n) in enumerate(zip(left.tolist(), top.tolist(), right.tolist(), low.tolist(), pixels.tolist(), strict=True)):
+        if x1 - x0 < 2 or y1 - y0 < 2 or not outside[at[starts[k] : starts[k] + n]].any():
             continue
         score = np.float32(p[y0 : y1 + 2, x0 : x1 + 2].mean())
         if score >= np.float32(params.box_thresh):
-            found.append((k, x0, y0, x1, y1, len(xs), float(score)))
+            found.append((k + 1, x0, y0, x1, y1, n, float(score)))
     return found[::-1]
 
 
+def boxes_of_map(p: np.ndarray, params: Params = Params()) -> list[tuple[int, int, int, int, int, int, float]]:
+    """(component, x0, y0, x1, y1, area, score) of external components of 3 x 3 pixels or more, in reverse raster order.
+
+    x1 and y1 are the last pixels; the score is the mean over a box that is one pixel larger right and below."""
+    return boxes_of_mask(p, open_mask(p >= np.float32(params.bin_thresh)), params)
+
+
+def thin_of_map(p: np.ndarray, mask: np.ndarray, kept: np.ndarray) -> tuple[list[tuple], list[tuple]]:
+    """What the recovery of thin glyphs starts from, as (number, x0, y0, x1, y1, pixels, mean): components of the mask of which the
+    opening kept nothing, and components of the opened mask that are three pixels wide, four high and no higher than wide."""
+    sides = labelled(mask), labelled(kept)
+    lost, anchors = [], []
+    for labels, out in zip(sides, (lost, anchors), strict=True):
+        left, top, right, low, pixels, at = extents(labels)
+        if not len(pixels):
+            continue
+        starts = np.cumsum(pixels) - pixels
+        means = np.add.reduceat(p.ravel()[at].astype(float), starts) / pixels
+        survives = np.maximum.reduceat(kept.ravel()[at], starts)
+        w, h = right - left + 1, low - top + 1
+        fits = ~survives if labels is sides[0] else (w >= 3) & (h >= 4) & (w >= h)
+        rows = zip(*(v[fits].tolist() for v in (np.arange(1, len(w) + 1), left, top, right, low, pixels, means)), strict=True)
+        out += rows
+    return lost, anchors
+
+
 BOXES = "page_id long, place int, component int, x0 int, y0 int, x1 int, y1 int, area long, score double"
 
 
@@ -154,6 +187,33 @@ def boxes(maps: DataFrame, params: Params = Params()) -> DataFrame:
     return maps.select("page_id", "width", "p").mapInPandas(run, BOXES)
 
 
+FOUND = "page_id long, tile int, side int, kind string, place int, x0 int, y0 int, x1 int, y1 int, pixels long, score double"
+
+
+def found(maps: DataFrame, full: Params = Params(), tile: Params = Params(), thin: bool = True) -> DataFrame:
+    """Boxes of the maps of pages and of their tiles (page_id, tile: -1 for the page's own, width, p), and with `thin` the lost
+    components ('lost') and the anchors ('anchor') of their recovery, by one pass over the maps: x1 and y1 are last pixels, place
+    is the order of boxes, else the component's number; side is the map's width."""
+    if not (full.valid() and tile.valid()):
+        raise ValueError(f"not valid: {full}, {tile}")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for page, k, width, values in zip(b["page_id"], b["tile"], b["width"], b["p"], strict=True):
+                side, params = int(width), full if k < 0 else tile
+                p = np.asarray(values, np.float32).reshape(-1, max(side, 1))
+                mask = p >= np.float32(params.bin_thresh)
+                kept = open_mask(mask)
+                out += [(page, k, side, "box", i, *box[1:]) for i, box in enumerate(boxes_of_mask(p, kept, params))]
+                if thin:
+                    for kind, those in zip(("lost", "anchor"), thin_of_map(p, mask, kept), strict=True):
+                        out += [(page, k, side, kind, *row) for row in those]
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in FOUND.split(", ")])
+
+    return maps.select("page_id", "tile", "width", "p").mapInPandas(run, FOUND)
+
+
 def packed(pixels: DataFrame) -> DataFrame:
     """Pixel rows as one array a page."""
     rows = pixels.groupBy("page_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "p"))).alias("row"))

@@ -12,10 +12,14 @@ PART = 6
 LEAST_CONFIDENCE, OVER_ORIGINAL, OVER_OTHER = 0.9, 0.15, 0.1
 
 
+def pixel_rect(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
+    """Whole pixels of a box in pixels of a page: rounded half to even, the ends one more, within the page."""
+    return F.rint(x0).cast("int"), F.rint(y0).cast("int"), F.least(F.rint(x1).cast("int") + 1, width.cast("int")), F.least(F.rint(y1).cast("int") + 1, height.cast("int"))
+
+
 def crop_rect(x0: Column, y0: Column, x1: Column, y1: Column, width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
-    """Pixels of a box in shares of a page: rounded half to even, the ends one more, within the page."""
-    left, top = F.rint(x0 * width).cast("int"), F.rint(y0 * height).cast("int")
-    return left, top, F.least(F.rint(x1 * width).cast("int") + 1, width.cast("int")), F.least(F.rint(y1 * height).cast("int") + 1, height.cast("int"))
+    """pixel_rect of a box in shares of a page."""
+    return pixel_rect(x0 * width, y0 * height, x1 * width, y1 * height, width, height)
 
 
 def split_starts(width: Column, height: Column) -> Column:

@@ -53,7 +53,7 @@ def halves(dims: DataFrame, overlap: int = 4) -> DataFrame:
     return dims.select("page_id", F.explode(F.array(left, right)).alias("t"), F.lit(0).alias("y0"), F.col("height").alias("y1")).select("page_id", "t.*", "y0", "y1")
 
 
-def _owned(words: DataFrame, tiles: DataFrame) -> DataFrame:
+def owned(words: DataFrame, tiles: DataFrame) -> DataFrame:
     """Words with the tile that owns their centre: half open in x, closed in y. Tiles of a page are few."""
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     t = tiles.select("page_id", F.col("tile").alias("owner"), "owner_start", "owner_end", F.col("y0").alias("t0"), F.col("y1").alias("t1"))
@@ -61,12 +61,13 @@ def _owned(words: DataFrame, tiles: DataFrame) -> DataFrame:
 
 
 def merge_owned(base: DataFrame, tile_words: DataFrame, tiles: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """Words of the page where a tile has none; where it has, the tile's own words that it owns. tile_words have a tile; `seen`
-    are all words of the tiles, if some were taken out."""
-    busy = (tile_words if seen is None else seen).select("page_id", F.col("tile").alias("owner")).distinct()
-    replaced = _owned(base, tiles).join(busy, ["page_id", "owner"], "left_semi").select("page_id", "idx")
+    """Words of the page, and where a tile has words that it owns, these in place of the page's that it owns. tile_words have a tile;
+    `seen` are all words of the tiles, if some were taken out: they still say which tiles have words."""
+    mine = owned(tile_words if seen is None else seen, tiles).where(F.col("owner") == F.col("tile"))
+    busy = mine.select("page_id", "owner").distinct()
+    replaced = owned(base, tiles).join(busy, ["page_id", "owner"], "left_semi").select("page_id", "idx")
     kept = base.join(replaced, ["page_id", "idx"], "left_anti").withColumn("from_tile", F.lit(False))
-    own = _owned(tile_words, tiles).where(F.col("owner") == F.col("tile")).select(*base.columns).withColumn("from_tile", F.lit(True))
+    own = owned(tile_words, tiles).where(F.col("owner") == F.col("tile")).select(*base.columns).withColumn("from_tile", F.lit(True))
     return kept.unionByName(own)
 
 
@@ -170,25 +171,24 @@ def small_parts(components: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def merge_with_seams(base: DataFrame, tile_words: DataFrame, tiles: DataFrame, least: float = 0.5) -> DataFrame:
-    """merge_owned, and where both tiles of a page see one word on their seam: if both own it, the less sure one goes; if
-    neither does, the surer one is taken in, unless it overlaps what is there already or another one taken before it.
-
-    base has page_id, idx, a box and objectness; tile_words also their tile, 0 or 1. Result: the columns of base and from_tile."""
-    words = tile_words.where("tile = 0"), tile_words.where("tile = 1")
-    seam = tiles.where("tile = 0").select("page_id", F.col("owner_end").alias("seam"), F.col("owner_start").alias("first"))
-    end = tiles.where("tile = 1").select("page_id", F.col("owner_end").alias("last"))
-    pairs = with_iou(overlapping(*(w.select("page_id", "idx", *CORNERS, "objectness") for w in words))).where(F.col("iou") >= least)
-    on = lambda p: (F.col(p + "x0") <= F.col("seam")) & (F.col(p + "x1") >= F.col("seam"))
-    pairs = pairs.join(seam, "page_id").join(end, "page_id").where(on("l_") & on("r_"))
+    """merge_owned, and where two tiles of a page that share a seam (one ends owning where a later one begins) both see one word on
+    it: if both own it, the less sure one goes; if neither does, the surer one is taken in, unless it overlaps what is there already
+    or another one taken before it, in order of the pairs.
+
+    base has page_id, idx, a box and objectness; tile_words also their tile. Result: the columns of base and from_tile."""
+    owners = tiles.select("page_id", "tile", "owner_start", "owner_end")
+    seen = tile_words.select("page_id", "tile", "idx", *CORNERS, "objectness").join(owners, ["page_id", "tile"])
+    pairs = with_iou(overlapping(seen, seen)).where((F.col("l_tile") < F.col("r_tile")) & (F.col("l_owner_end") == F.col("r_owner_start")) & (F.col("iou") >= least))
+    on = lambda p: (F.col(p + "x0") <= F.col("l_owner_end")) & (F.col(p + "x1") >= F.col("l_owner_end"))
+    pairs = pairs.where(on("l_") & on("r_"))
     middle = lambda p: (F.col(p + "x0") + F.col(p + "x1")) / 2
-    mine = (middle("l_") >= F.col("first")) & (middle("l_") < F.col("seam"))
-    theirs = (middle("r_") >= F.col("seam")) & (middle("r_") < F.col("last"))
+    owns = lambda p: (middle(p) >= F.col(p + "owner_start")) & (middle(p) < F.col(p + "owner_end"))
     left_wins = F.col("l_objectness") >= F.col("r_objectness")
-    side = lambda left: [F.when(left, F.col("l_" + c)).otherwise(F.col("r_" + c)).alias(c) for c in ("idx", *CORNERS, "objectness")]
-    lost = pairs.where(mine & theirs).select("page_id", F.when(left_wins, 1).otherwise(0).alias("tile"), side(~left_wins)[0])
+    side = lambda left: [F.when(left, F.col("l_" + c)).otherwise(F.col("r_" + c)).alias(c) for c in ("tile", "idx", *CORNERS, "objectness")]
+    lost = pairs.where(owns("l_") & owns("r_")).select("page_id", *side(~left_wins)[:2]).distinct()
     merged = merge_owned(base, tile_words.join(lost, ["page_id", "tile", "idx"], "left_anti"), tiles, tile_words)
-    order = F.struct("l_idx", "r_idx")
-    spare = pairs.where(~mine & ~theirs).select("page_id", order.alias("order"), *side(left_wins))
+    order = F.struct("l_tile", "r_tile", "l_idx", "r_idx")
+    spare = pairs.where(~owns("l_") & ~owns("r_")).select("page_id", order.alias("order"), *side(left_wins))
     # A word may win over several others; its first pair counts.
     spare = spare.groupBy("page_id", "idx", *CORNERS, "objectness").agg(F.min("order").alias("order"))
     taken = apart(spare, merged, [F.col("order")]).withColumn("from_tile", F.lit(True))

@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphloom.operators import detection, orientation, pipeline, recovery
+from glyphloom.functions import config
+from glyphloom.operators import composed, detection, orientation, pipeline, recovery
 from glyphloom.sources import derived as d
 from glyphloom.sources.derived import with_views
+from glyphloom.sources.shared import shared_folder, written
 from glyphloom.streaming import pages as streams
 
 ANGLES = [-2.0, -1.0, 0.0, 0.5, 1.0, 2.0]
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster shares; in tests of this machine."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        shared = tempfile.mkdtemp(prefix="streams-")
-    return f"{shared}/streams-{uuid.uuid4().hex}"
-
-
 def skew_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sharpness of each map's rows at some angles."""
     dark = d.prob_map(spark, sf_dir).select("page_id", "x", "y", (F.col("p") >= 0.3).alias("dark"))
@@ -106,10 +95,45 @@ def pipeline_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.pages(maps, pipeline.words(maps, _stub)).select("page_id", F.coalesce(F.size("words"), F.lit(0)).alias("words"))
 
 
+def _seen(page: int, x: int, y: int, width: int, height: int, start: int, turn: int) -> tuple[str, float]:
+    """What the stub of a recogniser reads in a crop: small ones are one letter, turned ones are read with differing confidence."""
+    n = page * 7 + x * 3 + y * 5 + turn
+    text = "ilI1"[n % 4] if width < 40 and turn == 0 and n % 3 else f"{n % 97}w{width}h{height}s{start}r{turn}"
+    return text, (n * 37 % 100) / 100 if n % 2 else 0.95
+
+
+def _reader(batch: pd.DataFrame) -> pd.DataFrame:
+    rows = zip(*(batch[c].tolist() for c in ("page_id", "x0", "y0", "width", "height", "start", "rotation")), strict=True)
+    text, sure = zip(*(_seen(*r) for r in rows), strict=True)
+    return batch.assign(text=text, confidence=sure)
+
+
+def _composed(spark: SparkSession, sf_dir: str) -> composed.Run:
+    groups, pages, bands = d.layout(spark, sf_dir), d.layout_pages(spark, sf_dir), d.layout_tiles(spark, sf_dir)
+    whole = pages.select("page_id", F.lit(-1).alias("tile"), F.lit(0).alias("x0"), F.lit(0).alias("y0"), F.col("page_width").alias("x1"), F.col("page_height").alias("y1"))
+    maps = written(d.drawn(groups.where("page_id % 7 != 5"), whole).drop("tile").join(pages, "page_id"), "maps")
+    in_tiles = written(d.drawn(groups.where("page_id % 5 != 2 or x0 < 200"), bands), "maps")
+    return composed.run(maps, bands, in_tiles, _reader, config.settings(dense_refinement=True, thin_recovery=True, line_guided=True))
+
+
+def pipeline_composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of pages through maps, tiles, seams, crops, lines and recovery, with maps drawn from a layout and a reader that stands in
+    for a model."""
+    words = _composed(spark, sf_dir).words
+    return words.select("page_id", "idx", "source", *(F.round(c, 4).alias(c) for c in ("x0", "y0", "x1", "y1", "objectness")), "text", F.round("confidence", 6).alias("confidence"), "rotation")
+
+
+def pipeline_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each stage of that run had, as observed while it ran."""
+    run = _composed(spark, sf_dir)
+    run.words.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(run.counts().items())], "place int, stage string, n long")
+
+
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type, counted by a stream."""
     events = spark.readStream.schema(d.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    counts = streams.run_to_end(streams.event_windows(events), _folder(spark), "complete")
+    counts = streams.run_to_end(streams.event_windows(events), shared_folder(spark, "streams"), "complete")
     return counts.select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
@@ -124,7 +148,7 @@ def _result_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results that a stream lets out in order: all up to the first that is lost."""
-    return streams.run_to_end(streams.in_order(_result_stream(spark, sf_dir)), _folder(spark)).select("run", "sequence", F.char_length("text").alias("chars"))
+    return streams.run_to_end(streams.in_order(_result_stream(spark, sf_dir)), shared_folder(spark, "streams")).select("run", "sequence", F.char_length("text").alias("chars"))
 
 
 STREAM_ORDERED = """
@@ -136,7 +160,7 @@ def stream_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.floor(F.char_length("text") / 2).cast("int")
     parts = F.explode(F.array(F.struct(F.lit(0).alias("part"), F.substr("text", F.lit(1), half).alias("text")), F.struct(F.lit(1).alias("part"), F.substr(F.col("text"), half + 1, F.char_length("text")).alias("text")))).alias("p")
     rows = _result_stream(spark, sf_dir).select("run", "sequence", parts).select("run", "sequence", "p.part", F.lit(2).alias("of"), "p.text").where("part = 0 or (run + sequence) % 5 != 3")
-    return streams.run_to_end(streams.gathered(rows), _folder(spark)).select("run", "sequence", F.char_length("text").alias("chars"))
+    return streams.run_to_end(streams.gathered(rows), shared_folder(spark, "streams")).select("run", "sequence", F.char_length("text").alias("chars"))
 
 
 STREAM_FAN_IN = """
@@ -162,6 +186,6 @@ PROPS_SCAN = "SELECT event_type, count(*) AS n, CAST(sum(coalesce(len(json_keys(
 QUERIES = {
     f.__name__: (f, globals().get(f.__name__.upper()))
     for f in (
-        skew_scores, skew_estimates, thin_anchor_peers, thin_nearest_two, thin_proposals, pipeline_stub_words, pipeline_pages, stream_window_counts, stream_ordered, stream_fan_in, split_inventory, props_scan,
+        skew_scores, skew_estimates, thin_anchor_peers, thin_nearest_two, thin_proposals, pipeline_stub_words, pipeline_pages, pipeline_composed, pipeline_stage_counts, stream_window_counts, stream_ordered, stream_fan_in, split_inventory, props_scan,
     )
 }

@@ -94,8 +94,8 @@ def unclip_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 UNCLIP_BOXES = with_views("rectangles", body="""
 SELECT page_id, round(greatest(least(round(x0 - far) / 64, 1), 0), 6) + 0.0::DOUBLE AS x0, round(greatest(least(round(y0 - far) / 64, 1), 0), 6) + 0.0::DOUBLE AS y0,
-       round(greatest(least((round(x0 + w - 1 + far) + 1) / 64, 1), 0), 6) AS x1, round(greatest(least((round(y0 + h - 1 + far) + 1) / 64, 1), 0), 6) AS y1
-FROM (SELECT *, (w - 1) * (h - 1) * 1.5::DOUBLE / (2 * (w + h - 2)) AS far FROM rectangles)""")
+       round(greatest(least((round(x0 + w + far) + 1) / 64, 1), 0), 6) AS x1, round(greatest(least((round(y0 + h + far) + 1) / 64, 1), 0), 6) AS y1
+FROM (SELECT *, w * h * 1.5::DOUBLE / (2 * (w + h)) AS far FROM rectangles)""")
 
 
 def unpad_letterbox(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,7 +309,8 @@ TILE_OWNERSHIP_MERGE = with_views("pred_words", "page_dims", body=_TILE_WORDS +
 SELECT page_id, count(*) AS words, count(*) FILTER (f) AS from_tiles, CAST(sum(idx) AS BIGINT) AS idx_sum FROM (
   SELECT page_id, idx, FALSE AS f FROM pred_words w WHERE objectness < 0.5 AND NOT EXISTS (
     SELECT 1 FROM halves h WHERE h.page_id = w.page_id AND (w.x0 + w.x1) / 2 >= h.owner_start AND (w.x0 + w.x1) / 2 < h.owner_end AND (w.y0 + w.y1) / 2 >= 0 AND (w.y0 + w.y1) / 2 <= h.height
-      AND EXISTS (SELECT 1 FROM tile_words t WHERE t.page_id = h.page_id AND t.tile = h.tile))
+      AND EXISTS (SELECT 1 FROM tile_words t WHERE t.page_id = h.page_id AND t.tile = h.tile AND (t.x0 + t.x1) / 2 >= h.owner_start AND (t.x0 + t.x1) / 2 < h.owner_end
+        AND (t.y0 + t.y1) / 2 >= 0 AND (t.y0 + t.y1) / 2 <= h.height))
   UNION ALL SELECT t.page_id, t.idx, TRUE FROM tile_words t JOIN halves h ON h.page_id = t.page_id AND h.tile = t.tile AND (t.x0 + t.x1) / 2 >= h.owner_start AND (t.x0 + t.x1) / 2 < h.owner_end
     AND (t.y0 + t.y1) / 2 >= 0 AND (t.y0 + t.y1) / 2 <= h.height) GROUP BY page_id""")
 

@@ -6,6 +6,8 @@ independent engine.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,6 +99,68 @@ def prob_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.join(inked, ["page_id", "y", "x"], "left").select("page_id", "y", "x", F.coalesce("p", F.lit(0.0)).alias("p"))
 
 
+def layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glyph group for each part, 54 a page in lines, on every fourth page in columns: page_id, k, a box in pixels of the page, p.
+
+    Among words stand narrow groups, and bars too thin for an opening; some are faint, some cross the middle of the page."""
+    page, k = F.floor(F.col("p_partkey") / 54).cast("long"), (F.col("p_partkey") % 54).cast("int")
+    rows = table(spark, sf_dir, "part").select(page.alias("page_id"), k.alias("k"))
+    page, k = F.col("page_id"), F.col("k")
+    upright, wide = page % 4 == 3, page % 2 == 0
+    slots = F.when(upright, 7).when(wide, 6).otherwise(4)
+    line = F.floor(k / slots).cast("int")
+    x0 = k % slots * F.when(upright, 60).otherwise(105) + 8 + k * 7 % 5 * 3 + F.when(~upright & (line % 2 == 1), 25).otherwise(0)
+    y0 = line * F.when(upright, 80).when(wide, 50).otherwise(45) + 6 + k * 5 % 3 * 2
+    kind = (page * 3 + k * 11) % 10
+    w = F.when(upright, 20).when(kind == 0, 8).when(kind == 1, 15).otherwise(60 + k * 13 % 35)
+    h = F.when(upright, 62).when(kind == 0, 25).when(kind == 1, 30).otherwise(15 + k % 3 * 2)
+    p = F.when(k % 17 == 8, 0.25).when(k % 9 == 4, 0.5).otherwise(F.lit(0.9))
+    return rows.select("page_id", "k", x0.cast("int").alias("x0"), y0.cast("int").alias("y0"), (x0 + w).cast("int").alias("x1"), (y0 + h).cast("int").alias("y1"), p.alias("p"))
+
+
+def layout_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, page_width and page_height of the layout's pages, lying or standing."""
+    page = F.floor(F.col("p_partkey") / 54).cast("long").alias("page_id")
+    wide = F.col("page_id") % 2 == 0
+    return table(spark, sf_dir, "part").select(page).distinct().select("page_id", F.when(wide, 640).otherwise(480).alias("page_width"), F.when(wide, 480).otherwise(640).alias("page_height"))
+
+
+def layout_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tiles side by side over a band of two pages in three: page_id, tile, a box, owner_start, owner_end."""
+    w, h = F.col("page_width"), F.col("page_height")
+    half, more = F.floor(w / 2).cast("int"), F.floor(w * 4 / 100).cast("int")
+    side = lambda tile, x0, x1, start, end: F.struct(F.lit(tile).alias("tile"), x0.cast("int").alias("x0"), x1.cast("int").alias("x1"), start.cast("int").alias("owner_start"), end.cast("int").alias("owner_end"))
+    both = F.array(side(0, F.lit(0), half + more, F.lit(0), half), side(1, half - more, w, half, w))
+    top = F.floor(h * 3 / 8).cast("int")
+    rows = layout_pages(spark, sf_dir).where("page_id % 3 != 1").select("page_id", F.explode(both).alias("t"), top.alias("y0"), (top + F.floor(h / 4)).cast("int").alias("y1"))
+    return rows.select("page_id", "t.tile", "t.x0", "y0", "t.x1", "y1", "t.owner_start", "t.owner_end")
+
+
+def drawn(groups: DataFrame, regions: DataFrame, side: int = 128) -> DataFrame:
+    """Maps of `side` pixels squared that show regions (page_id, tile, a box) of pages letterboxed, one a region: page_id, tile, width, p. The
+    groups of a page are few."""
+    box = F.struct(*(F.col(c) for c in ("x0", "y0", "x1", "y1", "p")))
+    each = groups.groupBy("page_id").agg(F.collect_list(box).alias("groups"))
+
+    def run(batches):
+        for b in batches:
+            maps = []
+            for x0, y0, x1, y1, those in zip(b["x0"], b["y0"], b["x1"], b["y1"], b["groups"], strict=True):
+                scale = side / max(x1 - x0, y1 - y0)
+                left, top = (side - (x1 - x0) * scale) / 2 - x0 * scale, (side - (y1 - y0) * scale) / 2 - y0 * scale
+                p = np.zeros((side, side))
+                for g in those if those is not None else ():
+                    u0, u1, v0, v1 = max(g["x0"], x0), min(g["x1"], x1), max(g["y0"], y0), min(g["y1"], y1)
+                    if u0 < u1 and v0 < v1:
+                        at = np.s_[int(v0 * scale + top) : int(np.ceil(v1 * scale + top)), int(u0 * scale + left) : int(np.ceil(u1 * scale + left))]
+                        p[at] = np.maximum(p[at], g["p"])
+                maps.append(p.ravel())
+            yield pd.DataFrame({"page_id": b["page_id"], "tile": b["tile"], "width": side, "p": maps})
+
+    rows = regions.select("page_id", "tile", "x0", "y0", "x1", "y1").join(each, "page_id", "left")
+    return rows.mapInPandas(run, "page_id long, tile int, width int, p array<double>")
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight vectors in turn are the steps of one sample: sample, step, values (doubles, by class)."""
     vec = F.col("vec_id")
