@@ -8,7 +8,8 @@
 2. Sums by pair are added up and gathered by side id: at most as many as the first vocabulary has ids. They meet the postings
    in a cogroup: both are dealt by side id and salt and sorted (with spills), the sums before the postings, which then pass
    by one batch at a time. A side id has a salt for each SALT_POSTINGS postings.
-3. Each postings' count and whether it is the side id's highest are summed by document.
+3. Each posting's count, and whether it is the side id's highest, are summed by document: a task passes on one row for each chunk
+   of documents, and chunks' rows meet their documents in a second cogroup.
 
 Defined results: a text that is null, empty or not given back by either vocabulary's bytes has no tokens, zeros and ''; special
 strings are plain text; equal rows are documents of their own; a null doc_id is kept; an empty table gives an empty result;
@@ -38,6 +39,8 @@ from glyphloom.llm.token_counts import byte_characters
 #: Characters and documents of a chunk; a document's number in its chunk has 16 bits.
 CHUNK_CHARS = 2 << 20
 CHUNK_DOCS = 1 << 15
+#: Characters of new segments that are encoded as one text.
+JOINED_CHARS = 1 << 16
 #: Segments that a task remembers between chunks, and links of all of them.
 REMEMBERED = 300_000
 REMEMBERED_LINKS = 8 << 20
@@ -88,6 +91,7 @@ class Aligner:
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace(_SPACE, " ").encode() for p in pieces]
         self.blank = self.b.piece_to_id(_SPACE)
         self.cuts = pieces[self.blank] == _SPACE and not any(_SPACE in p.lstrip(_SPACE) or "\n" in p for p in pieces)
+        self.names = np.array([str(i) for i in range(max(self.n_a, len(pieces)))], object)
         self.a_size, self.b_size = (np.array([len(x) for x in some]) for some in (self.a_bytes, self.b_bytes))
         self.forget()
 
@@ -127,33 +131,69 @@ class Aligner:
             self._learn(new)
         return np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
 
+    def _encoded(self, new: list[str]) -> np.ndarray:
+        """Ids of the first vocabulary of all segments. Those that end in a character other than white space can follow each
+        other in one text as they do in documents; the others stand at the ends of their texts."""
+        texts, held, size = [], [], 0
+        for s in new:
+            held.append(s)
+            size += len(s)
+            if size >= JOINED_CHARS or not self.cuts or s[-1].isspace():
+                texts.append("".join(held))
+                held, size = [], 0
+        if held:
+            texts.append("".join(held))
+        return np.fromiter(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)), np.int64)
+
     def _learn(self, new: list[str]) -> None:
         raw = [s.encode() for s in new]
-        a = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+        a = self._encoded(new)
         # The library puts a space before each but the empty one; a segment that has none of its own gives it back.
         b = self.b.encode([s[1:] if s[0] == " " else s for s in new], num_threads=1)
         b = [[self.blank] if s == " " else ids if s[0] == " " else ids[1:] if ids[:1] == [self.blank] else [] for s, ids in zip(new, b, strict=True)]
-        good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r == b"".join(map(self.b_bytes.__getitem__, y)) for r, x, y in zip(raw, a, b, strict=True)])
-        a, b = ([x for x, g in zip(some, good, strict=True) if g] for some in (a, b))
-        ends = np.cumsum([len(r) for r, g in zip(raw, good, strict=True) if g])
-        flat_a, flat_b = (np.fromiter(chain.from_iterable(some), np.int64) for some in (a, b))
-        ends_a, ends_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
-        stops = np.union1d(ends_a, ends_b)
-        pairs = flat_b[np.searchsorted(ends_b, stops)] * self.n_a + flat_a[np.searchsorted(ends_a, stops)]
-        joint = np.intersect1d(ends_a, ends_b)
-        # Of groups: where their tokens begin among all; of segments: where their groups begin.
-        of_a, of_b = (np.append(0, np.searchsorted(x, joint) + 1).tolist() for x in (ends_a, ends_b))
-        name_a, name_b = (list(map(str, x.tolist())) for x in (flat_a, flat_b))
-        groups = [f"{','.join(name_a[i:j])}|{','.join(name_b[k:m])}" for i, j, k, m in zip(of_a, of_a[1:], of_b, of_b[1:])]  # noqa: B905
-        first = np.append(0, np.searchsorted(joint, ends) + 1)
+        ends = np.cumsum([len(r) for r in raw])
+        whole, good = b"".join(raw), np.ones(len(new), bool)
+        if b"".join(map(self.a_bytes.__getitem__, a.tolist())) == whole:
+            a_first = np.append(0, np.searchsorted(np.cumsum(self.a_size[a]), ends, side="right"))
+        else:
+            each = [e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)]
+            good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == r for x, r in zip(each, raw, strict=True)])
+            a, a_first = np.fromiter(chain.from_iterable(each), np.int64), np.append(0, np.cumsum([len(x) for x in each]))
+        b_first = np.append(0, np.cumsum([len(x) for x in b]))
+        b = np.fromiter(chain.from_iterable(b), np.int64, b_first[-1])
+        b_bytes = list(map(self.b_bytes.__getitem__, b.tolist()))
+        if b"".join(b_bytes) != whole or (np.append(0, np.cumsum(self.b_size[b]))[b_first[1:]] != ends).any():
+            good &= np.array([b"".join(b_bytes[i:j]) == r for i, j, r in zip(b_first.tolist(), b_first[1:].tolist(), raw)])  # noqa: B905
+        n_a, n_b = np.diff(a_first), np.diff(b_first)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        ends = np.cumsum(np.array([len(r) for r in raw])[good])
+        ends_a, ends_b = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        both = np.sort(np.append(ends_a, ends_b), kind="stable")
+        twice = np.diff(both, append=both[-1:] + 1) == 0
+        stops, joint = both[~twice], both[twice]
+        pairs = b[np.searchsorted(ends_b, stops)] * self.n_a + a[np.searchsorted(ends_a, stops)]
+        groups, links = (np.diff(np.append(0, np.searchsorted(x, ends, side="right"))) for x in (joint, stops))
         sizes = np.zeros((4, len(new)), np.int64)
-        links = np.diff(np.append(0, np.searchsorted(stops, ends) + 1))
-        sizes[:, good] = [[len(x) for x in a], [len(x) for x in b], np.diff(first), links]
-        told = iter([";".join(groups[i:j]) for i, j in zip(first.tolist(), first[1:].tolist())])  # noqa: B905
-        self.told += [next(told) if g else "" for g in good]
+        sizes[:, good] = [n_a[good], n_b[good], groups, links]
+        told = iter(self._told(a, b, ends_a, ends_b, joint, ends))
+        self.told += [next(told) if g else "" for g in good.tolist()]
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.good, self.sizes, self.pairs = np.append(self.good, good), np.hstack([self.sizes, sizes]), np.append(self.pairs, pairs)
 
+    def _told(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray, joint: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The groups' text of each segment: of every group the tokens of both, one after the other, each with the sign that follows it."""
+        signs = []
+        for token_ends, own, last in ((ends_a, ",", "|"), (ends_b, ",", ";")):
+            closes = np.isin(token_ends, joint, assume_unique=True, kind="sort")
+            signs.append(np.where(closes, last, own).astype(object))
+        signs[1][np.isin(ends_b, ends, assume_unique=True, kind="sort")] = ""
+        names = np.concatenate([self.names[a] + signs[0], self.names[b] + signs[1]])
+        group = [np.searchsorted(joint, x) * 2 + k for k, x in enumerate((ends_a, ends_b))]
+        order = np.argsort(np.concatenate(group), kind="stable")
+        flat = names[order].tolist()
+        first = np.append(0, np.searchsorted(ends_a, ends, side="right") + np.searchsorted(ends_b, ends, side="right")).tolist()
+        return ["".join(flat[i:j]) for i, j in zip(first, first[1:])]  # noqa: B905
+
     def _multiplicities(self, doc: np.ndarray, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys pair << 16 | doc in order, and how often each is linked."""
         n = len(self.known)
@@ -294,7 +334,7 @@ def _align(shared):
 
 def _shares(n_a: int):
     """Of sorted rows, a side id's sums before its postings: each document's counts and links of the highest count."""
-    schema = pa.schema({"chunk": pa.int64(), "doc": pa.int32(), "count_sum": pa.int64(), "n_best": pa.int64()})
+    schema = pa.schema({"chunk": pa.int64(), "docs": pa.binary(), "counts": pa.binary(), "highs": pa.binary()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = n = best = np.zeros(0, np.int64)
@@ -305,7 +345,10 @@ def _shares(n_a: int):
             return _sums(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
         def given(at: np.ndarray, count: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(at >> 16), pa.array((at & 0xFFFF).astype(np.int32)), pa.array(count), pa.array(high)], schema=schema)
+            """A row for each chunk of documents."""
+            bounds = _runs(at >> 16)
+            packed = [_packed(v, kind, bounds) for v, kind in ((at & 0xFFFF, "<u2"), (count, "<i8"), (high, "<i8"))]
+            return pa.RecordBatch.from_arrays([pa.array(at[bounds[:-1]] >> 16), *packed], schema=schema)
 
         for b in batches:
             side = b.column(0).to_numpy().astype(np.int64)
@@ -343,6 +386,32 @@ def _shares(n_a: int):
     return run
 
 
+_RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted rows, a chunk's shares before its documents: the documents with their sums."""
+    key = count = high = np.zeros(0, np.int64)
+    for b in batches:
+        chunk = b.column("chunk").to_numpy()
+        is_doc = b.column("doc").is_valid().to_numpy(zero_copy_only=False)
+        keep = key >> 16 == chunk[0]
+        key, count, high = key[keep], count[keep], high[keep]
+        if not is_doc.all():
+            shares = b.filter(pa.array(~is_doc))
+            docs, sizes = _unpacked(shares.column("docs"), "<u2")
+            new = np.repeat(shares.column("chunk").to_numpy(), sizes) << 16 | docs.astype(np.int64)
+            key, count, high = _sums(np.append(key, new), np.append(count, _unpacked(shares.column("counts"), "<i8")[0]), np.append(high, _unpacked(shares.column("highs"), "<i8")[0]))
+        if is_doc.any():
+            rows = b.filter(pa.array(is_doc))
+            asked = rows.column("chunk").to_numpy() << 16 | rows.column("doc").to_numpy().astype(np.int64)
+            at = np.minimum(np.searchsorted(key, asked), max(len(key) - 1, 0))
+            found = key[at] == asked if len(key) else np.zeros(len(asked), bool)
+            sums = {k: pa.array(np.where(found, v[at], 0) if len(key) else np.zeros(len(asked), np.int64)) for k, v in (("count_sum", count), ("n_best", high))}
+            names = [c.split()[0] for c in _RESULT.split(", ")]
+            yield pa.RecordBatch.from_arrays([sums[k] if k in sums else rows.column(k) for k in names], names=names)
+
+
 def alignments(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each document. The vocabularies are read where
     the session runs and sent to the tasks once: the files' size bounds them."""
@@ -367,11 +436,11 @@ def alignments(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     )
     right = postings.select("b", "chunk", "a", "docs", "times", none.cast("array<int>").alias("all_a"), none.cast("array<long>").alias("all_n"), "salt")
     streams = left.unionByName(right).repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("chunk").asc_nulls_first())
-    shares = streams.drop("salt").mapInArrow(_shares(n_a), "chunk long, doc int, count_sum long, n_best long")
-    of_doc = shares.groupBy("chunk", "doc").agg(F.sum("count_sum").alias("count_sum"), F.sum("n_best").alias("n_best"))
-    docs = written.where("kind = 'doc'").join(of_doc, ["chunk", "doc"], "left")
-    zero = F.lit(0).cast("long")
-    return docs.select("doc_id", "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), "groups_sha256")
+    shares = streams.drop("salt").mapInArrow(_shares(n_a), "chunk long, docs binary, counts binary, highs binary")
+    told = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+    docs = written.where("kind = 'doc'").select("chunk", "doc", *told)
+    every = docs.unionByName(shares, allowMissingColumns=True)
+    return every.repartition("chunk").sortWithinPartitions("chunk", F.col("doc").asc_nulls_first()).mapInArrow(_add_up, _RESULT)
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,3 +142,17 @@ def test_every_text_of_the_smallest_table(aligner):
         counts, digests, _, _ = aligner.chunk([text or ""])
         (want,) = plain(aligner, [text])
         assert (*counts[:, 0].tolist(), digests[0]) == (*want[:4], want[6])
+
+
+def test_a_text_that_the_first_vocabulary_does_not_give_back(aligner, monkeypatch):
+    """Of a vocabulary whose entry stands for other bytes: the segment is not good, the others are."""
+    aligner.forget()
+    (odd,) = aligner.a.encode(" odd", add_special_tokens=False).ids
+    monkeypatch.setattr(aligner, "a_bytes", [b"?" * len(x) if i == odd else x for i, x in enumerate(aligner.a_bytes)])
+    counts, digests, keys, _ = aligner.chunk(["fine text", "an odd text", "text"])
+    assert counts[:, 1].tolist() == [0, 0, 0, 0] and digests[1] == "" and set((keys & 0xFFFF).tolist()) == {0, 2}
+    aligner.forget()
+    monkeypatch.undo()
+    again = aligner.chunk(["fine text", "x", "text"])
+    assert (again[0][:, [0, 2]] == counts[:, [0, 2]]).all() and again[1][0] == digests[0]
+    aligner.forget()
