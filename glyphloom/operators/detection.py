@@ -58,8 +58,9 @@ def unpad(x: Column, y: Column, width: Column, height: Column) -> tuple[Column,
     return clamp(sx, 0.0, 1.0), clamp(sy, 0.0, 1.0)
 
 
-def labelled(mask: np.ndarray) -> np.ndarray:
-    """Numbers from 1, in raster order of their first pixels, of components joined over eight neighbours: runs of rows are united."""
+def labelled(mask: np.ndarray, diagonal: bool = True) -> np.ndarray:
+    """Numbers from 1, in raster order of their first pixels, of components joined over eight neighbours, or over four if not
+    `diagonal`: runs of rows are united."""
     flat = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     rows, starts = np.nonzero(flat == 1)
     ends = np.nonzero(flat == -1)[1]
@@ -75,7 +76,7 @@ def labelled(mask: np.ndarray) -> np.ndarray:
     for y in range(1, mask.shape[0]):
         i, j = bounds[y - 1], bounds[y]
         while i < bounds[y] and j < bounds[y + 1]:
-            if starts[i] <= ends[j] and starts[j] <= ends[i]:
+            if starts[i] < ends[j] + diagonal and starts[j] < ends[i] + diagonal:
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
             if ends[i] < ends[j]:

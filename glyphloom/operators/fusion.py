@@ -24,8 +24,8 @@ def sampled(p: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return upper * (1 - fy) + lower * fy
 
 
-def fused(tiles: DataFrame, map_side: int, tile_side: int) -> DataFrame:
-    """page_id, band, top, width, even and tapered (values in rows) and covered, a row for each band of BAND rows of a page's map.
+def fused(tiles: DataFrame, map_side: int, tile_side: int, band_rows: int = BAND) -> DataFrame:
+    """page_id, band, top, width, even and tapered (values in rows) and covered, a row for each band of `band_rows` rows of a page's map.
 
     tiles have page_id, x, y (in page pixels; a tile is tile_side wide, also where it passes the page), the page's width and height, and p, its map of
     map_side pixels squared. Each pixel takes the tiles that its middle lies in, evenly, and weighted by how far it is from an edge
@@ -33,14 +33,14 @@ def fused(tiles: DataFrame, map_side: int, tile_side: int) -> DataFrame:
     is dealt over its bands, so that no task holds more than the tiles that meet one."""
     scale = map_side / tile_side
     end_x, end_y = F.col("x") + tile_side, F.col("y") + tile_side
-    first = F.floor(F.greatest(F.col("y") * scale, F.lit(0)) / BAND).cast("int")
-    last = F.floor((F.least(F.ceil(end_y * scale), F.ceil(F.col("height") * scale)) - 1) / BAND).cast("int")
+    first = F.floor(F.greatest(F.col("y") * scale, F.lit(0)) / band_rows).cast("int")
+    last = F.floor((F.least(F.ceil(end_y * scale), F.ceil(F.col("height") * scale)) - 1) / band_rows).cast("int")
     rows = tiles.withColumns({"x1": end_x, "y1": end_y}).where((F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))).withColumn("band", F.explode(F.sequence(first, F.greatest(first, last))))
 
     def run(key: tuple, those: pd.DataFrame) -> pd.DataFrame:
         page, band = key
         w, h = int(np.ceil(those["width"].iloc[0] * scale)), int(np.ceil(those["height"].iloc[0] * scale))
-        top, end = band * BAND, min((band + 1) * BAND, h)
+        top, end = band * band_rows, min((band + 1) * band_rows, h)
         sums, weights = np.zeros((2, end - top, w)), np.zeros((2, end - top, w))
         middle_x, middle_y = (np.arange(w) + 0.5) / scale, (np.arange(top, end) + 0.5) / scale
         for t in those.sort_values(["y", "x"]).itertuples():

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphloom.operators import detection, fusion, runs, tiles
+from glyphloom.operators import bands, detection, fusion, runs, tiles
 from glyphloom.plans.scoring import MATCHED, PAIRS, _matches
 from glyphloom.sources import derived as d
 from glyphloom.sources.derived import with_views
+from glyphloom.sources.shared import written
 
 GRID = {"bin_thresh": [0.2, 0.3, 0.6], "scale": [0.5, 1.0]}
 
@@ -193,17 +194,30 @@ BLACK_PIXELS = with_views("prob_map", body="""
 SELECT page_id, round(avg(CASE WHEN p = 0 THEN 1 ELSE 0 END), 9) AS none, round(avg(CASE WHEN p < 0.5 THEN 1 ELSE 0 END), 9) AS less FROM prob_map GROUP BY page_id""")
 
 
-def fused_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four tiles of 40 pixels a map, sampled at the middles of a page of 61 by 64 and fused evenly and tapered, by band."""
+def _quarter_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tiles of 40 pixels a map, on a page of 61 by 64."""
     packed = detection.packed(d.prob_map(spark, sf_dir)).select("page_id", F.transform("p", lambda v: v.cast("double")).alias("p"))
     part = lambda x, y: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(39)), lambda r: F.slice("p", (r + y) * 64 + x + 1, 40)))
     at = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), part(x, y).alias("p")) for x in (0, 24) for y in (0, 24)))
-    tiles = packed.select("page_id", F.explode(at).alias("t")).select("page_id", "t.*", F.lit(61).alias("width"), F.lit(64).alias("height"))
+    return packed.select("page_id", F.explode(at).alias("t")).select("page_id", "t.*", F.lit(61).alias("width"), F.lit(64).alias("height"))
+
+
+def fused_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tiles of 40 pixels a map, sampled at the middles of a page of 61 by 64 and fused evenly and tapered, by band."""
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6).alias(c)
-    return fusion.checked(fusion.fused(tiles, 40, 40)).select("page_id", "band", "width", F.size("even").alias("pixels"), total("even"), total("tapered"))
+    return fusion.checked(fusion.fused(_quarter_tiles(spark, sf_dir), 40, 40)).select("page_id", "band", "width", F.size("even").alias("pixels"), total("even"), total("tapered"))
+
+
+def fused_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of those maps, fused both ways in bands of twelve rows, as shares of their page."""
+    made = written(fusion.checked(fusion.fused(_quarter_tiles(spark, sf_dir), 40, 40, 12)), "fused")
+    dims = made.select("page_id").distinct().select("page_id", F.lit(61).alias("width"), F.lit(64).alias("height"))
+    out = [bands.words(made.withColumn("p", F.col(mode)), dims, 1.0).withColumn("mode", F.lit(mode)) for mode in ("even", "tapered")]
+    found = out[0].unionByName(out[1])
+    return found.select("mode", "page_id", "idx", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1", "objectness")))
 
 
 QUERIES = {
     f.__name__: (f, globals().get(f.__name__.upper()))
-    for f in (parameter_sweep, sweep_winner, repeat_parity, word_sequences, tile_word_mapping, guarded_remerge, mode_totals, shared_words, conservation_laws, first_cause_errors, captured_errors, example_selection, black_pixels, fused_maps)
+    for f in (parameter_sweep, sweep_winner, repeat_parity, word_sequences, tile_word_mapping, guarded_remerge, mode_totals, shared_words, conservation_laws, first_cause_errors, captured_errors, example_selection, black_pixels, fused_maps, fused_boxes)
 }
