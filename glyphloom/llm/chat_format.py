@@ -1,12 +1,13 @@
 """Chat formatting: conversations are rebuilt from their event log and rendered with a loss mask.
 
 The events of a message are folded into its final text, one without a name by itself, and each turn is rendered as a row of
-its own in any task. Digests alone need the turns of a conversation in order: they are sorted, and read one by one. Kinds of events: `start` opens a message of a role, with text if it has any; `delta` adds text to a message; `edit`
+its own in any task. Digests alone need the turns of a conversation in order: they are sorted, and read one by one. A table of
+whole turns becomes a log by `streamed`, so that its turns come out of the fold too. Kinds of events: `start` opens a message of a role, with text if it has any; `delta` adds text to a message; `edit`
 puts a text in its place; `regenerate` empties it for the deltas to come; `delete` takes it away. Escapes keep control strings in texts
 apart from those of the template, and can be undone.
 
-Defined results: a null text is empty, a null role the empty string; events without a number come first, those of one number
-by message, role, text and kind; a delta, edit or regenerate of an unknown message opens one of the assistant; an unknown kind
+Defined results: a null text is empty, a null role the empty string; events without a number come first, those of a message
+that have one number by role, text and kind, messages of one number by role, text and name; a delta, edit or regenerate of an unknown message opens one of the assistant; an unknown kind
 counts as a delta; a second start of a message replaces it in place; a start without a message's name opens a message of
 its own; a null conv_id is a conversation; repeated rows are messages of their own; an empty table has an empty result; extra
 columns are ignored.
@@ -21,7 +22,7 @@ from itertools import groupby
 from operator import methodcaller
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -122,7 +123,8 @@ def _mapped(df: DataFrame, new: str, function: Callable[[Iterator[tuple]], Itera
     return df.mapInArrow(run, out)
 
 
-#: What a conversation's turns are sorted by: the event that opened each. by_text is null where it is the turn's text.
+#: What a conversation's turns are sorted by: the number of the event that opened each, and role and text. by_text is null where it
+#: is the turn's text.
 _ORDER = ("seq", "message", "by_role", "by_text")
 
 
@@ -133,7 +135,7 @@ def turns(events: DataFrame) -> DataFrame:
         for (conv, message), log in groupby(rows, lambda r: (r[0], r[2])):
             found = fold((seq, kind, role, text) for _, seq, _, kind, role, text in log)
             if found:
-                yield conv, found[0], message, None, None, *found[1:]
+                yield conv, found[0], message, found[1], None, *found[1:]
 
     named = events.where(F.col("message").isNotNull()).repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", "role", "text", "kind")
     folded = _mapped(named.select("conv_id", "seq", "message", "kind", "role", "text"), "by_role string, by_text string, role string, text string", run, ("conv_id", "seq", "message"))
@@ -162,7 +164,7 @@ def rendered(events: DataFrame) -> DataFrame:
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "message", "by_role", F.coalesce("by_text", "text"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "by_role", F.coalesce("by_text", "text"), "message")
 
 
 def formatted(events: DataFrame) -> DataFrame:
@@ -208,15 +210,48 @@ def digests(rows: DataFrame) -> DataFrame:
     return _mapped(ordered, "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long", run)
 
 
-def as_events(conversations: DataFrame) -> DataFrame:
-    """Each row of a table of whole turns as the event that starts a message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("start").alias("kind"), F.lit(None).cast("string").alias("message"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+#: Events of a turn in its log, at most.
+STEPS = 8
+
+
+def streamed(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) of whole turns as the log of a service that streams them: each is a message with a name of its
+    own and up to STEPS numbers, begun by a start and told in deltas; by a rule on the hash of its content also after a wrong draft that is
+    regenerated or edited, or beside another message that is deleted. The events of half the turns come in reverse. Folded, the rows come
+    back, those of one turn number in order of role and text."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    third = F.floor(F.char_length("text") / 3).cast("int")
+    rows = conversations.select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 40))).alias("turn"), role.alias("role"), text.alias("text"), F.monotonically_increasing_id().alias("id"))
+    rows = rows.withColumns({"a": F.substr("text", F.lit(1), third), "b": F.substr(F.col("text"), third + 1, third), "c": F.substr(F.col("text"), 2 * third + 1, F.char_length("text")), "hash": F.xxhash64("turn", "role", "text")})
+    none = F.lit("")
+
+    def log(*events: tuple) -> Column:
+        """Of (kind, text) of the turn's own message, and (kind, text, suffix) of another one."""
+        rows = ((i, kind, F.col("role") if kind == "start" else F.lit(None).cast("string"), text, *(rest or [""])) for i, (kind, text, *rest) in enumerate(events))
+        return F.array(*(F.struct(F.lit(i).alias("step"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"), F.lit(suffix).alias("suffix")) for i, kind, role, text, suffix in rows))
+
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    told = ("delta", a), ("delta", b), ("delta", c)
+    kinds = (
+        log(("start", none), *told),
+        log(("start", a), ("delta", F.concat(b, c))),
+        log(("start", none), ("delta", c), ("regenerate", none), *told),
+        log(("start", c), ("delta", F.lit(" draft")), ("edit", a), *told[1:]),
+        log(("start", none), told[0], ("start", c, "-draft"), ("delta", b, "-draft"), told[1], ("delete", none, "-draft"), told[2]),
+    )
+    kind = F.pmod("hash", F.lit(len(kinds)))
+    chosen = F.when(kind == 0, kinds[0])
+    for i, k in enumerate(kinds[1:], 1):
+        chosen = chosen.when(kind == i, k)
+    events = F.when(F.pmod(F.shiftright("hash", 8), F.lit(2)) == 0, chosen).otherwise(F.reverse(chosen))
+    each = rows.select("conv_id", "turn", F.col("id").cast("string").alias("id"), F.explode(events).alias("e"))
+    return each.select("conv_id", (F.col("turn") * STEPS + F.col("e.step")).alias("seq"), "e.kind", F.concat("id", "e.suffix").alias("message"), "e.role", "e.text")
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.createDataFrame([(-1, 0, "user", INJECTION), (-1, 1, "assistant", INJECTION)], "conv_id long, turn long, role string, text string")
-    return digests(rendered(as_events(turns.unionByName(planted))))
+    return digests(rendered(streamed(turns.unionByName(planted))))
 
 
 _SQL_CONTROL = "|".join(re.escape(c).replace("'", "''") for c in CONTROL)
