@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions import config
-from glyphloom.operators import composed, detection, orientation, pipeline, recovery
+from glyphloom.operators import composed, detection, orientation, pipeline, recovery, series
 from glyphloom.sources import derived as d
 from glyphloom.sources.derived import with_views
 from glyphloom.sources.shared import shared_folder, written
 from glyphloom.streaming import pages as streams
+from glyphloom.streaming import queues
 
 ANGLES = [-2.0, -1.0, 0.0, 0.5, 1.0, 2.0]
 
@@ -155,6 +156,38 @@ STREAM_ORDERED = """
 SELECT run, sequence, CAST(length(text) AS INTEGER) AS chars FROM (SELECT conv_id AS run, turn AS sequence, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE (conv_id * 5 + turn) % 19 <> 7) WHERE place = sequence"""
 
 
+def stream_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What that stream still keeps when its input has ended: of each run the first page that is missing, and the pages behind it."""
+    folder = shared_folder(spark, "streams")
+    streams.run_to_end(streams.in_order(_result_stream(spark, sf_dir)), folder)
+    return streams.pending(spark, folder).withColumn("fault", F.lit(streams.MISSING_PAGE))
+
+
+STREAM_MISSING = f"""
+SELECT run, CAST(missing AS BIGINT) AS missing, count(*) AS waiting, '{streams.MISSING_PAGE}' AS fault FROM (
+  SELECT run, sequence, min(CASE WHEN place <> sequence THEN place END) OVER (PARTITION BY run) AS missing FROM (
+    SELECT conv_id AS run, turn AS sequence, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations WHERE (conv_id * 5 + turn) % 19 <> 7))
+WHERE sequence > missing GROUP BY ALL"""
+
+
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers as a corpus, read over and over by a stream that stops after five corpora and a half: how often each page came,
+    and its last number."""
+    pages = written(series.numbered(d.table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey"), "corpus")
+    n, folder = pages.count(), shared_folder(spark, "streams")
+    if n:
+        feed = queues.replayed(spark, n, pages=n * 11 // 2)
+        queues.run_replay(feed.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").start())
+    rows = spark.read.schema("sequence long, page long, turn long").parquet(f"{folder}/rows") if n else spark.createDataFrame([], "sequence long, page long, turn long")
+    return rows.join(pages, F.col("page") == F.col("place")).groupBy("s_suppkey").agg(F.count("*").alias("times"), F.max("sequence").alias("last"), F.max("turn").alias("turn"))
+
+
+STREAM_REPLAY = """
+WITH p AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS place, count(*) OVER () AS n FROM supplier)
+SELECT s_suppkey, count(*) AS times, max(id) AS last, max(id // n) AS turn
+FROM p JOIN (SELECT unnest(range((SELECT count(*) * 11 // 2 FROM supplier))) AS id) ON id % n = place GROUP BY s_suppkey"""
+
+
 def stream_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that come in two parts, put together when both are there; those that lost one never come out."""
     half = F.floor(F.char_length("text") / 2).cast("int")
@@ -186,6 +219,6 @@ PROPS_SCAN = "SELECT event_type, count(*) AS n, CAST(sum(coalesce(len(json_keys(
 QUERIES = {
     f.__name__: (f, globals().get(f.__name__.upper()))
     for f in (
-        skew_scores, skew_estimates, thin_anchor_peers, thin_nearest_two, thin_proposals, pipeline_stub_words, pipeline_pages, pipeline_composed, pipeline_stage_counts, stream_window_counts, stream_ordered, stream_fan_in, split_inventory, props_scan,
+        skew_scores, skew_estimates, thin_anchor_peers, thin_nearest_two, thin_proposals, pipeline_stub_words, pipeline_pages, pipeline_composed, pipeline_stage_counts, stream_window_counts, stream_ordered, stream_missing, stream_replay, stream_fan_in, split_inventory, props_scan,
     )
 }
