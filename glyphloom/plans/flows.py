@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphloom.functions import config
-from glyphloom.operators import composed, detection, orientation, pipeline, recovery, series
+from glyphloom.operators import composed, detection, orientation, pipeline, preparing, recovery, series
 from glyphloom.sources import derived as d
 from glyphloom.sources.derived import with_views
 from glyphloom.sources.shared import shared_folder, written
@@ -131,6 +131,43 @@ def pipeline_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, k, n) for i, (k, n) in enumerate(run.counts().items())], "place int, stage string, n long")
 
 
+#: A detector's mean and deviation by channel.
+MEAN, STD = [0.798, 0.785, 0.772], [0.264, 0.2749, 0.287]
+
+
+def prepared_tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page, and two tiles of a band of it, as a detector is shown them: 24 x 24, aspect kept, black on both sides."""
+    rows = preparing.packed_rows(d.rgb_pixels(spark, sf_dir))
+    w, h = F.when(F.col("page_id") % 2 == 0, 64).otherwise(50), F.when(F.col("page_id") % 2 == 0, 44).otherwise(64)
+    half, more, top = F.floor(w / 2).cast("int"), F.floor(w * 4 / 100).cast("int"), F.floor(h / 4).cast("int")
+    region = lambda tile, *box: F.struct(F.lit(tile).alias("tile"), *(c.cast("int").alias(n) for n, c in zip(("x0", "y0", "x1", "y1"), box, strict=True)))
+    zero = F.lit(0)
+    each = F.array(region(-1, zero, zero, w, h), region(0, zero, top, half + more, top * 2), region(1, half - more, top, w, top * 2))
+    regions = d.rectangles(spark, sf_dir).select("page_id").distinct().select("page_id", F.explode(each).alias("r")).select("page_id", "r.*")
+    return preparing.prepared(rows, regions, 24, 24, MEAN, STD).withColumn("value", F.round("value", 6))
+
+
+_WEIGHT = "greatest(1 - abs(({j} + 0.5::DOUBLE - ({o} + 0.5::DOUBLE) * {n} / {out}) / greatest({n}::DOUBLE / {out}, 1)), 0.0::DOUBLE)"
+PREPARED_TENSORS = with_views("rgb_pixels", body=f"""
+, dims AS (SELECT DISTINCT page_id, CASE WHEN page_id % 2 = 0 THEN 64 ELSE 50 END AS w, CASE WHEN page_id % 2 = 0 THEN 44 ELSE 64 END AS h FROM rectangles),
+regions AS (SELECT page_id, -1 AS tile, 0 AS x0, 0 AS y0, w AS x1, h AS y1 FROM dims
+  UNION ALL SELECT page_id, 0, 0, h // 4, w // 2 + w * 4 // 100, h // 4 * 2 FROM dims UNION ALL SELECT page_id, 1, w // 2 - w * 4 // 100, h // 4, w, h // 4 * 2 FROM dims),
+fits AS (SELECT *, CASE WHEN h > w THEN greatest(CAST(floor(24 / (h::DOUBLE / w)) AS INTEGER), 1) ELSE 24 END AS rw, CASE WHEN h > w THEN 24 ELSE greatest(CAST(floor(24 * (h::DOUBLE / w)) AS INTEGER), 1) END AS rh
+  FROM (SELECT *, x1 - x0 AS w, y1 - y0 AS h FROM regions)),
+wx AS (SELECT page_id, tile, o, x0 + j AS x, wt / sum(wt) OVER (PARTITION BY page_id, tile, o) AS wt FROM (
+  SELECT *, {_WEIGHT.format(j="j", o="o", n="w", out="rw")} AS wt FROM (SELECT *, unnest(range(w)) AS j FROM (SELECT *, unnest(range(rw)) AS o FROM fits)))),
+wy AS (SELECT page_id, tile, o, y0 + j AS y, wt / sum(wt) OVER (PARTITION BY page_id, tile, o) AS wt FROM (
+  SELECT *, {_WEIGHT.format(j="j", o="o", n="h", out="rh")} AS wt FROM (SELECT *, unnest(range(h)) AS j FROM (SELECT *, unnest(range(rh)) AS o FROM fits)))),
+across AS (SELECT wx.page_id, wx.tile, y, o AS x, sum(r * wt) AS r, sum(g * wt) AS g, sum(b * wt) AS b FROM wx JOIN rgb_pixels p ON p.page_id = wx.page_id AND p.x = wx.x WHERE wt > 0 GROUP BY ALL),
+seen AS (SELECT a.page_id, a.tile, wy.o AS y, a.x, least(greatest(round_even(round(sum(r * wt), 6), 0), 0), 255) AS r, least(greatest(round_even(round(sum(g * wt), 6), 0), 0), 255) AS g,
+  least(greatest(round_even(round(sum(b * wt), 6), 0), 0), 255) AS b FROM across a JOIN wy ON wy.page_id = a.page_id AND wy.tile = a.tile AND wy.y = a.y WHERE wt > 0 GROUP BY ALL),
+placed AS (SELECT s.page_id, s.tile, s.y + (25 - rh) // 2 AS y, s.x + (25 - rw) // 2 AS x, r, g, b FROM seen s JOIN fits f ON f.page_id = s.page_id AND f.tile = s.tile),
+grid AS (SELECT page_id, tile, y, unnest(range(24)) AS x FROM (SELECT page_id, tile, unnest(range(24)) AS y FROM regions)),
+v AS (SELECT g.page_id, g.tile, g.y, g.x, [coalesce(r, 0), coalesce(p.g, 0), coalesce(b, 0)] AS v FROM grid g LEFT JOIN placed p ON p.page_id = g.page_id AND p.tile = g.tile AND p.y = g.y AND p.x = g.x)
+SELECT page_id, CAST(tile AS INTEGER) AS tile, CAST(c - 1 AS INTEGER) AS channel, CAST(y AS INTEGER) AS y, CAST(x AS INTEGER) AS x, round((v[c] / 255.0::DOUBLE - ({MEAN}::DOUBLE[])[c]) / ({STD}::DOUBLE[])[c], 6) AS value
+FROM (SELECT *, unnest([1, 2, 3]) AS c FROM v)""")
+
+
 def stream_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by hour and type, counted by a stream."""
     events = spark.readStream.schema(d.table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
@@ -219,6 +256,6 @@ PROPS_SCAN = "SELECT event_type, count(*) AS n, CAST(sum(coalesce(len(json_keys(
 QUERIES = {
     f.__name__: (f, globals().get(f.__name__.upper()))
     for f in (
-        skew_scores, skew_estimates, thin_anchor_peers, thin_nearest_two, thin_proposals, pipeline_stub_words, pipeline_pages, pipeline_composed, pipeline_stage_counts, stream_window_counts, stream_ordered, stream_missing, stream_replay, stream_fan_in, split_inventory, props_scan,
+        skew_scores, skew_estimates, thin_anchor_peers, thin_nearest_two, thin_proposals, pipeline_stub_words, pipeline_pages, pipeline_composed, pipeline_stage_counts, prepared_tensors, stream_window_counts, stream_ordered, stream_missing, stream_replay, stream_fan_in, split_inventory, props_scan,
     )
 }

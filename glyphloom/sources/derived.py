@@ -161,6 +161,14 @@ def drawn(groups: DataFrame, regions: DataFrame, side: int = 128) -> DataFrame:
     return rows.mapInPandas(run, "page_id long, tile int, width int, p array<double>")
 
 
+def rgb_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps as coloured pages, 64 x 44 pixels if their number is even, else 50 x 64: page_id, y, x, r, g, b."""
+    even = F.col("page_id") % 2 == 0
+    inside = (F.col("y") < F.when(even, 44).otherwise(64)) & (F.col("x") < F.when(even, 64).otherwise(50))
+    r, g = 255 - F.floor(F.col("p") * 200), (F.col("x") * 3 + F.col("y") * 5 + F.col("page_id") * 7) % 256
+    return prob_map(spark, sf_dir).where(inside).select("page_id", "y", "x", r.cast("int").alias("r"), g.cast("int").alias("g"), ((r + g * 3) % 256).cast("int").alias("b"))
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight vectors in turn are the steps of one sample: sample, step, values (doubles, by class)."""
     vec = F.col("vec_id")
@@ -233,6 +241,10 @@ DERIVED_SQL = {
       FROM (SELECT page_id, CAST(gy.v AS INTEGER) AS y, CAST(gx.v AS INTEGER) AS x FROM (SELECT DISTINCT page_id FROM rectangles), (SELECT unnest(range(64)) AS v) gy, (SELECT unnest(range(64)) AS v) gx) g
       LEFT JOIN (SELECT page_id, y, x, max(p) AS p FROM (SELECT page_id, p, y, unnest(range(x0, x0 + w)) AS x FROM (SELECT page_id, p, x0, w, unnest(range(y0, y0 + h)) AS y FROM rectangles WHERE page_id % 11 <> 5)) GROUP BY ALL) r
         ON g.page_id = r.page_id AND g.y = r.y AND g.x = r.x""",
+    "rgb_pixels": """
+      SELECT page_id, y, x, CAST(255 - floor(p * 200) AS INTEGER) AS r, CAST((x * 3 + y * 5 + page_id * 7) % 256 AS INTEGER) AS g,
+             CAST((255 - floor(p * 200) + (x * 3 + y * 5 + page_id * 7) % 256 * 3) % 256 AS INTEGER) AS b
+      FROM prob_map WHERE y < CASE WHEN page_id % 2 = 0 THEN 44 ELSE 64 END AND x < CASE WHEN page_id % 2 = 0 THEN 64 ELSE 50 END""",
     "logits": """
       SELECT CAST(vec_id // 8 AS BIGINT) AS sample, CAST(vec_id % 8 AS INTEGER) AS step, list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 8) AS "values" FROM embeddings""",
     "telemetry": """
@@ -246,7 +258,7 @@ DERIVED_SQL = {
       SELECT p_partkey AS config_id, p_partkey % 12 AS family, 1 + (p_partkey * 37 % 400) / 100.0::DOUBLE AS pps, 1000 + p_partkey * 91 % 3000 AS memory, 900 + p_partkey * 17 % 60 AS exact,
              p_partkey % 7 <> 0 AS parity FROM part""",
 }
-_NEEDS = {"pred_words": ["truth_words"], "page_dims": ["truth_words"], "prob_map": ["rectangles"]}
+_NEEDS = {"pred_words": ["truth_words"], "page_dims": ["truth_words"], "prob_map": ["rectangles"], "rgb_pixels": ["rectangles", "prob_map"]}
 
 
 def with_views(*names: str, body: str) -> str:
