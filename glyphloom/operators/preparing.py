@@ -75,3 +75,34 @@ def prepared(rows: DataFrame, regions: DataFrame, height: int, width: int, mean:
     value = lambda i, c: (F.coalesce(F.col(c), F.lit(0)) / 255.0 - mean[i]) / std[i]
     channels = F.array(*(F.struct(F.lit(i).alias("channel"), value(i, c).alias("value")) for i, c in enumerate(CHANNELS)))
     return full.select("page_id", "tile", "y", "x", F.explode(channels).alias("c")).select("page_id", "tile", "c.channel", "y", "x", "c.value")
+
+
+def quarter_turned(pixels: DataFrame, dims: DataFrame) -> DataFrame:
+    """Pixels (page_id, y, x, ...) of pages put right, which are turned clockwise by `quarter` (0, 90, 180 or 270 degrees, in dims with
+    width and height); no pixel is lost. Pages without dims have no rows."""
+    rows = pixels.join(dims.select("page_id", "width", "height", "quarter"), "page_id")
+    x, y, w, h = (F.col(c) for c in ("x", "y", "width", "height"))
+    new_y = F.when(F.col("quarter") == 90, w - 1 - x).when(F.col("quarter") == 180, h - 1 - y).when(F.col("quarter") == 270, x).otherwise(y)
+    new_x = F.when(F.col("quarter") == 90, y).when(F.col("quarter") == 180, w - 1 - x).when(F.col("quarter") == 270, h - 1 - y).otherwise(x)
+    others = [c for c in pixels.columns if c not in ("page_id", "y", "x")]
+    return rows.select("page_id", new_y.alias("y"), new_x.alias("x"), *others)
+
+
+def rectified(pixels: DataFrame, dims: DataFrame, channel: str = "r", border: int = 255) -> DataFrame:
+    """page_id, y, x and a channel of pages turned back by a small `angle` (degrees, in dims with width and height) on a canvas that holds
+    them all: each pixel of the canvas is asked where it comes from, between four pixels, with `border` outside of the page. Sums are
+    held to a millionth and rounded half to even."""
+    c, s = F.cos(F.radians("angle")), F.sin(F.radians("angle"))
+    w, h = F.col("width"), F.col("height")
+    sized = dims.select("page_id", "width", "height", c.alias("c"), s.alias("s"), F.ceil(F.round(w * F.abs(c) + h * F.abs(s), 9)).cast("int").alias("ow"), F.ceil(F.round(w * F.abs(s) + h * F.abs(c), 9)).cast("int").alias("oh"))
+    side = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    grid = sized.select("*", side("oh").alias("y")).select("*", side("ow").alias("x"))
+    dx, dy = F.col("x") + 0.5 - F.col("ow") / 2, F.col("y") + 0.5 - F.col("oh") / 2
+    at = {"u": F.round(F.col("c") * dx - F.col("s") * dy + w / 2 - 0.5, 9), "v": F.round(F.col("s") * dx + F.col("c") * dy + h / 2 - 0.5, 9)}
+    grid = grid.withColumns(at).withColumns({"a": F.floor("u").cast("int"), "b": F.floor("v").cast("int")})
+    fx, fy = F.col("u") - F.col("a"), F.col("v") - F.col("b")
+    corners = F.array(*(F.struct((F.col("a") + i).alias("x"), (F.col("b") + j).alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("weight")) for i in (0, 1) for j in (0, 1)))
+    near = grid.select("page_id", "y", "x", F.explode(corners).alias("n")).select("page_id", F.col("y").alias("out_y"), F.col("x").alias("out_x"), "n.x", "n.y", "n.weight").where("weight > 0")
+    met = near.join(pixels.select("page_id", "y", "x", channel), ["page_id", "y", "x"], "left")
+    value = F.rint(F.round(F.sum(F.coalesce(F.col(channel), F.lit(border)) * F.col("weight")), 6)).cast("int")
+    return met.groupBy("page_id", F.col("out_y").alias("y"), F.col("out_x").alias("x")).agg(value.alias(channel))

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glyphloom.plans import flows, measures, scoring, studies, vision
+from glyphloom.plans import flows, measures, scoring, slants, studies, vision
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_FAMILIES = (scoring, measures, vision, flows, studies)
+_FAMILIES = (scoring, measures, vision, flows, studies, slants)
 
 
 def queries() -> dict[str, Query]:

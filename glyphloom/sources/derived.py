@@ -169,6 +169,35 @@ def rgb_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_map(spark, sf_dir).where(inside).select("page_id", "y", "x", r.cast("int").alias("r"), g.cast("int").alias("g"), ((r + g * 3) % 256).cast("int").alias("b"))
 
 
+def slanted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run of letters for each supplier, eight on a page of 200 pixels squared, level or aslant: page_id, k, n, dx, dy (the step from letter to
+    letter), x, y (of the first letter)."""
+    k = F.col("s_suppkey")
+    turn = (k % 4).cast("int")
+    rows = table(spark, sf_dir, "supplier").select(F.floor(k / 8).cast("long").alias("page_id"), k.alias("k"), (4 + k % 5).cast("int").alias("n"), turn.alias("turn"))
+    dx = F.element_at(F.array(F.lit(9), F.lit(0), F.lit(7), F.lit(7)), F.col("turn") + 1)
+    dy = F.element_at(F.array(F.lit(0), F.lit(9), F.lit(7), F.lit(-7)), F.col("turn") + 1)
+    k = F.col("k")
+    x, y = 6 + k % 8 % 4 * 48 + k % 3, F.when(k % 8 < 4, 12).otherwise(112) + k % 5 * 2 + F.when(dy < 0, 60).otherwise(0)
+    return rows.select("page_id", "k", "n", dx.alias("dx"), dy.alias("dy"), x.cast("int").alias("x"), y.cast("int").alias("y"))
+
+
+def slanted_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of the runs as boxes of 5 x 6 pixels of full ink: page_id, x0, y0, x1, y1, p."""
+    rows = slanted_runs(spark, sf_dir).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    x, y = F.col("x") + F.col("i") * F.col("dx"), F.col("y") + F.col("i") * F.col("dy")
+    return rows.select("page_id", x.alias("x0"), y.alias("y0"), (x + 5).alias("x1"), (y + 6).alias("y1"), F.lit(1.0).alias("p"))
+
+
+def slanted_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted words turned a little about their middles, each as four corners: page_id, idx, quad."""
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
+    a = F.radians((F.col("idx") % 5 - 2) * F.lit(1.5))
+    hw, hh = (F.col("x1") - F.col("x0")) / 2, (F.col("y1") - F.col("y0")) / F.when(F.col("idx") % 6 == 0, 6).otherwise(2)
+    points = [v for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1)) for v in (cx + hw * i * F.cos(a) - hh * j * F.sin(a), cy + hw * i * F.sin(a) + hh * j * F.cos(a))]
+    return pred_words(spark, sf_dir).select("page_id", "idx", F.array(*points).alias("quad"))
+
+
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight vectors in turn are the steps of one sample: sample, step, values (doubles, by class)."""
     vec = F.col("vec_id")
