@@ -11,13 +11,13 @@ from glyphloom.operators import recognition
 from glyphloom.sources import derived as d
 from glyphloom.sources.derived import with_views
 
-#: Overlapping pairs and mutual best matches in SQL; boxes of these tables overlap within one line of words.
+#: Overlapping pairs and mutual best matches in SQL; a box meets labels of its own line and of those beside it.
 PAIRS = """,
 pairs AS (
   SELECT * FROM (
     SELECT t.page_id, t.idx AS l_idx, p.idx AS r_idx, t.text AS l_text, p.text AS r_text, (t.x1 - t.x0) * (t.y1 - t.y0) AS l_area, (p.x1 - p.x0) * (p.y1 - p.y0) AS r_area,
-           greatest(least(t.x1, p.x1) - greatest(t.x0, p.x0), 0) * (least(t.y1, p.y1) - greatest(t.y0, p.y0)) AS common, p.objectness
-    FROM truth_words t JOIN pred_words p ON t.page_id = p.page_id AND t.y0 = p.y0 AND t.x0 < p.x1 AND p.x0 < t.x1) WHERE common > 0),
+           greatest(least(t.x1, p.x1) - greatest(t.x0, p.x0), 0) * greatest(least(t.y1, p.y1) - greatest(t.y0, p.y0), 0) AS common, p.objectness
+    FROM truth_words t JOIN (SELECT *, unnest(range(y0 // 20 - 1, y1 // 20 + 1)) AS line FROM pred_words) p ON t.page_id = p.page_id AND t.y0 // 20 = p.line AND t.x0 < p.x1 AND p.x0 < t.x1) WHERE common > 0),
 scored AS (SELECT *, CAST(common AS DOUBLE) / greatest(l_area + r_area - common, 1e-12::DOUBLE) AS iou FROM pairs)"""
 MATCHED = """,
 matches AS (

@@ -323,9 +323,10 @@ def seam_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SEAM_PAIRS = with_views("pred_words", "page_dims", body=_TILE_WORDS + """
-SELECT * FROM (SELECT a.page_id, a.idx AS l_idx, b.idx AS r_idx, round(c / greatest((a.x1 - a.x0) * 14 + (b.x1 - b.x0) * 14 - c, 1e-12::DOUBLE), 6) AS iou, CASE WHEN a.objectness >= b.objectness THEN 'left' ELSE 'right' END AS winner
-FROM (SELECT * FROM tile_words WHERE tile = 0) a JOIN (SELECT * FROM tile_words WHERE tile = 1) b ON a.page_id = b.page_id AND a.y0 = b.y0 AND a.x0 < b.x1 AND b.x0 < a.x1 JOIN (SELECT page_id, owner_end AS seam FROM halves WHERE tile = 0) s ON s.page_id = a.page_id,
-LATERAL (SELECT CAST(least(a.x1, b.x1) - greatest(a.x0, b.x0) AS DOUBLE) * 14 AS c) WHERE a.x0 <= seam AND a.x1 >= seam AND b.x0 <= seam AND b.x1 >= seam) WHERE iou >= 0.5""")
+SELECT * FROM (SELECT a.page_id, a.idx AS l_idx, b.idx AS r_idx, round(c / greatest((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - c, 1e-12::DOUBLE), 6) AS iou, CASE WHEN a.objectness >= b.objectness THEN 'left' ELSE 'right' END AS winner
+FROM (SELECT *, CAST(floor(y0 / 20) AS INTEGER) AS line FROM tile_words WHERE tile = 0) a JOIN (SELECT *, unnest(range(y0 // 20 - 2, y1 // 20 + 2)) AS line FROM tile_words WHERE tile = 1) b ON a.page_id = b.page_id AND a.line = b.line AND a.x0 < b.x1 AND b.x0 < a.x1
+JOIN (SELECT page_id, owner_end AS seam FROM halves WHERE tile = 0) s ON s.page_id = a.page_id,
+LATERAL (SELECT CAST(least(a.x1, b.x1) - greatest(a.x0, b.x0) AS DOUBLE) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0) AS c) WHERE a.x0 <= seam AND a.x1 >= seam AND b.x0 <= seam AND b.x1 >= seam) WHERE iou >= 0.5""")
 
 
 def line_peers(spark: SparkSession, sf_dir: str) -> DataFrame:

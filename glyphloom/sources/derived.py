@@ -30,20 +30,21 @@ def truth_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """truth_words as a recogniser might see them: some lost, moved, misread, doubled, or grown over the next word."""
-    page, idx = F.col("page_id"), F.col("idx")
-    moved = (page * 7 + idx * 3) % 9 - 4
+    """truth_words as a recogniser might see them: some lost, moved either way, of another height, misread, doubled, or grown over the next
+    word."""
+    page, idx, copy = F.col("page_id"), F.col("idx"), F.col("copy")
+    moved, lifted, taller = (page * 7 + idx * 3) % 9 - 4, (page * 5 + idx * 7) % 13 - 6, idx * 11 % 7 - 3
     copies = F.when(idx % 29 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     kept = truth_words(spark, sf_dir).where((page * 31 + idx) % 13 != 0).withColumn("copy", F.explode(copies))
     wide = F.when(idx % 37 == 0, F.lit(60)).otherwise(F.lit(0))
     return kept.select(
         "page_id",
-        (idx + F.col("copy") * 1_000_000).cast("long").alias("idx"),
+        (idx + copy * 1_000_000).cast("long").alias("idx"),
         F.when((page + idx) % 11 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"),
-        (F.col("x0") + moved + F.col("copy")).alias("x0"),
-        "y0",
-        (F.col("x1") + moved + wide + F.col("copy")).alias("x1"),
-        "y1",
+        (F.col("x0") + moved + copy).alias("x0"),
+        (F.col("y0") + lifted + copy).cast("int").alias("y0"),
+        (F.col("x1") + moved + wide + copy).alias("x1"),
+        (F.col("y1") + lifted + taller + copy).cast("int").alias("y1"),
         ((page * 13 + idx * 17) % 100 / 100).alias("objectness"),
     )
 
@@ -241,16 +242,11 @@ DERIVED_SQL = {
       FROM (SELECT doc_id AS page_id, CAST(unnest(range(len(w))) AS INTEGER) AS idx, unnest(w) AS text
             FROM (SELECT doc_id, list_filter(string_split_regex(text, '[ \n]+'), lambda x: x <> '') AS w FROM documents))""",
     "pred_words": r"""
-      SELECT page_id, idx, text, x0, y0, x1, y1, objectness FROM (
-        SELECT page_id, CAST(idx AS BIGINT) AS idx, CASE WHEN (page_id + idx) % 11 = 0 THEN text || 'x' ELSE text END AS text,
-               x0 + (page_id * 7 + idx * 3) % 9 - 4 AS x0, y0, x1 + (page_id * 7 + idx * 3) % 9 - 4 + CASE WHEN idx % 37 = 0 THEN 60 ELSE 0 END AS x1, y1,
-               ((page_id * 13 + idx * 17) % 100) / 100.0::DOUBLE AS objectness, unnest(CASE WHEN idx % 29 = 0 THEN [0, 1] ELSE [0] END) AS copy
-        FROM truth_words WHERE (page_id * 31 + idx) % 13 <> 0) WHERE copy = 0
-      UNION ALL
-      SELECT page_id, idx + 1000000, CASE WHEN (page_id + idx) % 11 = 0 THEN text || 'x' ELSE text END,
-             x0 + (page_id * 7 + idx * 3) % 9 - 3, y0, x1 + (page_id * 7 + idx * 3) % 9 - 3 + CASE WHEN idx % 37 = 0 THEN 60 ELSE 0 END, y1,
-             ((page_id * 13 + idx * 17) % 100) / 100.0::DOUBLE
-      FROM truth_words WHERE (page_id * 31 + idx) % 13 <> 0 AND idx % 29 = 0""",
+      SELECT page_id, CAST(idx + copy * 1000000 AS BIGINT) AS idx, CASE WHEN (page_id + idx) % 11 = 0 THEN text || 'x' ELSE text END AS text,
+             x0 + (page_id * 7 + idx * 3) % 9 - 4 + copy AS x0, CAST(y0 + (page_id * 5 + idx * 7) % 13 - 6 + copy AS INTEGER) AS y0,
+             x1 + (page_id * 7 + idx * 3) % 9 - 4 + CASE WHEN idx % 37 = 0 THEN 60 ELSE 0 END + copy AS x1, CAST(y1 + (page_id * 5 + idx * 7) % 13 - 6 + idx * 11 % 7 - 3 + copy AS INTEGER) AS y1,
+             ((page_id * 13 + idx * 17) % 100) / 100.0::DOUBLE AS objectness
+      FROM (SELECT *, unnest(CASE WHEN idx % 29 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM truth_words WHERE (page_id * 31 + idx) % 13 <> 0)""",
     "line_words": r"""
       SELECT page_id, idx, letters, x0, y0, x0 + CASE WHEN upright THEN 9 + idx * 7 % 5 ELSE 4 + 6 * least(letters, 12) END AS x1,
              y0 + CASE WHEN upright THEN 6 + 4 * least(letters, 8) ELSE 8 + idx * 7 % 17 END AS y1, line
