@@ -74,7 +74,7 @@ def _recovered(found: DataFrame, words: DataFrame, owners: DataFrame) -> DataFra
     proposed = recovery.proposals(things, of_map.where("kind = 'anchor'").select("page_id", *CORNERS))
     regions = found.select("page_id", "tile", "side", "rx", "ry", "rw", "rh").distinct()
     rows = proposed.select("page_id.*", "idx", "objectness", *CORNERS).join(regions, ["page_id", "tile"])
-    placed = _on_page(rows, tuple(F.col(c) for c in CORNERS))
+    placed = written(_on_page(rows, tuple(F.col(c) for c in CORNERS)).select("page_id", "tile", "idx", "objectness", *CORNERS), "proposed")
     of_page, of_tiles = placed.where(F.col("tile") == WHOLE), placed.where(F.col("tile") != WHOLE)
     kept = of_page.unionByName(tiles.owned(of_tiles, owners).select(*placed.columns))
     rank = F.when(F.col("tile") == WHOLE, 1 << 30).otherwise(F.col("tile"))
@@ -139,7 +139,8 @@ def run(maps: DataFrame, tile_regions: DataFrame, tile_maps: DataFrame, recognis
     found = detection.found(whole, params, dense, checked.thin_recovery).join(regions, ["page_id", "tile"])
     found = written(found.observe(seen[0], of("box", on_page).alias("page_boxes"), of("box", ~on_page).alias("tile_boxes"), of("lost").alias("lost"), of("anchor").alias("anchors")), "found")
 
-    each = _words(found, checked.unclip_ratio, dense.unclip_ratio)
+    # Written, the long expressions of a box are not worked out again inside of each condition on it.
+    each = written(_words(found, checked.unclip_ratio, dense.unclip_ratio), "each")
     base = each.where(on_page).drop("tile")
     if checked.dense_refinement:
         words = tiles.merge_with_seams(base, each.where(~on_page), tile_regions)
