@@ -69,6 +69,12 @@ class Chunk:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
+    def part(self, lo: int, hi: int) -> Chunk:
+        """Some bytes of a chunk of one text."""
+        c = Chunk.__new__(Chunk)
+        c.rows, c.data, c.offsets = self.rows, self.data[lo:hi], np.array([0, hi - lo], np.int64)
+        return c
+
     def words(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The mapped bytes; starts and ends of the words; for each text the first word, and the number of all."""
         data = kind[self.data]

@@ -9,6 +9,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -627,8 +628,8 @@ def brute_hits(text, items, window=10):
     return len(words), len(hit), sorted(found)
 
 
-@pytest.mark.parametrize("block_bytes", [1 << 20, 400])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("block_words", [1 << 20, 60])
+def test_decontamination(spark, block_words):
     rng = random.Random(3)
     small = VOCABULARY[:12]
     items = [(i, " ".join(rng.choice(small) for _ in range(rng.choice((3, 10, 12, 30))))) for i in range(20)] + [(None, prose(rng, 15)), (21, None), (22, " - "), (3, prose(rng, 11)), (40, "Ärger! NAÏVE")]
@@ -638,7 +639,7 @@ def test_decontamination(spark, block_bytes):
         texts.append(f"{prose(rng, rng.randint(0, 30))}, {pick.upper()}... {prose(rng, 9)}\n{pick} {prose(rng, 5)}")
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, [*texts, texts[25]])
-    found = decontamination.contamination(docs, bench, clean=True, block_bytes=block_bytes).withColumn("n_hit", decontamination.n_hit()).collect()
+    found = decontamination.contamination(docs, bench, clean=True, block_words=block_words).withColumn("n_hit", decontamination.n_hit()).collect()
     assert len(found) == len(texts) + 1
     for r in found:
         n, hit, names = brute_hits(r.row.text, items)
@@ -662,3 +663,64 @@ def test_suffixes_and_ranks():
 def test_digest_of_no_item(spark):
     found = decontamination.contamination(documents(spark, ["a b"]), spark.createDataFrame([(1, "c")], "item_id long, text string"))
     assert found.select(F.sha2(F.array_join("items", ","), 256)).first()[0] == hashlib.sha256(b"").hexdigest()
+
+
+def test_decontamination_of_long_texts_and_items(monkeypatch):
+    """Parts of a text share the words of a window, pieces of an item too; nothing is found twice or lost at their ends."""
+    rng = random.Random(5)
+    item = prose(rng, 300)
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 50)
+    monkeypatch.setattr(decontamination, "SEARCHED", 7)
+    monkeypatch.setattr(decontamination.parts, "__defaults__", (120,))
+    text = f"{prose(rng, 90)} {item} {'x' * 700} {prose(rng, 40)} {' '.join(item.split()[20:33])} {' - ' * 200} b"
+    words = item.split()
+    cut = [words[k : k + 25] for k in range(0, 300 - 9, 16)]
+    hashes = np.concatenate([np.array([hash_of(w) for w in c], np.uint64) for c in cut])
+    p = decontamination.patterns(["a"] * len(cut), hashes, np.array([len(c) for c in cut]))
+    for t in (text, f"{item} {item}", "x" * 1000, " " * 1000, prose(rng, 8) + " " * 900):
+        n, spans, pairs = decontamination.search(pa.array([None, "short", t]), p)
+        total, hit, names = brute_hits(t, [("a", item)])
+        found = decontamination.merged([(lo, hi) for i, lo, hi in spans.tolist() if i == 2])
+        assert n.tolist() == [0, 1, total] and sum(hi - lo for lo, hi in found) == hit and bool(len(pairs)) == bool(names)
+        if found:
+            left = decontamination.without(t, found)
+            covered = {k for lo, hi in found for k in range(lo, hi)}
+            split = lambda v: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", v.lower())
+            assert split(left) == [w for k, w in enumerate(split(t)) if k not in covered]
+
+
+def hash_of(word):
+    powers, c = decontamination.Powers(), decontamination.Chunk(slice(0, 1), [word])
+    mapped, starts, ends, _ = c.words(decontamination.ALNUM_LOWER)
+    return powers.spans(mapped, starts, ends)[0]
+
+
+def test_benchmark_blocks(spark):
+    """Blocks hold about as many words as asked for, whatever an item's size and however often it comes; no window is lost."""
+    rng = random.Random(8)
+    long = prose(rng, 2000)
+    bench = spark.createDataFrame([*[(1, long)] * 50, *((i, prose(rng, 30)) for i in range(2, 40)), (99, None)], "item_id long, text string")
+    built, blocks = decontamination.blocks_of(bench, block_words=200)
+    sizes = [len(decontamination.pickle.loads(r["data"]).words) for r in built.collect()]
+    assert blocks >= 10 and max(sizes) < 1200 and 2000 + 38 * 30 <= sum(sizes) < 4500
+    docs = documents(spark, [long, *[long] * 30, f"{prose(rng, 5)} {' '.join(long.split()[190:215])}", prose(rng, 50)])
+    found = decontamination.contamination(docs, bench, block_words=200).withColumn("n_hit", decontamination.n_hit()).collect()
+    assert sorted(r.n_hit for r in found) == [0, 25] + [2000] * 31
+
+
+def test_memory_of_a_long_text():
+    """A text of 64 MB with few known words is searched and cleaned in memory that its parts need, some times its own size."""
+    import tracemalloc
+
+    item = "one two three four five six seven eight nine ten"
+    text = "".join(["plain words here " * 1_900_000, item.upper(), " and more words " * 1_900_000])
+    hashes = np.array([hash_of(w) for w in item.split()], np.uint64)
+    p = decontamination.patterns(["a"], hashes, np.array([10]))
+    texts = pa.array([text])
+    tracemalloc.start()
+    n, spans, _ = decontamination.search(texts, p)
+    left = decontamination.without(text, [tuple(s[1:]) for s in spans.tolist()])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n[0] == 3 * 1_900_000 * 2 + 10 and len(spans) == 1 and len(left) == len(text) - len(item)
+    assert peak < 8 * len(text)
