@@ -52,6 +52,11 @@ def with_iou(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("iou", iou("l_", "r_"))
 
 
+def same_texts(pairs: DataFrame) -> DataFrame:
+    """Pairs with `same`, whether their texts are equal, in place of the texts; a null equals nothing."""
+    return pairs.withColumn("same", F.coalesce(F.col("l_text") == F.col("r_text"), F.lit(False))).drop("l_text", "r_text")
+
+
 def mutual_best(pairs: DataFrame, least: float = 0.5, also: tuple[str, ...] = ()) -> DataFrame:
     """Pairs that are each other's best by IoU, of those that reach `least`; ties by the smaller idx. `also` names columns
     that keep rows apart like page_id."""
@@ -74,9 +79,10 @@ def not_ignored(predictions: DataFrame, ignored: DataFrame, least: float = 0.5)
 
 
 def page_counts(pages: DataFrame, truth: DataFrame, predictions: DataFrame, matches: DataFrame) -> DataFrame:
-    """truth, predicted, matched, exact and sum_iou of each page, also of pages without words."""
+    """truth, predicted, matched, exact and sum_iou of each page, also of pages without words; matches have `same`, or both texts."""
     count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
-    matched = matches.groupBy("page_id").agg(F.count("*").alias("matched"), F.count_if(F.col("l_text") == F.col("r_text")).alias("exact"), F.sum("iou").alias("sum_iou"))
+    same = F.col("same") if "same" in matches.columns else F.col("l_text") == F.col("r_text")
+    matched = matches.groupBy("page_id").agg(F.count("*").alias("matched"), F.count_if(same).alias("exact"), F.sum("iou").alias("sum_iou"))
     joined = pages.select("page_id").join(count(truth, "truth"), "page_id", "left").join(count(predictions, "predicted"), "page_id", "left").join(matched, "page_id", "left")
     return joined.na.fill(0).na.fill(0.0)
 

@@ -29,6 +29,12 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.with_iou(m.overlapping(d.truth_words(spark, sf_dir), d.pred_words(spark, sf_dir)))
 
 
+def _slim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs as numbers, with `same` in place of texts and boxes."""
+    pairs = m.same_texts(_pairs(spark, sf_dir)).withColumn("covers", F.col("common") >= 0.5 * area("l_"))
+    return pairs.select("page_id", "l_idx", "r_idx", "iou", "same", "covers")
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.mutual_best(_pairs(spark, sf_dir))
 
@@ -47,7 +53,7 @@ def word_match_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of labels, predictions, matches and exact texts of each page."""
     truth, seen = d.truth_words(spark, sf_dir), d.pred_words(spark, sf_dir)
     pages = d.page_dims(spark, sf_dir)
-    return m.page_counts(pages, truth, seen, _matches(spark, sf_dir)).withColumn("sum_iou", F.round("sum_iou", 6))
+    return m.page_counts(pages, truth, seen, m.mutual_best(_slim_pairs(spark, sf_dir))).withColumn("sum_iou", F.round("sum_iou", 6))
 
 
 WORD_MATCH_SCORE = with_views("pred_words", "page_dims", body=PAIRS + MATCHED + """
@@ -59,7 +65,7 @@ LEFT JOIN (SELECT page_id, count(*) AS n, count(*) FILTER (l_text = r_text) AS e
 
 def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall, F1 and exact recall over all pages."""
-    counts = m.page_counts(d.page_dims(spark, sf_dir), d.truth_words(spark, sf_dir), d.pred_words(spark, sf_dir), _matches(spark, sf_dir))
+    counts = m.page_counts(d.page_dims(spark, sf_dir), d.truth_words(spark, sf_dir), d.pred_words(spark, sf_dir), m.mutual_best(_slim_pairs(spark, sf_dir)))
     total = counts.agg(*(F.sum(c).alias(c) for c in ("truth", "predicted", "matched", "exact")))
     found = m.ratios(*(F.col(c) for c in ("truth", "predicted", "matched", "exact")))
     return total.select("*", *(F.round(v, 6).alias(k) for k, v in found.items()))
@@ -75,9 +81,9 @@ SELECT *, {_RATIOS} FROM (SELECT (SELECT count(*) FROM truth_words) AS truth, (S
 def iou_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches and exact texts at three thresholds of IoU: the windows are computed once for all of them."""
     at = F.explode(F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("threshold")
-    near = _pairs(spark, sf_dir).select("*", at).where(F.col("iou") >= F.col("threshold"))
+    near = _slim_pairs(spark, sf_dir).select("*", at).where(F.col("iou") >= F.col("threshold"))
     best = m.mutual_best(near, 0.0, ("threshold",))
-    return best.groupBy("threshold").agg(F.count("*").alias("matched"), F.count_if(F.col("l_text") == F.col("r_text")).alias("exact"), F.round(F.avg("iou"), 6).alias("mean_iou"))
+    return best.groupBy("threshold").agg(F.count("*").alias("matched"), F.count_if("same").alias("exact"), F.round(F.avg("iou"), 6).alias("mean_iou"))
 
 
 IOU_SENSITIVITY = with_views("pred_words", body=PAIRS + """
@@ -181,24 +187,29 @@ SELECT truth, CAST(sum(n) AS BIGINT) AS total, CAST(coalesce(sum(n) FILTER (seen
 
 def omission_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why labels are not read: the first of exact, recognition_error, loose, merged, partial and no_overlap that holds."""
-    pairs = _pairs(spark, sf_dir)
-    merged = m.covered(pairs, "l_").groupBy("page_id", "r_idx").count().where("count > 1").select("page_id", "r_idx", F.lit(True).alias("merges"))
+    by = lambda side: Window.partitionBy(F.xxhash64("page_id", side), "page_id", side)
+    first = lambda side, other: F.row_number().over(by(side).orderBy(F.desc("iou"), other)) == 1
+    pairs = _slim_pairs(spark, sf_dir).select(
+        "*", first("r_idx", "l_idx").alias("best_of_r"), (F.count_if("covers").over(by("r_idx")) > 1).alias("merges")
+    )
+    best = F.col("best_of_r") & first("l_idx", "r_idx") & (F.col("iou") >= 0.5)
     each = (
-        pairs.withColumn("covers", F.col("common") >= 0.5 * area("l_"))
-        .join(merged, ["page_id", "r_idx"], "left")
-        .groupBy("page_id", F.col("l_idx").alias("idx"))
+        pairs.withColumn("best", best)
+        .groupBy(F.xxhash64("page_id", "l_idx").alias("key"), "page_id", F.col("l_idx").alias("idx"))
         .agg(
-            F.bool_or((F.col("iou") >= 0.25) & (F.col("l_text") == F.col("r_text"))).alias("loose"),
-            F.bool_or(F.coalesce("merges", F.lit(False)) & F.col("covers")).alias("merged"),
+            F.bool_or("best").alias("seen"),
+            F.bool_or(F.col("best") & F.col("same")).alias("exact"),
+            F.bool_or((F.col("iou") >= 0.25) & F.col("same")).alias("loose"),
+            F.bool_or(F.col("merges") & F.col("covers")).alias("merged"),
         )
     )
-    rows = _labelled(spark, sf_dir).join(each, ["page_id", "idx"], "left")
+    rows = d.truth_words(spark, sf_dir).select("page_id", "idx").join(each, ["page_id", "idx"], "left")
     status = (
-        F.when(F.col("seen") == F.col("text"), "exact")
-        .when(F.col("seen").isNotNull(), "recognition_error")
+        F.when(F.col("exact"), "exact")
+        .when(F.col("seen"), "recognition_error")
         .when(F.col("loose"), "loose")
         .when(F.col("merged"), "merged")
-        .when(F.col("loose").isNotNull(), "partial")
+        .when(F.col("seen").isNotNull(), "partial")
         .otherwise("no_overlap")
     )
     return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))

@@ -275,6 +275,23 @@ def dense_band_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 DENSE_BAND_BINS = with_views("page_dims", body=_BINS + "\nSELECT page_id, CAST(bin AS BIGINT) AS bin, n, y0, y1 FROM bins")
 
 
+def small_print_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The band of each page with the most small print, found from parts of ink: specks, rules and large print are left out first."""
+    dims = d.page_dims(spark, sf_dir)
+    return tiles.dense_bands(tiles.dense_bins(tiles.small_parts(d.glyph_parts(spark, sf_dir), dims), dims, 1024), share=1)
+
+
+SMALL_PRINT_BANDS = with_views("page_dims", "glyph_parts", body=""",
+parts AS (
+  SELECT g.*, width, height FROM glyph_parts g JOIN page_dims USING (page_id)
+  WHERE pixels >= 3 AND y1 - y0 >= 3 AND y1 - y0 <= height * 0.04::DOUBLE AND x1 - x0 <= width * 0.04::DOUBLE AND y1 - y0 <= 12 * (x1 - x0)),
+bins AS (SELECT page_id, width, height, (y0 + (y1 - y0) // 2) // 64 AS bin, count(*) AS n, min(y0) AS y0, max(y1) AS y1 FROM parts GROUP BY ALL
+         HAVING count(*) >= 20 AND median(y1 - y0) * 1024 / greatest(width, height, 1) < 9)
+SELECT page_id, CAST(n AS BIGINT) AS n, greatest(y0 - 24, 0) AS y0, least(y1 + 24, height) AS y1 FROM (
+  SELECT page_id, height, sum(n) AS n, min(y0) AS y0, max(y1) AS y1, row_number() OVER (PARTITION BY page_id ORDER BY sum(n) DESC, max(bin) DESC) AS k
+  FROM (SELECT *, bin - row_number() OVER (PARTITION BY page_id ORDER BY bin) AS island FROM bins) GROUP BY page_id, height, island) WHERE k = 1""")
+
+
 def tile_edge_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words through which a tile's edge runs, and those that no tile shows whole, by page."""
     flags = tiles.edge_flags(d.truth_words(spark, sf_dir), tiles.halves(d.page_dims(spark, sf_dir)))
@@ -332,9 +349,8 @@ LATERAL (SELECT CAST(least(a.x1, b.x1) - greatest(a.x0, b.x0) AS DOUBLE) * great
 def line_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many peers each word has on its line, the upper medians of their tops and bottoms, and how many in its column."""
     words = d.line_words(spark, sf_dir).select("page_id", "idx", *g.CORNERS)
-    across = lines.peers(words).groupBy("page_id", "idx").agg(F.count("*").alias("peers"), lines.upper_median(F.col("y0")).alias("top"), lines.upper_median(F.col("y1")).alias("bottom"))
-    column = lines.peers(words, vertical=True).groupBy("page_id", "idx").agg(F.count("*").alias("above"))
-    return across.join(column, ["page_id", "idx"], "full_outer").na.fill(0, ["peers", "above"]).na.fill(-1, ["top", "bottom"])
+    found = lines.around(words)
+    return found.select("page_id", "idx", F.col("beside").alias("peers"), F.coalesce("top", F.lit(-1)).alias("top"), F.coalesce("bottom", F.lit(-1)).alias("bottom"), "above")
 
 
 _LINE_PEERS = """,
@@ -456,7 +472,7 @@ QUERIES = {
     f.__name__: (f, globals().get(f.__name__.upper()))
     for f in (
         sigmoid_threshold, morph_opening, map_stage_trace, component_boxes, box_scores, unclip_boxes, unpad_letterbox, crop_rects, wide_crop_split, greedy_decode, affine_backmap, page_direction_gate,
-        params_validity, ink_mask, thin_acceptance, rotation_gate, tile_windows, dense_band_select, dense_band_bins, tile_edge_flags, tile_ownership_merge, seam_pairs, seam_fallback, line_peers, line_alternatives, context_crop_antijoin,
+        params_validity, ink_mask, thin_acceptance, rotation_gate, tile_windows, dense_band_select, dense_band_bins, small_print_bands, tile_edge_flags, tile_ownership_merge, seam_pairs, seam_fallback, line_peers, line_alternatives, context_crop_antijoin,
         top32_candidates, budgeted_recovery, greedy_nms, heatmap_fusion, overlap_string_merge,
     )
 }

@@ -49,6 +49,18 @@ def pred_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def glyph_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Connected parts of ink of the words, one a letter: page_id, an integer box and how many pixels are ink. Some are specks, hairlines
+    or large; every third stretch of four lines is of larger print."""
+    letter = F.explode(F.sequence(F.lit(0), F.least(F.char_length("text"), F.lit(13)) - 1))
+    rows = truth_words(spark, sf_dir).select("page_id", "idx", letter.alias("i"), F.col("x0").alias("left"), F.col("y0").alias("up"))
+    idx, i = F.col("idx"), F.col("i")
+    high = F.when((idx * 7 + i) % 61 == 0, 60).otherwise(1 + (idx * 5 + i * 3) % 13 + F.when(F.floor(idx / 40) % 3 == 0, 7).otherwise(0))
+    rows = rows.select("page_id", (F.col("left") + 7 * i).alias("x0"), (F.col("up") + (idx * 3 + i) % 4).alias("y0"), (1 + (idx + i) % 6).alias("w"), high.alias("h"))
+    size = F.col("w") * F.col("h")
+    return rows.select("page_id", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("h")).alias("y1"), (size - F.floor(size / 4)).cast("int").alias("pixels"))
+
+
 def line_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document in lines of ten, of differing heights, widths and places: page_id, idx, letters and an integer box.
 
@@ -230,9 +242,9 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trials of configurations: config_id, family, pps, memory, exact, parity."""
+    """Trials of configurations, fifty of a family, so that families grow in number with the table: config_id, family, pps, memory, exact, parity."""
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(k.alias("config_id"), (k % 12).alias("family"), (F.lit(1) + k * 37 % 400 / 100).alias("pps"), (1000 + k * 91 % 3000).alias("memory"), (900 + k * 17 % 60).alias("exact"), (k % 7 != 0).alias("parity"))
+    return table(spark, sf_dir, "part").select(k.alias("config_id"), (k % 12 + 12 * F.floor(k / 600)).alias("family"), (F.lit(1) + k * 37 % 400 / 100).alias("pps"), (1000 + k * 91 % 3000).alias("memory"), (900 + k * 17 % 60).alias("exact"), (k % 7 != 0).alias("parity"))
 
 
 #: Each relation as SQL over the driver's tables and the views before it.
@@ -247,6 +259,11 @@ DERIVED_SQL = {
              x1 + (page_id * 7 + idx * 3) % 9 - 4 + CASE WHEN idx % 37 = 0 THEN 60 ELSE 0 END + copy AS x1, CAST(y1 + (page_id * 5 + idx * 7) % 13 - 6 + idx * 11 % 7 - 3 + copy AS INTEGER) AS y1,
              ((page_id * 13 + idx * 17) % 100) / 100.0::DOUBLE AS objectness
       FROM (SELECT *, unnest(CASE WHEN idx % 29 = 0 THEN [0, 1] ELSE [0] END) AS copy FROM truth_words WHERE (page_id * 31 + idx) % 13 <> 0)""",
+    "glyph_parts": """
+      SELECT page_id, x0, y0, x0 + w AS x1, y0 + h AS y1, w * h - w * h // 4 AS pixels FROM (
+        SELECT page_id, x0 + 7 * i AS x0, y0 + (idx * 3 + i) % 4 AS y0, 1 + (idx + i) % 6 AS w,
+               CASE WHEN (idx * 7 + i) % 61 = 0 THEN 60 ELSE 1 + (idx * 5 + i * 3) % 13 + CASE WHEN idx // 40 % 3 = 0 THEN 7 ELSE 0 END END AS h
+        FROM (SELECT page_id, idx, x0, y0, CAST(unnest(range(least(length(text), 13))) AS INTEGER) AS i FROM truth_words))""",
     "line_words": r"""
       SELECT page_id, idx, letters, x0, y0, x0 + CASE WHEN upright THEN 9 + idx * 7 % 5 ELSE 4 + 6 * least(letters, 12) END AS x1,
              y0 + CASE WHEN upright THEN 6 + 4 * least(letters, 8) ELSE 8 + idx * 7 % 17 END AS y1, line
@@ -280,10 +297,10 @@ DERIVED_SQL = {
         SELECT conv_id AS run, turn AS sequence, conv_id || '-' || turn AS id, text, unnest(CASE WHEN (conv_id + turn * 3) % 23 = 4 THEN [1, 2] ELSE [1] END) AS copy
         FROM conversations WHERE (conv_id * 5 + turn) % 19 <> 7)""",
     "trials": """
-      SELECT p_partkey AS config_id, p_partkey % 12 AS family, 1 + (p_partkey * 37 % 400) / 100.0::DOUBLE AS pps, 1000 + p_partkey * 91 % 3000 AS memory, 900 + p_partkey * 17 % 60 AS exact,
+      SELECT p_partkey AS config_id, p_partkey % 12 + 12 * (p_partkey // 600) AS family, 1 + (p_partkey * 37 % 400) / 100.0::DOUBLE AS pps, 1000 + p_partkey * 91 % 3000 AS memory, 900 + p_partkey * 17 % 60 AS exact,
              p_partkey % 7 <> 0 AS parity FROM part""",
 }
-_NEEDS = {"pred_words": ["truth_words"], "page_dims": ["truth_words"], "prob_map": ["rectangles"], "rgb_pixels": ["rectangles", "prob_map"]}
+_NEEDS = {"pred_words": ["truth_words"], "glyph_parts": ["truth_words"], "page_dims": ["truth_words"], "prob_map": ["rectangles"], "rgb_pixels": ["rectangles", "prob_map"]}
 
 
 def with_views(*names: str, body: str) -> str:
