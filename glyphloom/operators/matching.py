@@ -8,7 +8,7 @@ size is so spread over tasks.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from glyphloom.functions.geometry import CORNERS, area, intersection, iou
 from glyphloom.functions.quads import boxed, quad_iou
+from glyphloom.operators.graphs import components
+from glyphloom.sources.shared import written
 
 #: Width and height of a cell: a line of words is wide and low.
 CELL = (256, 32)
@@ -166,38 +168,45 @@ def _optimal(gain: np.ndarray) -> list[int]:
     return out
 
 
-def _parts(left: list[int], right: list[int]) -> list[list[int]]:
-    """Rows of pairs by connected part, so that a kernel sees a few boxes at a time."""
-    parent: dict[tuple[str, int], tuple[str, int]] = {}
-
-    def find(x: tuple[str, int]) -> tuple[str, int]:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in zip(left, right, strict=True):
-        parent[find(("l", a))] = find(("r", b))
-    found: dict[tuple[str, int], list[int]] = {}
-    for i, a in enumerate(left):
-        found.setdefault(find(("l", a)), []).append(i)
-    return list(found.values())
-
-
-def _per_page(pairs: DataFrame, choose: Callable[[list[tuple[int, int, float]]], set[tuple[int, int]]]) -> DataFrame:
-    """Pairs that `choose` picks of the pairs (l_idx, r_idx, iou) of each connected part of a page."""
-    schema = pairs.select("page_id", "l_idx", "r_idx", "iou").schema
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, value = (rows[c].tolist() for c in ("l_idx", "r_idx", "iou"))
-        taken = np.zeros(len(rows), bool)
-        for part in _parts(left, right):
-            chosen = choose([(left[i], right[i], value[i]) for i in part]) if len(part) > 1 else {(left[part[0]], right[part[0]])}
-            for i in part:
-                taken[i] = (left[i], right[i]) in chosen
-        return rows[taken]
-
-    return pairs.select(*schema.names).groupBy("page_id").applyInPandas(run, schema)
+def _per_part(pairs: DataFrame, choose: Callable[[list[tuple[int, int, float]]], set[tuple[int, int]]]) -> DataFrame:
+    """Pairs that `choose` picks of the pairs (l_idx, r_idx, iou) of each connected part of a page.
+
+    A pair whose boxes meet no other is picked where it is. Of the others parts are found by stars over all pages, and a task
+    reads its parts in order, holding one at a time: a page is spread over tasks like any other rows."""
+    node = lambda side: F.xxhash64("page_id", F.lit(side), side + "_idx")
+    names = ["page_id", "l_idx", "r_idx", "iou"]
+    counted = pairs.select(*names, node("l").alias("a"), node("r").alias("b"))
+    for side in ("a", "b"):
+        counted = counted.withColumn("n_" + side, F.count("*").over(Window.partitionBy(side)))
+    rows = written(counted.select(*names, "a", "b", ((F.col("n_a") == 1) & (F.col("n_b") == 1)).alias("lone")), "pairs")
+    rest = rows.where("not lone")
+    roots = components(rest.select("a", "b")).select(F.col("node").alias("a"), "root")
+    parted = rest.join(roots, "a", "left").select(*names, F.coalesce("root", "a").alias("part"))
+    parted = parted.repartition("part", "page_id").sortWithinPartitions("part", "page_id", "l_idx", "r_idx")
+    schema = rest.select(*names).schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at: tuple[int, int] | None = None
+        held: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int, int, float]] = []
+
+        def pick() -> None:
+            chosen = choose(held) if held else set()
+            found.extend((at[1], i, j, v) for i, j, v in held if (i, j) in chosen)
+            held.clear()
+
+        for batch in batches:
+            for part, page, i, j, v in zip(*(batch[c].tolist() for c in ("part", *names)), strict=True):
+                if (part, page) != at:
+                    pick()
+                    at = (part, page)
+                held.append((i, j, v))
+            yield pd.DataFrame(found, columns=names)
+            found.clear()
+        pick()
+        yield pd.DataFrame(found, columns=names)
+
+    return rows.where("lone").select(*names).unionByName(parted.mapInPandas(run, schema))
 
 
 def maximum_matching(pairs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -212,7 +221,7 @@ def maximum_matching(pairs: DataFrame, least: float = 0.5) -> DataFrame:
             edges[rows[a]].append(at[b])
         return {(left[i], right[j]) for i, j in enumerate(_maximum(edges, len(right))) if j >= 0}
 
-    return _per_page(pairs.where(F.col("iou") >= least), choose)
+    return _per_part(pairs.where(F.col("iou") >= least), choose)
 
 
 def optimal_assignment(pairs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -227,4 +236,4 @@ def optimal_assignment(pairs: DataFrame, least: float = 0.5) -> DataFrame:
             return {(left[i], right[j]) for j, i in enumerate(_optimal(gain.T)) if i >= 0}
         return {(left[i], right[j]) for i, j in enumerate(_optimal(gain)) if j >= 0}
 
-    return _per_page(pairs, choose).where(F.col("iou") >= least)
+    return _per_part(pairs, choose).where(F.col("iou") >= least)

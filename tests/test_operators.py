@@ -460,3 +460,66 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     whole = spark.readStream.schema(got.schema).parquet(str(tmp_path / "a" / "rows"))
     ordered = streams.run_to_end(streams.in_order(whole), str(tmp_path / "b"))
     assert sorted((r.run, r.sequence) for r in ordered.collect()) == [(r, s) for r in range(3) for s in range(7 if r == 1 else 20)]
+
+
+def test_matchings_of_parts(spark):
+    """Long chains, parts over several batches, lone pairs and equal numbers on different pages; a plain search over each page agrees."""
+    rng = random.Random(4)
+    rows = []
+    for page in range(6):
+        for k in range(9):
+            rows += [(page, k, k, round(rng.uniform(0.3, 0.9), 3)), (page, k, k + 1, round(rng.uniform(0.3, 0.9), 3))]
+        rows += [(page, 100 + k, 100 + k, 0.7) for k in range(4)]
+    pairs = spark.createDataFrame(rows, "page_id long, l_idx int, r_idx int, iou double").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        most = matching.maximum_matching(pairs, 0.5).collect()
+        best = matching.optimal_assignment(pairs, 0.0).collect()
+        none = matching.maximum_matching(pairs.limit(0)).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert none == 0
+    for page in range(6):
+        mine = {(a, b): v for p, a, b, v in rows if p == page}
+
+        def search(k, used, mine, least):
+            if k == 9:
+                return 0, 0.0
+            options = [search(k + 1, used, mine, least)]
+            for j in (k, k + 1):
+                if j not in used and mine[k, j] >= least:
+                    n, total = search(k + 1, used | {j}, mine, least)
+                    options.append((n + 1, total + mine[k, j]))
+            return max(o[0] for o in options), max(o[1] for o in options)
+
+        got = [(r.l_idx, r.r_idx) for r in most if r.page_id == page]
+        assert len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == search(0, frozenset(), mine, 0.5)[0] + 4
+        assert sum(r.iou for r in best if r.page_id == page) == pytest.approx(search(0, frozenset(), mine, 0.0)[1] + 4 * 0.7)
+
+
+def test_peers_of_both_directions(spark):
+    rng = random.Random(9)
+    boxes = []
+    for i in range(140):
+        x, y = rng.randint(-40, 500), rng.randint(-20, 260)
+        boxes.append((i % 2, i, x, y, x + rng.randint(0, 60), y + rng.randint(0, 45)))
+    boxes += [(0, 900, 10, 10, 50, 22), (0, 901, 10, 10, 50, 22), (0, 902, None, 10, 50, 22)]
+    df = spark.createDataFrame(boxes, "page_id long, idx long, x0 int, y0 int, x1 int, y1 int")
+    found = {(r.page_id, r.idx): (r.beside, r.top, r.bottom, r.above) for r in lines.around(df).collect()}
+    want = {}
+    solid = [b for b in boxes if b[2] is not None]
+    for p, i, *a in solid:
+        sides = {False: [], True: []}
+        for q, j, *b in solid:
+            for turned in sides:
+                (u0, v0, u1, v1), (c0, d0, c1, d1) = [(z[1], z[0], z[3], z[2]) if turned else z for z in (a, b)]
+                long, near, thin, thick = lines.DOWN if turned else lines.ACROSS
+                t = d1 - d0
+                if p == q and i != j and t > 0 and c1 - c0 >= long * t and abs(v0 + v1 - d0 - d1) / 2 < near * t and abs(u0 + u1 - c0 - c1) / 2 < 6 * t and thin < (v1 - v0) / t < thick:
+                    sides[turned].append(b)
+        line, n = sides[False], len(sides[False])
+        if n or sides[True]:
+            want[p, i] = (n, sorted(b[1] for b in line)[n // 2] if n else None, sorted(b[3] for b in line)[n // 2] if n else None, len(sides[True]))
+    assert found == want and any(w[3] for w in want.values()) and any(w[0] > 1 for w in want.values())
+    assert lines.around(df.limit(0)).count() == 0
+    assert lines.peers(df).count() == sum(w[0] for w in want.values()) and lines.peers(df, vertical=True).count() == sum(w[3] for w in want.values())
