@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -17,6 +18,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from glyphloom.llm import _shared, chat_format, decontamination, forest, line_dedup, mixing, quality_rules, secret_scan, simhash, token_counts, toxicity, url_filter
+from glyphloom.llm._ragged import Powers, chunks
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, text_key long, _id long"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -200,6 +202,62 @@ def test_toxicity_reruns_agree_where_ids_repeat(spark):
     assert toxicity.judged(docs.limit(0), labels).count() == 0
 
 
+def labelled_texts(n, bad):
+    rng = random.Random(21)
+    rows = [(i, [rng.choice(VOCABULARY) for _ in range(rng.randint(1, 40))], int(rng.random() < 0.2)) for i in range(n)]
+    return [(i, " ".join([*words, rng.choice(bad)] if toxic else words), toxic) for i, words, toxic in rows]
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    rows = labelled_texts(900, [f"b{chr(97 + i % 26)}{i * 7919}" for i in range(40)])
+    docs = documents(spark, [r[1] for r in rows])
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    runs = [{r.doc_id: r for r in toxicity.judged(d, labels, 150).collect()} for d in (docs, docs.repartition(7))]
+    assert runs[0] == runs[1]
+    trained = [runs[0][i] for i, _, t in rows if t and not runs[0][i].held_out]
+    assert np.mean([r.predicted for r in trained]) > 0.8 < np.mean([r.flagged for r in trained])
+    assert np.mean([runs[0][i].predicted for i, _, t in rows if not t]) < 0.05
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    rows = labelled_texts(300, ["idiot"])
+    docs = documents(spark, [r[1] for r in rows])
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    examples, sizes = toxicity.labelled(docs.union(docs.limit(20)), labels, 50)
+    used = [(text, t) for i, text, t in rows if zlib.crc32(str(i).encode()) % 5]
+    assert sum(r[1] for r in sizes) == examples.count() == len(used) and examples.rdd.getNumPartitions() == -(-len(used) // 50)
+    want, powers = np.zeros((2, toxicity.BUCKETS), int), Powers()
+    for text, t in used:
+        (chunk,) = chunks(pa.array([text]))
+        found = np.unique(toxicity.word_ids(chunk, powers)[0]) - 1
+        want[0, found] += 1
+        want[1, found] += t
+    assert (toxicity._counts(examples).sum(axis=0) == want).all()
+
+
+def test_long_texts_are_read_in_pieces(monkeypatch):
+    rng = np.random.default_rng(6)
+    m = toxicity.started(rng.normal(size=toxicity.BUCKETS + 1), 0.3)
+    texts = [rng.integers(1, 200, (k, 3)) for k in (0, 1, 2, 5, 40, 7, 0)]
+    whole = toxicity.strongest(m, texts)
+    for most in (1, 2, 3, 8):
+        for a, b in zip(whole, toxicity.strongest(m, texts, most), strict=True):
+            assert a == pytest.approx(b)
+    (chunk,) = chunks(pa.array(["one Two, three-fourteen é " * 20 + "z" * 70 + " end"]))
+    want = toxicity.word_ids(chunk, Powers())
+    monkeypatch.setattr(toxicity, "CHUNK", 16)
+    assert all((a == b).all() for a, b in zip(want, toxicity.word_ids(chunk, Powers()), strict=True))
+
+
+def test_thresholds_are_those_of_a_list(spark):
+    rng = np.random.default_rng(8)
+    rows = [(lang, float(np.round(np.clip(rng.normal(0.3 + 0.3 * y, 0.2), 0, 1), digits)), y) for lang, n, digits in (("a", 400, 9), ("b", 300, 2), ("", 50, 4), ("few", 6, 3)) for y in (rng.random(n) < 0.4).astype(int).tolist()]
+    got = dict(map(tuple, toxicity.thresholds(spark.createDataFrame(rows, "lang string, score double, hit int")).collect()))
+    for lang in {r[0] for r in rows}:
+        score, y = (np.array(x, float) for x in zip(*[r[1:] for r in rows if r[0] == lang], strict=True))
+        assert got.get(lang, 0.5) == pytest.approx(toxicity.best_threshold(score, y), abs=1e-12)
+
+
 # 4
 
 
