@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -35,14 +34,16 @@ GROUP_BYTES = 32 << 20
 #: Passes over the labelled rows; more where they are fewer than MOST_PASSES groups.
 PASSES = 3
 MOST_PASSES = 6
-#: Texts of a step, and words that are worked on at once.
+#: Texts of a step, words that are worked on at once, and places whose answers stay in a core's cache.
 BATCH = 24
 PIECE = 1 << 16
+PLACES = 1 << 10
 #: Numbers of a block of sums, and what steps are rounded to.
 BLOCK = 1 << 14
 UNIT = 1 << 22
 #: Labels of either kind that a language's threshold needs.
 LEAST = 5
+#: A power of two.
 BUCKETS = 1 << 17
 PREFIXES = (4, 7)
 #: Documents that a bucket's share of toxic ones is drawn to the mean by.
@@ -66,9 +67,11 @@ class Model:
         """The score of each text; texts lie one after the other as rows of the embedding, some for each word."""
         if not len(sizes):
             return np.zeros(0)
-        ids, starts = padded(rows, sizes)
-        answers = convolved(sum(self.embedding[k] for k in ids.T), self.filters)
-        return self.pooled_score(pooled(answers, starts, sizes))
+        return self.pooled_score(pooled(self, *padded(rows, sizes), sizes))
+
+    def answers(self, ids: np.ndarray) -> np.ndarray:
+        """What the filters answer at each place of padded rows where the widest fits."""
+        return convolved(sum(self.embedding.take(k, axis=0, mode="clip") for k in ids), self.filters)
 
     def pooled_score(self, top: np.ndarray) -> np.ndarray:
         pool = np.maximum(top + self.bias, 0)
@@ -78,28 +81,50 @@ class Model:
 
 def word_rows(mapped: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
     """For each word the rows of the embedding that make up its own."""
-    stops = (ends, *(np.minimum(starts + k, ends) for k in PREFIXES))
-    hashes = np.stack([mixed(powers.spans(mapped, starts, e) + np.uint64(i)) for i, e in enumerate(stops)], axis=1)
-    return (hashes % np.uint64(BUCKETS)).astype(np.int64) + 1
+    sums, rows = powers.sums(mapped), np.empty((1 + len(PREFIXES), len(starts)), np.int32)
+    for i, stops in enumerate((ends, *(np.minimum(starts + k, ends) for k in PREFIXES))):
+        rows[i] = mixed(powers.between(sums, starts, stops) + np.uint64(i)) & np.uint64(BUCKETS - 1)
+    rows += 1
+    return rows.T
 
 
 def padded(rows: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows with PAD zero rows after each text, and where the texts start."""
-    out = np.zeros((len(rows) + PAD * len(sizes), rows.shape[1]), np.int64)
-    out[np.arange(len(rows)) + PAD * np.repeat(np.arange(len(sizes)), sizes)] = rows
+    """Rows with PAD zero rows after each text, turned so that each word is a column, and where the texts start."""
+    out = np.zeros((rows.shape[1], len(rows) + PAD * len(sizes)), np.int32)
+    at = np.arange(len(rows)) + PAD * np.repeat(np.arange(len(sizes)), sizes)
+    for into, k in zip(out, rows.T, strict=True):
+        into[at] = k
     return out, np.cumsum(sizes + PAD) - sizes - PAD
 
 
 def convolved(vectors: np.ndarray, filters: list[np.ndarray]) -> np.ndarray:
-    """The answers of all filters at each place where the widest fits; filters of a width stand together."""
+    """The answers of each filter, a row, at each place where the widest fits; filters of a width stand together."""
     n = len(vectors) - max(map(len, filters)) + 1
-    return np.concatenate([sum(vectors[j : n + j] @ w[j] for j in range(len(w))) for w in filters], axis=1)
+    parts = np.concatenate([x.T for w in filters for x in w]) @ vectors.T
+    out = np.empty((sum(w.shape[2] for w in filters), n))
+    done = at = 0
+    for w in filters:
+        own = out[at : at + w.shape[2]]
+        for j in range(len(w)):
+            part = parts[done : done + len(own), j : n + j]
+            own[:] = own + part if j else part
+            done += len(own)
+        at += len(own)
+    return out
 
 
-def pooled(answers: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def pooled(m: Model, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The largest answer of each filter at the places of each text's own words; an empty text has one place."""
-    bounds = np.stack([starts, starts + np.maximum(sizes, 1)], axis=1).ravel()
-    return np.maximum.reduceat(answers, bounds, axis=0)[::2]
+    wide = max(map(len, m.filters))
+    places, ends = ids.shape[1] - wide + 1, starts + np.maximum(sizes, 1)
+    cuts = np.unique(np.concatenate([starts, ends, np.arange(0, places, PLACES)]))
+    tops = []
+    for lo in range(0, places, PLACES):
+        first, last = np.searchsorted(cuts, (lo, lo + PLACES))
+        tops.append(np.maximum.reduceat(m.answers(ids[:, lo : lo + PLACES + wide - 1]), cuts[first:last] - lo, axis=1))
+    owner = np.searchsorted(starts, cuts, "right") - 1
+    own = np.flatnonzero(cuts < ends[owner])
+    return np.maximum.reduceat(np.concatenate(tops, axis=1)[:, own], np.searchsorted(owner[own], np.arange(len(starts))), axis=1).T
 
 
 class _Adam:
@@ -113,29 +138,30 @@ class _Adam:
         rate = self.rate * np.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
         for i, (x, g, m, v) in enumerate(zip(self.values, grads, self.m, self.v, strict=True)):
             at = slice(None) if i else rows
-            m[at] += 0.1 * (g - m[at])
-            v[at] += 0.001 * (g * g - v[at])
-            x[at] -= rate * m[at] / (np.sqrt(v[at]) + 1e-8)
+            mean, square = m[at], v[at]
+            mean = mean + 0.1 * (g - mean)
+            square = square + 0.001 * (g * g - square)
+            m[at], v[at] = mean, square
+            x[at] -= rate * mean / (np.sqrt(square) + 1e-8)
 
 
 def strongest(model: Model, texts: list[np.ndarray], most: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
     """For each text and filter the largest answer, and the rows of the embedding in its window; rows beyond the filter's width are zero.
     Texts are read in pieces of so many words, so that a long one takes no more room."""
-    wide = max(WIDTHS)
+    wide, filters = max(WIDTHS), np.arange(len(model.bias))
     cuts = [(i, lo, min(lo + most, len(t))) for i, t in enumerate(texts) for lo in range(0, max(len(t), 1), most)]
-    top, windows = np.full((len(texts), len(model.bias)), -np.inf), np.zeros((len(texts), len(model.bias), wide, 1 + len(PREFIXES)), np.int64)
+    top, windows = np.full((len(texts), len(filters)), -np.inf), np.zeros((len(texts), len(filters), wide, 1 + len(PREFIXES)), np.int64)
     ends = np.cumsum([0, *(hi - lo for _, lo, hi in cuts)])
-    for first, last in _runs(ends, most):
+    for first, last in _runs(ends, most):  # a text has no two pieces in a run
         some = cuts[first:last]
         rows = [texts[i][lo : hi + wide - 1] for i, lo, hi in some]
         ids, starts = padded(np.concatenate(rows), np.array([len(r) for r in rows]))
-        answers = convolved(sum(model.embedding[k] for k in ids.T), model.filters)
-        for (i, lo, hi), s in zip(some, starts, strict=True):
-            part = answers[s : s + max(hi - lo, 1)]
-            at = part.argmax(axis=0)
-            value = part[at, np.arange(len(at))]
-            more = value > top[i]
-            top[i, more], windows[i, more] = value[more], ids[(s + at)[more, None] + np.arange(wide)]
+        answers = np.concatenate([model.answers(ids[:, k : k + PLACES + wide - 1]) for k in range(0, ids.shape[1] - wide + 1, PLACES)], axis=1)
+        at = np.stack([s + answers[:, s : s + max(hi - lo, 1)].argmax(axis=1) for (_, lo, hi), s in zip(some, starts, strict=True)])
+        value, of = answers[filters, at], np.array([i for i, _, _ in some])
+        text, own = np.nonzero(value > top[of])
+        top[of[text], own] = value[text, own]
+        windows[of[text], own] = np.moveaxis(ids[:, at[text, own][:, None] + np.arange(wide)], 0, 2)
     for k, w in enumerate(WIDTHS):
         windows[:, FILTERS * k : FILTERS * (k + 1), w:] = 0
     return top, windows
@@ -199,7 +225,7 @@ class Trainer:
             d_vectors[:, own, : len(w)] = np.einsum("bf,jdf->bfjd", g, w)
             d_filters.append(np.einsum("bfjd,bf->jdf", vectors[:, own, : len(w)], g) + 1e-4 * w)
         for k in np.moveaxis(at, 3, 0):
-            np.add.at(d_known, k.ravel(), d_vectors.reshape(-1, DIMENSIONS))
+            d_known += np.bincount((DIMENSIONS * k[..., None] + np.arange(DIMENSIONS)).ravel(), d_vectors.ravel(), d_known.size).reshape(d_known.shape)
         d_known[used == 0] = 0
         self.adam.step([d_known, *d_filters, d_pool.sum(0), (pool * kept / 0.8).T @ wrong + 1e-4 * m.weights, np.array([wrong.sum()])], used)
         m.offset = float(self.offset[0])
@@ -225,7 +251,7 @@ def word_ids(c: Chunk, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """The rows of the words of a chunk's texts, and how many words each has. A long text is read in parts that end between words."""
     if len(c) > 1 or len(c.data) <= 2 * CHUNK:
         mapped, starts, ends, bounds = c.words(ALNUM_LOWER)
-        return word_rows(mapped, starts, ends, powers).astype(np.int32), np.diff(bounds)
+        return word_rows(mapped, starts, ends, powers), np.diff(bounds)
     parts, lo = [], 0
     while lo < len(c.data):
         hi = min(lo + CHUNK, len(c.data))
@@ -233,7 +259,7 @@ def word_ids(c: Chunk, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
             stops = np.flatnonzero(ALNUM_LOWER[c.data[hi : hi + CHUNK]] == 0)
             hi = hi + int(stops[0]) + 1 if len(stops) else min(hi + CHUNK, len(c.data))
         mapped, starts, ends, _ = c.part(lo, hi).words(ALNUM_LOWER)
-        parts.append(word_rows(mapped, starts, ends, powers).astype(np.int32))
+        parts.append(word_rows(mapped, starts, ends, powers))
         lo = hi
     rows = np.concatenate(parts)
     return rows, np.array([len(rows)])
@@ -250,6 +276,19 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, i
                 yield text, int(half[i]), float(toxic[i]), lang[i]
 
 
+def _together(examples: Iterator[tuple[np.ndarray, int, float, str]]) -> Iterator[list[tuple[np.ndarray, int, float, str]]]:
+    """Examples of about PIECE words, so that a long text stands alone or last."""
+    some, words = [], 0
+    for r in examples:
+        some.append(r)
+        words += len(r[0]) + PAD
+        if words > PIECE:
+            yield some
+            some, words = [], 0
+    if some:
+        yield some
+
+
 def _blocks(parts: list[np.ndarray]) -> pa.RecordBatch:
     """Whole numbers of each part cut into blocks; those of zeros are left out."""
     kept = [(p, k, v[at : at + BLOCK].astype(np.int32)) for p, v in enumerate(parts) for k, at in enumerate(range(0, len(v), BLOCK)) if v[at : at + BLOCK].any()]
@@ -347,9 +386,14 @@ def _passed(examples: DataFrame, models: list[Model], number: int) -> list[Model
     return [_moved(m, *sums[k]) if k in sums else m for k, m in enumerate(models)]
 
 
+def score_bin(score: Column) -> Column:
+    """One of some 2,000 bins that rise with the score; by log odds, since most scores are near 0 or 1."""
+    return F.floor(50 * F.log(F.greatest(score, F.lit(1e-9)) / F.greatest(1 - score, F.lit(1e-9))))
+
+
 def thresholds(scores: DataFrame) -> DataFrame:
     """lang and threshold, as best_threshold has it, of each language with `least` labels of either kind; scores has lang, score, hit (0 or 1)."""
-    found = scores.groupBy("lang", "score").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).withColumn("bin", F.floor(F.col("score") * 1000))
+    found = scores.groupBy("lang", "score").agg(F.count("*").alias("n"), F.sum("hit").alias("hits")).withColumn("bin", score_bin(F.col("score")))
     found = checkpoint(found)
     above = Window.partitionBy("lang").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("lang")
@@ -359,8 +403,8 @@ def thresholds(scores: DataFrame) -> DataFrame:
     inside = Window.partitionBy("lang", "bin").orderBy(F.desc("score"))
     at = found.join(bins, ["lang", "bin"]).where(F.least("toxic", F.col("rows") - F.col("toxic")) >= LEAST)
     at = at.withColumn("f1", 2 * (F.col("bad_above") + F.sum("hits").over(inside)) / (F.col("n_above") + F.sum("n").over(inside) + F.col("toxic")))
-    best = at.groupBy("lang").agg(F.max(F.struct("f1", "score")).alias("b")).select("lang", F.col("b.score").alias("best"))
-    below = found.join(best, "lang").where("score <= best").groupBy("lang", "best").agg(F.max(F.when(F.col("score") < F.col("best"), F.col("score"))).alias("next"))
+    best = checkpoint(at.groupBy("lang").agg(F.max(F.struct("f1", "score")).alias("b")).select("lang", F.col("b.score").alias("best")))
+    below = found.join(F.broadcast(best) if small(best) else best, "lang").where("score <= best").groupBy("lang", "best").agg(F.max(F.when(F.col("score") < F.col("best"), F.col("score"))).alias("next"))
     return checkpoint(below.select("lang", ((F.col("best") + F.coalesce("next", "best")) / 2).alias("threshold")))
 
 
@@ -396,8 +440,12 @@ def fit(documents: DataFrame, labels: DataFrame, group_rows: int = GROUP_ROWS) -
     shared = examples.sparkSession.sparkContext.broadcast(models[1:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in batched(_examples(batches), 1000):
-            scores = [shared.value[1 - half].pooled_score(strongest(shared.value[1 - half], [text])[0])[0] for text, half, _, _ in some]
+        for some in _together(_examples(batches)):
+            scores, half = np.zeros(len(some)), np.array([r[1] for r in some])
+            for k, m in enumerate(shared.value):
+                others = [some[i][0] for i in np.flatnonzero(half != k)]
+                if others:
+                    scores[half != k] = m.score(np.concatenate(others), np.array([len(t) for t in others]))
             yield pa.RecordBatch.from_pydict({"lang": [r[3] for r in some], "score": scores, "hit": pa.array([int(r[2] > 0) for r in some], pa.int32())})
 
     return models[0], thresholds(examples.mapInArrow(run, "lang string, score double, hit int"))
@@ -412,8 +460,7 @@ def scored(documents: DataFrame, m: Model) -> DataFrame:
         for b in batches:
             out = np.zeros(b.num_rows)
             for c in chunks(b.column(2)):
-                mapped, starts, ends, bounds = c.words(ALNUM_LOWER)
-                out[c.rows] = model.score(word_rows(mapped, starts, ends, powers), np.diff(bounds))
+                out[c.rows] = model.score(*word_ids(c, powers))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], names=["doc_id", "lang", "score"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()

@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -249,6 +250,36 @@ def test_long_texts_are_read_in_pieces(monkeypatch):
     assert all((a == b).all() for a, b in zip(want, toxicity.word_ids(chunk, Powers()), strict=True))
 
 
+def test_scores_agree_whatever_the_block(monkeypatch):
+    rng = np.random.default_rng(9)
+    m = toxicity.started(rng.normal(size=toxicity.BUCKETS + 1), 0.3)
+    texts = [rng.integers(1, 200, (k, 3)) for k in (0, 4, 1, 0, 2, 33, 7, 0)]
+    args = np.concatenate(texts), np.array([len(t) for t in texts])
+    want, (top, windows) = m.score(*args), toxicity.strongest(m, texts)
+    for places in (1, 2, 3, 8):
+        monkeypatch.setattr(toxicity, "PLACES", places)
+        assert (m.score(*args) == want).all()
+        assert toxicity.strongest(m, texts)[0] == pytest.approx(top) and (toxicity.strongest(m, texts)[1] == windows).all()
+
+
+def test_scoring_needs_little_room_beside_the_words():
+    rng = np.random.default_rng(10)
+    m = toxicity.started(rng.normal(size=toxicity.BUCKETS + 1), 0.3)
+    rows = rng.integers(1, toxicity.BUCKETS, (200_000, 3)).astype(np.int32)
+    tracemalloc.start()
+    m.score(rows, np.full(500, 400))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 * len(rows)
+
+
+def test_bins_of_scores_are_small(spark):
+    rng = np.random.default_rng(11)
+    scores = np.sort(np.append(np.round(1 / (1 + np.exp(-rng.normal(-8, 1.5, 5000))), 9), [0.0, 1.0]))
+    bins = [r[0] for r in spark.createDataFrame([(float(x),) for x in scores], "score double").select(toxicity.score_bin(F.col("score"))).collect()]
+    assert bins == sorted(bins) and max(np.unique(bins, return_counts=True)[1]) < 100
+
+
 def test_thresholds_are_those_of_a_list(spark):
     rng = np.random.default_rng(8)
     rows = [(lang, float(np.round(np.clip(rng.normal(0.3 + 0.3 * y, 0.2), 0, 1), digits)), y) for lang, n, digits in (("a", 400, 9), ("b", 300, 2), ("", 50, 4), ("few", 6, 3)) for y in (rng.random(n) < 0.4).astype(int).tolist()]
