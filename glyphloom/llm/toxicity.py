@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphloom.llm._ragged import ALNUM_LOWER, CHUNK, Chunk, Powers, chunks, mixed
-from glyphloom.llm._shared import checkpoint, small, table
+from glyphloom.llm._shared import checkpoint, likely_among, small, table
 
 #: Labelled rows, and bytes of their texts, that a task trains on between two averages.
 GROUP_ROWS = 4_000
@@ -412,11 +412,12 @@ def labelled(documents: DataFrame, labels: DataFrame, group_rows: int = GROUP_RO
     """All labelled texts that are not held out, one group of rows a partition, in an order by hash; and their number, bytes and labels by half."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marked = checkpoint(marked.where(remainder(F.col("doc_id")) != 0))
-    texts = documents.where(remainder(F.col("doc_id")) != 0).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"))
-    found = texts.join(F.broadcast(marked) if small(marked) else marked, "doc_id").withColumn("key", F.xxhash64("text"))
+    # Hashes and bytes are taken before the join, so that sizes need no texts there.
+    texts = documents.where(remainder(F.col("doc_id")) != 0).select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("lang"), F.xxhash64("text").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"))
+    found = texts.join(F.broadcast(marked), "doc_id") if small(marked) else likely_among(texts, marked, "doc_id").join(marked, "doc_id")
     found = found.withColumn("half", F.pmod(F.xxhash64("key", "doc_id"), F.lit(2)).cast("int"))
     keys = ["doc_id", "key", "lang"]
-    sizes = found.select(*keys, "half", "toxic", F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes")).distinct().groupBy("half").agg(F.count("*"), F.count_if(F.col("toxic") > 0), F.sum("bytes")).collect()
+    sizes = found.select(*keys, "half", "toxic", "bytes").distinct().groupBy("half").agg(F.count("*"), F.count_if(F.col("toxic") > 0), F.sum("bytes")).collect()
     groups = max(1, -(-sum(r[1] for r in sizes) // group_rows), -(-sum(r[3] for r in sizes) // group_bytes))
     dealt = found.repartition(groups, *keys).dropDuplicates(keys).sortWithinPartitions(F.xxhash64("doc_id", "key"), *keys)
     return checkpoint(dealt.select("text", "half", "toxic", "lang")), sizes

@@ -236,6 +236,20 @@ def test_toxicity_counts_all_labelled_rows(spark):
     assert (toxicity._counts(examples).sum(axis=0) == want).all()
 
 
+def test_few_texts_without_labels_are_dealt_for_the_join(spark, monkeypatch):
+    ids = spark.range(0, 400_000, 3, numPartitions=4).withColumnRenamed("id", "doc_id")
+    rows = spark.range(-60_000, 60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text")).union(spark.createDataFrame([(None, "none")], "doc_id long, text string"))
+    got = [r.doc_id for r in _shared.likely_among(rows, ids, "doc_id").collect()]
+    assert set(range(0, 60_000, 3)) <= set(got) and len(got) == len(set(got)) < 20_000 + 0.15 * 100_000
+    texts = labelled_texts(300, ["idiot"])
+    docs = documents(spark, [r[1] for r in texts])
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in texts[:200]], "doc_id long, quality int, toxic int")
+    want, sizes = toxicity.labelled(docs.union(docs.limit(20)), labels, 50)
+    monkeypatch.setattr(toxicity, "small", lambda rows: False)
+    found, others = toxicity.labelled(docs.union(docs.limit(20)), labels, 50)
+    assert found.collect() == want.collect() and sorted(sizes) == sorted(others)
+
+
 def test_long_texts_are_read_in_pieces(monkeypatch):
     rng = np.random.default_rng(6)
     m = toxicity.started(rng.normal(size=toxicity.BUCKETS + 1), 0.3)
