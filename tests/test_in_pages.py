@@ -17,6 +17,7 @@ QUERIES: list[tuple[str, float]] = [
     ("optimal_assignment", 0.1),
     ("confusion_matrix", 0.1),
     ("conservation_laws", 0.1),
+    ("confusion_top_list", 0.1),
 ]
 
 
