@@ -19,6 +19,7 @@ QUERIES: list[tuple[str, float]] = [
     ("conservation_laws", 0.1),
     ("confusion_top_list", 0.1),
     ("coverage_verification", 0.1),
+    ("detection_summary", 0.1),
 ]
 
 
