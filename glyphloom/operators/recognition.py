@@ -103,15 +103,17 @@ def casefolded(text: Column) -> Column:
     return F.when(text.rlike(r"^[\x00-\x7F]*$"), F.lower(text)).otherwise(run(text))
 
 
-def recognition_score(pairs: DataFrame, truth: str = "l_text", seen: str = "r_text") -> DataFrame:
+def recognition_score(pairs: DataFrame, truth: str = "l_text", seen: str = "r_text", times: str | None = None) -> DataFrame:
     """One row: words, the shares of exact texts and of texts equal but for case, and edits of code points for each of truth's.
 
-    A null text counts as empty; without pairs all shares are 0."""
-    rows = pairs.select(F.coalesce(truth, F.lit("")).alias("t"), F.coalesce(seen, F.lit("")).alias("s"))
+    A null text counts as empty; without pairs all shares are 0. The column `times`, if it is named, says how many pairs a row stands for."""
+    rows = pairs.select(F.coalesce(truth, F.lit("")).alias("t"), F.coalesce(seen, F.lit("")).alias("s"), (F.col(times) if times else F.lit(1)).cast("long").alias("times"))
     rows = rows.withColumn("folded", (F.col("t") == F.col("s")) | (casefolded(F.col("t")) == casefolded(F.col("s"))))
-    n = F.greatest(F.count("*"), F.lit(1))
-    edits, chars = F.coalesce(F.sum(F.levenshtein("t", "s")), F.lit(0)), F.coalesce(F.sum(F.char_length("t")), F.lit(0))
-    return rows.agg(F.count("*").alias("words"), (F.count_if(F.col("t") == F.col("s")) / n).alias("exact"), (F.count_if("folded") / n).alias("case_blind"), (edits / F.greatest(chars, F.lit(1))).alias("cer"))
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0))
+    count = lambda which: total(F.when(which, F.col("times")))
+    n = F.greatest(total("times"), F.lit(1))
+    edits, chars = total(F.levenshtein("t", "s") * F.col("times")), total(F.char_length("t") * F.col("times"))
+    return rows.agg(total("times").alias("words"), (count(F.col("t") == F.col("s")) / n).alias("exact"), (count(F.col("folded")) / n).alias("case_blind"), (edits / F.greatest(chars, F.lit(1))).alias("cer"))
 
 
 def accepted(text: Column, confidence: Column) -> Column:

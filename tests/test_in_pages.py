@@ -30,6 +30,7 @@ QUERIES: list[tuple[str, float]] = [
     ("omission_status", 0.2),
     ("paired_gain_loss", 0.1),
     ("recognition_cer_ascii", 0.1),
+    ("recognition_cer", 0.1),
 ]
 
 
