@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 from glyphloom.sources import derived
 
-QUERIES: list[str] = ["map_stage_trace", "morph_opening"]
+QUERIES: list[str] = ["map_stage_trace", "morph_opening", "skew_scores"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
