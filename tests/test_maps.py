@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 from glyphloom.sources import derived
 
-QUERIES: list[str] = ["map_stage_trace", "morph_opening", "skew_scores"]
+QUERIES: list[str] = ["map_stage_trace", "morph_opening", "skew_scores", "heatmap_fusion"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
