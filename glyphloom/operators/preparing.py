@@ -2,7 +2,8 @@
 
 Pixels lie in packed rows (page_id, y, and an array for each of r, g and b); a region's row is a slice of them. A resize is two weighted
 sums: over the columns of a row, by slices and arrays of weights, then over rows, by a join with the table of weights. Both weights are
-those of a triangle that widens with the scale, so that no pixel is skipped when a page shrinks.
+those of a triangle that widens with the scale, so that no pixel is skipped when a page shrinks. Rows, weights and grids are exploded, so that
+the planner takes them for small: joins are merge joins, none is broadcast.
 
 Regions without pixels, or without an area, have no rows; equal regions of a page need different tiles; a null channel of a pixel counts as 0.
 """
@@ -52,13 +53,13 @@ def fitted(regions: DataFrame, height: int, width: int, symmetric: bool) -> Data
 def resized(rows: DataFrame, regions: DataFrame) -> DataFrame:
     """page_id, tile, y, x and the channels of fitted regions as whole numbers, rounded half to even; sums are held to a millionth,
     so that halves are halves in any order of adding."""
-    cut = rows.join(regions, "page_id").where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
+    cut = rows.hint("merge").join(regions, "page_id").where((F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1")))
     across = cut.withColumn("wx", weights(F.col("w"), F.col("rw")))
     summed = lambda c: F.transform("wx", lambda o: F.aggregate(F.zip_with(F.slice(c, F.col("x0") + o["at"] + 1, F.size(o["w"])), o["w"], lambda v, w: v * w), F.lit(0.0), lambda a, v: a + v)).alias(c)
     across = across.select("page_id", "tile", (F.col("y") - F.col("y0")).alias("s"), *(summed(c) for c in CHANNELS))
     down = regions.select("page_id", "tile", F.posexplode(weights(F.col("h"), F.col("rh"))).alias("y", "o"))
     down = down.select("page_id", "tile", "y", F.col("o.at").alias("at"), F.posexplode("o.w").alias("k", "weight")).withColumn("s", F.col("at") + F.col("k"))
-    met = across.join(down.select("page_id", "tile", "y", "s", "weight"), ["page_id", "tile", "s"])
+    met = across.hint("merge").join(down.select("page_id", "tile", "y", "s", "weight"), ["page_id", "tile", "s"])
     each = met.select("page_id", "tile", "y", "weight", F.posexplode(F.arrays_zip(*CHANNELS)).alias("x", "v"))
     byte = lambda c: F.least(F.greatest(F.rint(F.round(F.sum(F.col("v")[c] * F.col("weight")), 6)), F.lit(0.0)), F.lit(255.0)).cast("int").alias(c)
     return each.groupBy("page_id", "tile", "y", "x").agg(*(byte(c) for c in CHANNELS))
@@ -67,11 +68,11 @@ def resized(rows: DataFrame, regions: DataFrame) -> DataFrame:
 def prepared(rows: DataFrame, regions: DataFrame, height: int, width: int, mean: list[float], std: list[float], symmetric: bool = True) -> DataFrame:
     """page_id, tile, channel, y, x, value: tensors of height x width of the regions, normalised, with black where they don't reach."""
     fits = fitted(regions, height, width, symmetric)
-    seen = resized(rows, fits).join(fits.select("page_id", "tile", "left", "top"), ["page_id", "tile"])
+    seen = resized(rows, fits).hint("merge").join(fits.select("page_id", "tile", "left", "top"), ["page_id", "tile"])
     seen = seen.select("page_id", "tile", (F.col("y") + F.col("top")).cast("int").alias("y"), (F.col("x") + F.col("left")).cast("int").alias("x"), *CHANNELS)
     side = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    grid = fits.join(rows.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "tile", side(height).alias("y")).select("page_id", "tile", "y", side(width).alias("x"))
-    full = grid.join(seen, ["page_id", "tile", "y", "x"], "left")
+    grid = fits.hint("merge").join(rows.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "tile", side(height).alias("y")).select("page_id", "tile", "y", side(width).alias("x"))
+    full = grid.hint("merge").join(seen, ["page_id", "tile", "y", "x"], "left")
     value = lambda i, c: (F.coalesce(F.col(c), F.lit(0)) / 255.0 - mean[i]) / std[i]
     channels = F.array(*(F.struct(F.lit(i).alias("channel"), value(i, c).alias("value")) for i, c in enumerate(CHANNELS)))
     return full.select("page_id", "tile", "y", "x", F.explode(channels).alias("c")).select("page_id", "tile", "c.channel", "y", "x", "c.value")

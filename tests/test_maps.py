@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__
 from glyphloom.sources import derived
 
-QUERIES: list[str] = ["map_stage_trace", "morph_opening", "skew_scores", "heatmap_fusion", "fused_maps"]
+QUERIES: list[str] = ["map_stage_trace", "morph_opening", "skew_scores", "heatmap_fusion", "fused_maps", "prepared_tensors"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
