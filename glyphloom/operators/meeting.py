@@ -27,30 +27,40 @@ def _cells(b: Words, cell: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.
     return box, cx[box] + right, cy[box] + down
 
 
-def overlaps(left: Words, right: Words, cell: tuple[int, int] = CELL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of places in left and right whose boxes have a common area on one page, and that area. As in `matching.overlapping`, a pair is kept in
-    the cell of its common part's first corner alone."""
-    none = np.zeros(0, np.int64)
-    if not len(left) or not len(right):
-        return none, none, none
-    (l, lx, ly), (r, rx, ry) = _cells(left, cell), _cells(right, cell)
-    low_x, low_y = min(lx.min(), rx.min()), min(ly.min(), ry.min())
-    columns = max(lx.max(), rx.max()) - low_x + 1
+Cells = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _same_cell(left: Cells, right: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in left and right, each page, column and line of a cell, that have one cell."""
+    if not len(left[0]) or not len(right[0]):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    low_x, low_y = (min(left[k].min(), right[k].min()) for k in (1, 2))
+    columns = max(left[1].max(), right[1].max()) - low_x + 1
     # Lines of cells are numbered from page to page, so that keys stay small.
-    pages = max(left.page.max(), right.page.max()) + 1
-    lines = np.zeros(pages, np.int64)
-    for page, line in ((left.page[l], ly), (right.page[r], ry)):
-        np.maximum.at(lines, page, line - low_y + 1)
+    lines = np.zeros(max(left[0].max(), right[0].max()) + 1, np.int64)
+    for page, _, y in (left, right):
+        np.maximum.at(lines, page, y - low_y + 1)
     base = np.cumsum(lines) - lines
-    keys = [(base[b.page[i]] + y - low_y) * columns + x - low_x for b, i, x, y in ((left, l, lx, ly), (right, r, rx, ry))]
+    keys = [(base[page] + y - low_y) * columns + x - low_x for page, x, y in (left, right)]
     size = int(lines.sum() * columns)
-    if size > 16 * (len(l) + len(r)):
+    if size > 16 * (len(keys[0]) + len(keys[1])):
         both = np.unique(np.concatenate(keys), return_inverse=True)[1]
-        keys, size = [both[: len(l)], both[len(l) :]], int(both.max()) + 1
+        keys, size = [both[: len(keys[0])], both[len(keys[0]) :]], int(both.max()) + 1
     counts = np.bincount(keys[1], minlength=size)
     order, begins = np.argsort(keys[1]), np.cumsum(counts) - counts
     each, place = _ranges(counts[keys[0]])
-    a, b = l[each], r[order[begins[keys[0]][each] + place]]
+    return each, order[begins[keys[0]][each] + place]
+
+
+def overlaps(left: Words, right: Words, cell: tuple[int, int] = CELL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places in left and right whose boxes have a common area on one page, and that area. As in `matching.overlapping`, a pair is kept in
+    the cell of its common part's first corner alone."""
+    none = np.zeros(0, np.int64)
+    if not len(left) or not len(right):
+        return none, none, none
+    (l, lx, ly), (r, rx, ry) = _cells(left, cell), _cells(right, cell)
+    each, other = _same_cell((left.page[l], lx, ly), (right.page[r], rx, ry))
+    a, b = l[each], r[other]
     x = np.maximum(left.x0[a], right.x0[b])
     across = np.minimum(left.x1[a], right.x1[b]) - x
     met = np.flatnonzero((across > 0) & (x // cell[0] == lx[each]))
@@ -102,3 +112,31 @@ def lost(word: np.ndarray, rival: np.ndarray, place: np.ndarray) -> np.ndarray:
         open_ = ~gone[word] & ~gone[rival]
         word, rival = word[open_], rival[open_]
     return gone
+
+
+def peers(w: Words, vertical: bool, reach: float, limits: tuple[float, float, float, float], cell: tuple[int, int] = (128, 32)) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of a box and a peer of its line, or of its column: `lines.peers`."""
+    (u0, u1), (v0, v1) = ((w.y0, w.y1), (w.x0, w.x1)) if vertical else ((w.x0, w.x1), (w.y0, w.y1))
+    u, v, t = (u0 + u1) / 2, (v0 + v1) / 2, v1 - v0
+    long, near, low, high = limits
+    at = lambda value, k: np.floor(value / cell[k]).astype(np.int64)
+    those = np.flatnonzero((u1 - u0 >= long * t) & (t > 0))
+    first_u, first_v = at(u[those] - reach * t[those], 0), at(v[those] - near * t[those], 1)
+    wide, high_ = at(u[those] + reach * t[those], 0) - first_u + 1, at(v[those] + near * t[those], 1) - first_v + 1
+    box, k = _ranges(wide * high_)
+    down, right = np.divmod(k, wide[box])
+    a, b = _same_cell((w.page, at(u, 0), at(v, 1)), (w.page[those[box]], first_u[box] + right, first_v[box] + down))
+    b = those[box[b]]
+    ratio = t[a] / t[b]
+    met = (w.idx[a] != w.idx[b]) & (np.abs(v[a] - v[b]) < near * t[b]) & (np.abs(u[a] - u[b]) < reach * t[b]) & (ratio > low) & (ratio < high)
+    return a[met], b[met]
+
+
+def upper_median(side: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
+    """Of each of `size` members the upper median of its values, 0 without any; values are whole and no less than -2 ** 20."""
+    out = np.zeros(size, np.int64)
+    order, begins = groups(side, value + (1 << 20))
+    n = np.diff(np.append(begins, len(order)))
+    at = order[begins + n // 2]
+    out[side[at]] = value[at]
+    return out
