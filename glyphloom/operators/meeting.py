@@ -12,7 +12,7 @@ CELL = (128, 32)
 _IDX = 1 << 40
 
 
-def _ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ranges(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of runs of so many: which run each member belongs to, and its place in it."""
     run = np.repeat(np.arange(len(counts)), counts)
     return run, np.arange(len(run)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -22,7 +22,7 @@ def _cells(b: Words, cell: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.
     """A row for each cell that a box covers: the box, and the cell's column and line."""
     cx, cy = b.x0 // cell[0], b.y0 // cell[1]
     wide, high = np.maximum(b.x1 // cell[0] - cx, 0) + 1, np.maximum(b.y1 // cell[1] - cy, 0) + 1
-    box, k = _ranges(wide * high)
+    box, k = ranges(wide * high)
     down, right = np.divmod(k, wide[box])
     return box, cx[box] + right, cy[box] + down
 
@@ -48,7 +48,7 @@ def _same_cell(left: Cells, right: Cells) -> tuple[np.ndarray, np.ndarray]:
         keys, size = [both[: len(keys[0])], both[len(keys[0]) :]], int(both.max()) + 1
     counts = np.bincount(keys[1], minlength=size)
     order, begins = np.argsort(keys[1]), np.cumsum(counts) - counts
-    each, place = _ranges(counts[keys[0]])
+    each, place = ranges(counts[keys[0]])
     return each, order[begins[keys[0]][each] + place]
 
 
@@ -123,7 +123,7 @@ def peers(w: Words, vertical: bool, reach: float, limits: tuple[float, float, fl
     those = np.flatnonzero((u1 - u0 >= long * t) & (t > 0))
     first_u, first_v = at(u[those] - reach * t[those], 0), at(v[those] - near * t[those], 1)
     wide, high_ = at(u[those] + reach * t[those], 0) - first_u + 1, at(v[those] + near * t[those], 1) - first_v + 1
-    box, k = _ranges(wide * high_)
+    box, k = ranges(wide * high_)
     down, right = np.divmod(k, wide[box])
     a, b = _same_cell((w.page, at(u, 0), at(v, 1)), (w.page[those[box]], first_u[box] + right, first_v[box] + down))
     b = those[box[b]]
